@@ -28,6 +28,8 @@ from tidepool.llm.common import chunks, count_words, only, staged, text_array
 GROUP_ROWS, FAN_IN = 50_000, 64
 #: The smallest documents of a group that stay unpaired for the next level, so that the root has small change.
 CHANGE = 16
+#: The largest documents of a group, each paired with all smaller ones together.
+POOLED = 256
 #: Sources up to which the table of targets is broadcast; beyond, it is joined by shuffling.
 BROADCAST_SOURCES = 10_000
 
@@ -82,6 +84,7 @@ def _round(rows: pd.DataFrame, root: bool, seed: int, level: int) -> pd.DataFram
         keys = np.random.SeedSequence([seed, level, int(first["salt"]), *name])
         luck = np.random.Generator(np.random.Philox(keys)).random(2 * len(todo) + 1)
         paired = todo if root else todo[: max(0, len(todo) - CHANGE)]
+        paired = paired[_pool(p, w, done, paired, todo, luck[len(todo) :]) :]
         held, k = -1, 0
         for j in paired.tolist():
             if held < 0:
@@ -108,6 +111,26 @@ def _round(rows: pd.DataFrame, root: bool, seed: int, level: int) -> pd.DataFram
     return rows
 
 
+def _pool(p: np.ndarray, w: np.ndarray, done: np.ndarray, paired: np.ndarray, todo: np.ndarray, luck: np.ndarray) -> int:
+    """Settle the largest documents, each against all smaller ones as one partner; how many were settled.
+
+    One small partner can't take up a large document's mass, so large ones would be left over. The partner's mass moves
+    along p * (1 - p), the same line either way, so expectations stay; it goes on while no probability would leave [0, 1].
+    """
+    for n, i in enumerate(paired[:POOLED].tolist()):
+        rest = todo[n + 1 :]
+        if not len(rest):
+            return n
+        line = p[rest] * (1.0 - p[rest])
+        weight = float(line @ w[rest])
+        if weight <= 0 or w[i] * max(p[i], 1.0 - p[i]) > weight:
+            return n
+        up = luck[n] < p[i]
+        p[rest] -= line * (w[i] * ((1.0 - p[i]) if up else -p[i]) / weight)
+        p[i], done[i] = float(up), True
+    return min(POOLED, len(paired))
+
+
 def _rounder(root: bool, seed: int, level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return lambda rows: _round(rows, root, seed, level)[_NAMES]
 
