@@ -172,3 +172,50 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     """Project to the columns an operator reads, renamed, so that clashing or further columns do no harm."""
     names = {c.lower(): c for c in df.columns}
     return df.select(*[F.col(f"`{names.get(source.lower(), source)}`").alias(name) for name, source in columns.items()])
+
+
+class Sieve:
+    """A Bloom filter of 64-bit hashes, for thinning before a shuffle: it lets every member through, and some others.
+
+    Built in segments by as many tasks, at most ``most`` bytes in all however many hashes there are (beyond that size it
+    only thins less), so it may be broadcast.
+    """
+
+    def __init__(self, segments: dict[int, bytes], total: int, size: int):
+        self.total, self.size = total, size
+        self.bits = np.frombuffer(b"".join(segments.get(i, bytes(size)) for i in range(total)), dtype=np.uint8)
+
+    @staticmethod
+    def places(h: np.ndarray, total: int, size: int) -> list[np.ndarray]:
+        m = mix(h + GOLD)
+        start = (m >> np.uint64(48)) % np.uint64(total) * np.uint64(8 * size)
+        return [(start + (x % np.uint64(8 * size))).astype(np.int64) for x in (m & np.uint64(0xFFFFFFFF), mix(m) & np.uint64(0xFFFFFFFF), mix(m + GOLD) & np.uint64(0xFFFFFFFF))]
+
+    @classmethod
+    def of(cls, hashes: DataFrame, column: str, most: int = 48 << 20) -> Sieve:
+        n = hashes.count()
+        total = 1 if n < 100_000 else 64
+        size = max(64, min(-(-n * 12 // 8 // total), most // total))
+        ddl = "segment int, bits binary"
+
+        def built(key: tuple, rows: pa.Table) -> pa.Table:
+            at = cls.places(rows.column("h").to_numpy().view(np.uint64), total, size)
+            flags = np.zeros(8 * size, dtype=bool)
+            for x in at:
+                flags[x - key[0].as_py() * 8 * size] = True
+            return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+
+        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                h = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                segment = ((mix(h + GOLD) >> np.uint64(48)) % np.uint64(total)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(segment), b.column(0)], names=["segment", "h"])
+
+        rows = hashes.select(F.col(column).alias("h")).mapInArrow(dealt, "segment int, h long").groupBy("segment").applyInArrow(built, ddl)
+        return cls({r["segment"]: bytes(r["bits"]) for r in rows.collect()}, total, size)
+
+    def test(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), dtype=bool)
+        for p in self.places(h, self.total, self.size):
+            out &= (self.bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
+        return out

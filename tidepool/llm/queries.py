@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidepool.llm import chat_format, lang_id, lm_score, mixing, packing, topk
+from tidepool.llm import chat_format, edit_fingerprint, lang_id, line_dedup, lm_score, mixing, packing, topk
 
 
 def _tokenizer(name: str) -> str:
@@ -36,6 +37,16 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_turns(chat_format.with_probe(_table(spark, sf_dir, "conversations")), path), path)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_sha256 (hex digest of the text that's left; null for a null text)."""
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprint.compare_with_edited(_table(spark, sf_dir, "documents"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -45,7 +56,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_source_mixing, op5_best_fit_packing, op6_chat_format, op9_exact_topk, op10_language_id)}
+    return {f.__name__: f for f in (op1_lm_score, op2_source_mixing, op5_best_fit_packing, op6_chat_format, op7_line_dedup, op8_edit_fingerprint, op9_exact_topk, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
