@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import chat_format, edit_fingerprint, lang_id, line_dedup, lm_score, mixing, packing, substring_dedup, topk
+from tidepool.llm import chat_format, edit_fingerprint, jaccard_join, lang_id, line_dedup, lm_score, mixing, packing, substring_dedup, topk
 
 
 def _tokenizer(name: str) -> str:
@@ -33,6 +33,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_components(_table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -61,7 +65,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_source_mixing, op3_substring_dedup, op5_best_fit_packing, op6_chat_format, op7_line_dedup, op8_edit_fingerprint, op9_exact_topk, op10_language_id)}
+    return {f.__name__: f for f in (op1_lm_score, op2_source_mixing, op3_substring_dedup, op4_jaccard_join, op5_best_fit_packing, op6_chat_format, op7_line_dedup, op8_edit_fingerprint, op9_exact_topk, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
