@@ -358,3 +358,15 @@ def join_components(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     own = F.when(F.col("n") > 0, F.col("id")).otherwise(F.col("doc_id"))
     real = lambda c: F.when(c != NO_ID, c)
     return out.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(own).alias("component_id"))
+
+
+def keep_one(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The documents without all but the smallest id of each component, and without repeats of one id and text."""
+    names = {c.lower(): c for c in documents.columns}
+    doc_id = F.col(f"`{names['doc_id']}`")
+    found = staged(join_components(documents, shingle, percent))
+    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
+    out = documents.join(stay, doc_id.cast("long").eqNullSafe(F.col("__stay")), "left_semi")
+    if found.groupBy("doc_id").count().filter("count > 1").take(1):
+        out = out.dropDuplicates([names["doc_id"], names["text"]])
+    return out

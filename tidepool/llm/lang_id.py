@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepool.llm.common import chunks, only, text_array
 
@@ -28,8 +29,6 @@ STRIDE, WINDOW, HIDDEN = 2, 128, 8
 #: The bound of the training sample: documents per language, characters of each.
 SAMPLE, EXCERPT = 600, 1000
 STEPS, BATCH, RATE, TRAIN_POSITIONS = 260, 192, 0.02, 48
-_OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
-OUT_DDL = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -172,16 +171,31 @@ def training_sample(documents: DataFrame, per_lang: int = SAMPLE, excerpt: int =
     rows = only(documents, doc_id="doc_id", text="text", lang="lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     luck = F.xxhash64("doc_id", F.lit(10))
+    few = rows.select("doc_id", "lang", luck.alias("luck")).join(counts, "lang").filter(F.col("luck") / F.lit(2.0**63) < F.lit(4.0 * per_lang) / F.col("n") - 1.0)
+    top = Window.partitionBy("lang").orderBy("luck", "doc_id")
+    few = few.withColumn("nth", F.row_number().over(top)).filter(F.col("nth") <= per_lang).select("doc_id", "lang").distinct()  # per_lang of each language
     room = F.length("text") - F.lit(excerpt)
     start = F.when(room > 0, F.pmod(F.xxhash64("doc_id", F.lit(11)), room) + 1).otherwise(F.lit(1)).cast("int")
-    near = rows.join(counts, "lang").filter(luck / F.lit(2.0**63) < F.lit(4.0 * per_lang) / F.col("n") - 1.0)
-    near = near.select("lang", luck.alias("luck"), F.substring("text", start, F.lit(excerpt)).alias("text"))
-    top = Window.partitionBy("lang").orderBy("luck", "text")
-    return [(r["lang"], r["text"].encode()) for r in near.withColumn("nth", F.row_number().over(top)).filter(F.col("nth") <= per_lang).orderBy("lang", "nth").collect()]
+    texts = rows.select("doc_id", "lang", "text").join(F.broadcast(few), rows["doc_id"].eqNullSafe(few["doc_id"]) & (rows["lang"] == few["lang"]), "left_semi")
+    got = texts.select("lang", luck.alias("luck"), F.substring("text", start, F.lit(excerpt)).alias("text")).collect()
+    return [(r["lang"], r["text"].encode()) for r in sorted(got, key=lambda r: (r["lang"], r["luck"], r["text"]))]
+
+
+def label_rows(documents: DataFrame, net: Network | None) -> DataFrame:
+    """row (a struct of all columns), lang_pred, score: every document with its label beside it."""
+    names = {c.lower(): c for c in documents.columns}
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col(f"`{names['text']}`").cast("string").alias("text"))
+    return _labelled(rows.select("row", "text"), net)
 
 
 def predict(documents: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every text."""
+    rows = only(documents, doc_id="doc_id", text="text").select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out")).alias("row"), "text")
+    return _labelled(rows, net).select("row.doc_id", "row.held_out", "lang_pred", "score")
+
+
+def _labelled(documents: DataFrame, net: Network | None) -> DataFrame:
+    """row, lang_pred, score of row, text."""
     model = documents.sparkSession.sparkContext.broadcast(net)
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,10 +205,12 @@ def predict(documents: DataFrame, net: Network | None) -> DataFrame:
             letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False) & (model.value is not None)
             best = p.argmax(axis=1)
             langs = model.value.langs if model.value else ["und"]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array([langs[i] if ok else "und" for i, ok in zip(best.tolist(), letters.tolist(), strict=True)]), pa.array(np.where(letters, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0))], schema=_OUT)
+            langs = [langs[i] if ok else "und" for i, ok in zip(best.tolist(), letters.tolist(), strict=True)]
+            score = np.where(letters, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["row", "lang_pred", "score"])
 
-    rows = only(documents, doc_id="doc_id", text="text")
-    return rows.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(labelled, OUT_DDL)
+    schema = T.StructType([documents.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return documents.mapInArrow(labelled, schema)
 
 
 def identify(documents: DataFrame) -> DataFrame:

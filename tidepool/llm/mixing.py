@@ -33,18 +33,19 @@ POOLED = 256
 #: Sources up to which the table of targets is broadcast; beyond, it is joined by shuffling.
 BROADCAST_SOURCES = 10_000
 
-_SIZED = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64())])
-_ROWS = "doc_id long, source string, size long, source_size long, target double, salt long, whole long, p double, done boolean"
+_SIZED = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("row", pa.int64()), ("size", pa.int64())])
+_ROWS = "doc_id long, row long, source string, size long, source_size long, target double, salt long, whole long, p double, done boolean"
 
 
 def document_sizes(documents: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """doc_id, source, size: words ``[^\\x20\\x09-\\x0D]+`` of each text."""
+    """doc_id, source, row (a hash of id and text), size: words ``[^\\x20\\x09-\\x0D]+`` of each text."""
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.string()), pa.array(count_words(text_array(b)))], schema=_SIZED)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.string()), b.column(3), pa.array(count_words(text_array(b)))], schema=_SIZED)
 
-    return only(documents, doc_id=doc_id, source=source, text=text).mapInArrow(sized, "doc_id long, source string, size long")
+    rows = only(documents, doc_id=doc_id, source=source, text=text)
+    return rows.withColumn("row", F.xxhash64("text", "doc_id")).mapInArrow(sized, "doc_id long, source string, row long, size long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0) -> DataFrame:
@@ -75,7 +76,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
 
 def _round(rows: pd.DataFrame, root: bool, seed: int, level: int) -> pd.DataFrame:
     """Pair a group's fractional documents, largest first; all but the residual and the change end integral."""
-    rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="last").reset_index(drop=True)
+    rows = rows.sort_values(["size", "doc_id", "row"], ascending=[False, True, True], kind="stable", na_position="last").reset_index(drop=True)
     p, w, done = rows["p"].to_numpy(copy=True), rows["size"].to_numpy(dtype=np.float64), rows["done"].to_numpy(copy=True)
     todo = np.flatnonzero(~done)
     if len(todo):
@@ -136,7 +137,7 @@ def _rounder(root: bool, seed: int, level: int) -> Callable[[pd.DataFrame], pd.D
 
 
 def mix_sources(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, seed: int = 20_11, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: whole copies of each document, words near each source's target.
+    """doc_id, row, source, size, source_size, target, copies, taken: whole copies of each document, words near each source's target.
 
     ``ceiling`` must be a whole number, so that no document exceeds it. The same rows give the same mix again.
     """
@@ -148,7 +149,7 @@ def mix_sources(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sh
     salts = F.ceil(F.col("docs") / F.lit(group_rows)).cast("long")
     f = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = sizes.join(t, F.col("source").eqNullSafe(F.col("t_source"))).select(
-        "doc_id", "source", "size", "source_size", "target",
+        "doc_id", "row", "source", "size", "source_size", "target",
         F.pmod(F.xxhash64("doc_id", "size"), salts).alias("salt"),
         F.floor(f + F.lit(1e-12)).cast("long").alias("whole"),
         F.greatest(f - F.floor(f + F.lit(1e-12)), F.lit(0.0)).alias("p"),
@@ -164,8 +165,23 @@ def mix_sources(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sh
             break
         rows = rows.filter("not done").withColumn("salt", F.floor(F.col("salt") / F.lit(FAN_IN)))
         groups, level = -(-groups // FAN_IN), level + 1
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("long")).alias("copies"), ((F.col("whole") + F.col("p").cast("long")) * F.col("size")).alias("taken"))
+    return out.select("doc_id", "row", "source", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("long")).alias("copies"), ((F.col("whole") + F.col("p").cast("long")) * F.col("size")).alias("taken"))
 
 
 _NAMES = [x.split()[0] for x in _ROWS.split(", ")]
 
+
+
+def repeat_by_copies(documents: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The documents as the mix takes them: each row as often as it has copies. ``mixed`` is mix_sources(documents).
+
+    Rows that repeat id and text are told apart by a running number within them, on the partitioning that the join has.
+    """
+    names = {c.lower(): c for c in documents.columns}
+    doc_id, text = (F.col(f"`{names[c]}`") for c in ("doc_id", "text"))
+    left = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("whole"), doc_id.cast("long").alias("id"), F.xxhash64(text, doc_id).alias("row"))
+    left = left.withColumn("nth", F.row_number().over(Window.partitionBy("id", "row").orderBy("id")))
+    right = mixed.filter("copies > 0").select(F.col("doc_id").alias("m_id"), F.col("row").alias("m_row"), "copies")
+    right = right.withColumn("m_nth", F.row_number().over(Window.partitionBy("m_id", "m_row").orderBy("copies")))
+    same = F.col("id").eqNullSafe(F.col("m_id")) & (F.col("row") == F.col("m_row")) & (F.col("nth") - F.col("m_nth") == 0)
+    return left.join(right, same).select("whole", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).select("whole.*")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidepool.llm import chat_format, edit_fingerprint, jaccard_join, lang_id, line_dedup, lm_score, mixing, packing, substring_dedup, topk
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
@@ -38,11 +38,11 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _tokenizer("byte_bpe_50k.json")
+    path = tokenizer("byte_bpe_50k.json")
     return chat_format.digest(chat_format.format_turns(chat_format.with_probe(_table(spark, sf_dir, "conversations")), path), path)
 
 
