@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text that a kernel holds at a time.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 12 << 20
+#: Bytes of an Arrow batch on its way to Python.
+BATCH_BYTES = 6 << 20
 
 #: The ASCII white space of the word pattern [^\x20\x09-\x0D]+.
 WHITE = np.zeros(256, dtype=bool)
@@ -102,6 +104,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int |
             if held_bytes >= limit:
                 yield together()
                 held, held_bytes = [], 0
+                pa.default_memory_pool().release_unused()
     if held:
         yield together()
 
@@ -168,8 +171,17 @@ def blobs(parts: Iterable[np.ndarray]) -> pa.Array:
     return pa.array([x.tobytes() for x in parts], type=pa.binary())
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES`` between the JVM and Python, unless the session asks for less."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not (now.isdigit() and int(now) <= BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Project to the columns an operator reads, renamed, so that clashing or further columns do no harm."""
+    small_batches(df.sparkSession)
     names = {c.lower(): c for c in df.columns}
     return df.select(*[F.col(f"`{names.get(source.lower(), source)}`").alias(name) for name, source in columns.items()])
 
