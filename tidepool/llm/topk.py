@@ -73,7 +73,7 @@ class Grid:
 
     def middle(self, x: np.ndarray) -> np.ndarray:
         """The quantised vectors, as the middles of their cells."""
-        lo, width = self.cells[x.shape[1]]
+        lo, width = self.cells.get(x.shape[1], (np.zeros(x.shape[1]), np.ones(x.shape[1])))
         return lo + (np.minimum((x - lo) // width, self.top) + 0.5) * width
 
 
