@@ -1,0 +1 @@
+"""Note retrieval, conversation analytics and training-data operators on Spark DataFrames."""
