@@ -34,7 +34,7 @@ from tidepool.llm.common import Sieve, buckets_for, chunks, mix, only, owners, s
 
 WINDOW, KMER = 13, 5
 #: Text bytes of a chunk, and of a hash range.
-CHUNK_TEXT, RANGE_TEXT = 12 << 20, 24 << 20
+CHUNK_TEXT, RANGE_TEXT = 3 << 20, 24 << 20
 NO_ID = -(1 << 63)
 
 _HASHES = pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("many", pa.binary())])
@@ -50,7 +50,7 @@ def _rolled(words: np.ndarray, n: int) -> np.ndarray:
     r = np.random.default_rng(n)
     out = np.zeros(max(len(words) - n + 1, 0), dtype=np.uint64)
     for i in range(n):
-        out += words[i : len(words) - n + 1 + i] * np.uint64(int(r.integers(1 << 62)) * 2 + 1)
+        out += words[i : i + len(out)] * np.uint64(int(r.integers(1 << 62)) * 2 + 1)
     return mix(out)
 
 
@@ -73,7 +73,7 @@ class Windows:
         want = window - kmer + 1
         while have < want:  # minimum over `have` k-mers, doubled
             step = min(have, want - have)
-            low = np.minimum(low[: len(low) - step], low[step:])
+            low = np.minimum(low[: max(len(low) - step, 0)], low[step:])
             have += step
         self.minimiser = low[self.start]
         self.words, self.window = h, window
@@ -92,11 +92,13 @@ def repeated_minimisers(rows: DataFrame, buckets: int, window: int, kmer: int) -
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, limit=CHUNK_TEXT):
             w = Windows(text_array(b), window, kmer)
-            fresh = np.r_[True, (w.minimiser[1:] != w.minimiser[:-1]) | (w.doc[1:] != w.doc[:-1])] if len(w.doc) else np.zeros(0, bool)
+            if not len(w.doc):
+                continue
+            fresh = np.r_[True, (w.minimiser[1:] != w.minimiser[:-1]) | (w.doc[1:] != w.doc[:-1])]
             h, doc = w.minimiser[fresh], w.doc[fresh]
             order = np.argsort(h, kind="stable")
             h, doc = h[order], doc[order]
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             last = np.r_[first[1:], len(h)] - 1
             many = doc[first] != doc[last]  # the sort is stable, so texts are in order within a hash
             h = h[first]
