@@ -16,7 +16,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 TERMS = ["the", "and", "tion", "in", "password", "der", "entre"]
-SEARCH = "the password in database and on the token"
+SEARCH = "the password in was and on les der token by"
 ALPHA = [x / 10 for x in range(64)]
 
 
