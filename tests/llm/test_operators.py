@@ -178,7 +178,7 @@ def test_jaccard_blocks_and_failures(documents, monkeypatch):
     want = collected(jaccard_join.join_components(documents, 3, 90), "doc_id", "component_id")
     monkeypatch.setattr(jaccard_join, "BLOCK", 3)
     monkeypatch.setattr(jaccard_join.Group, "alike", lambda self, i, j: self.rows[j][0] not in self.rows[i][8] and self.rows[i][0] not in self.rows[j][8])
-    monkeypatch.setattr(jaccard_join, "parity_bits", lambda u: bytes(8))
+    monkeypatch.setattr(jaccard_join, "parity_bits", lambda u, each=4: bytes(8))
     assert collected(jaccard_join.join_components(documents, 3, 90), "doc_id", "component_id") == want
 
 

@@ -5,14 +5,16 @@ the first n - ceil(t * n) + 1 of either in any order of all tokens, so the filte
 
 * Order 1 puts frequent tokens last (by a sketch of fixed size, counted over all documents), longer ones first, then a
   hash. Its prefixes are the postings; a frequent passage so doesn't make postings of everything that holds it.
-* Nodes that share a posting are compared within it: by length, by the symmetric difference of parity bitmaps (never
-  more than the true one), and by shared prefix tokens under orders 2 and 3, two hashes of their own.
-* What remains is verified on the exact sets. Of a posting, only pairs that join two components are verified, so a group
-  of copies costs about one verification a member, not one for each pair; pairs that fail are left out and others tried, in
-  rounds, until no pair of different components passes the filters. So no link that joins components is lost.
+* Nodes that share a posting are compared by length, by the symmetric difference of parity bitmaps (never more than the
+  true one), by shared prefix tokens under orders 2 and 3, two hashes of their own, and by 32-bit tokens (which never
+  share less than the sets do).
+* What remains is verified on the exact sets. Only pairs that join two components are verified, so a group of copies costs
+  about one verification a member, not one for each pair. Pairs that fail are left out and others tried, in rounds, until
+  none is left. So no link that joins components is lost.
 
-Postings of the same nodes are one group. A large group is compared in blocks; the first round compares within blocks and
-with one leader that all blocks have, later rounds compare block pairs of groups that are still not one component.
+Copies share many postings, so a node's filters are not sent to each: its home is the largest posting that it's in. Nodes
+are compared within their homes first. Then each visits the larger homes whose residents it shares another posting
+with, once each. Small bitmaps, one bit a token, first leave out residents and visitors who have no partner. Large homes are in blocks: all blocks have one leader in the first round, and meet in pairs after it.
 
 Nulls: a null text, like one without words, has the empty set and is linked with nothing; a null doc_id counts as smaller
 than all others (a component that holds it has a null id). Repeated rows have the same set. Texts with fewer words
@@ -36,8 +38,9 @@ SHINGLE, PERCENT = 5, 80
 #: Counters of the frequency sketch, in so many segments; members of a block; text bytes of a chunk and of a hash range.
 COUNTERS, SEGMENTS, BLOCK, CHUNK_TEXT, RANGE_TEXT = 1 << 20, 16, 768, 8 << 20, 24 << 20
 
-_SCAN = pa.schema([("segment", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("counters", pa.binary())])
-_SCAN_DDL = "segment int, doc_id long, node long, n long, counters binary"
+_SCAN = pa.schema([("segment", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("counters", pa.binary())])
+_SCAN_DDL = "segment int, doc_id long, node long, n long, sketch binary, counters binary"
+_NEAR = pa.schema([("home", pa.int64()), ("block", pa.int32()), ("node", pa.int64()), ("visitor", pa.bool_())])
 _POSTING = pa.schema([("bucket", pa.int32()), ("token", pa.binary()), ("node", pa.binary()), ("n", pa.binary())])
 _MEMBER_DDL = "sig long, node long"
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -91,9 +94,9 @@ class Orders:
         return np.sort((key[np.argpartition(key, p - 1)[:p]] >> np.uint64(24)).astype(np.uint32))
 
 
-def parity_bits(u: np.ndarray) -> bytes:
-    """A bitmap of a power of two of bits, at least four a token, in which each token flips one."""
-    bits = 1 << max(6, (4 * len(u) - 1).bit_length())
+def parity_bits(u: np.ndarray, each: int = 4) -> bytes:
+    """A bitmap of a power of two of bits, at least ``each`` a token, in which each token flips one."""
+    bits = 1 << max(6, (each * len(u) - 1).bit_length())
     at = (mix(u + np.uint64(77)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
@@ -107,9 +110,9 @@ def _scanned(rows: DataFrame, shingle: int) -> DataFrame:
             sets = [u for u, _ in shingle_sets(text_array(b), shingle)]
             counters += np.bincount(Orders.counter(np.concatenate(sets)), minlength=COUNTERS)
             n = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int32()), b.column(0), pa.array([node_of(u) if len(u) else None for u in sets], pa.int64()), pa.array([len(u) for u in sets], pa.int64()), pa.nulls(n, pa.binary())], schema=_SCAN)
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int32()), b.column(0), pa.array([node_of(u) if len(u) else None for u in sets], pa.int64()), pa.array([len(u) for u in sets], pa.int64()), pa.array([parity_bits(u, 1) if len(u) else None for u in sets], pa.binary()), pa.nulls(n, pa.binary())], schema=_SCAN)
         parts = counters.astype(np.uint32).reshape(SEGMENTS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), *(pa.nulls(SEGMENTS, pa.int64()) for _ in range(3)), pa.array([x.tobytes() for x in parts], pa.binary())], schema=_SCAN)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), *(pa.nulls(SEGMENTS, pa.int64()) for _ in range(3)), pa.nulls(SEGMENTS, pa.binary()), pa.array([x.tobytes() for x in parts], pa.binary())], schema=_SCAN)
 
     return rows.mapInArrow(scan, _SCAN_DDL)
 
@@ -185,15 +188,14 @@ def _reread(rows: DataFrame, wanted: DataFrame, shingle: int, made: Callable[[np
     return rows.mapInArrow(read, ddl).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-class Group:
-    """Members of a group (or of two blocks of one), and the pairs among them that would join components."""
+class Bitmaps:
+    """Rows sorted by set size, with parity bitmaps to rule pairs out by: members of a group, residents and visitors."""
 
-    def __init__(self, rows: list[tuple], percent: int):
-        self.rows, self.percent = sorted(rows, key=lambda r: (r[1], r[0])), percent
-        self.n = np.array([r[1] for r in self.rows], dtype=np.int64)
-        self.bits = [r[5] for r in self.rows]
-        names: dict[int, int] = {}
-        self.comp = np.array([names.setdefault(r[2], len(names)) for r in self.rows], dtype=np.int64)
+    def __init__(self, rows: list[tuple], n: int, visitor: int, bits: int, percent: int):
+        self.rows, self.percent = sorted(rows, key=lambda r: (r[n], r[0])), percent
+        self.n = np.array([r[n] for r in self.rows], dtype=np.int64)
+        self.visitor = np.array([r[visitor] for r in self.rows], dtype=bool)
+        self.bits = [r[bits] for r in self.rows]
         self.matrices: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
     def matrix(self, size: int, fold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,69 +208,134 @@ class Group:
             self.matrices[size, fold] = (at, m)
         return self.matrices[size, fold]
 
+    def last(self, i: int) -> int:
+        """Members up to here aren't too large for the i-th."""
+        return int(np.searchsorted(self.n, 100 * self.n[i] // self.percent, side="right"))
+
+    def near(self, i: int, last: int, apart: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """Later members, among those ``apart`` keeps and not visitors both, that bitmaps don't rule out."""
+        own, out = len(self.bits[i]), []
+        mine = np.frombuffer(self.bits[i], dtype=np.uint64)
+        for size in (own, 2 * own):
+            at, m = self.matrix(size, own)
+            lo, hi = np.searchsorted(at, [i + 1, last])
+            keep = apart(at[lo:hi]) & ~(self.visitor[at[lo:hi]] & self.visitor[i])
+            if keep.any():
+                at = at[lo:hi][keep]
+                differ = np.bitwise_count(m[lo:hi][keep] ^ mine).sum(axis=1).astype(np.int64)
+                out.append(at[(100 + self.percent) * differ <= (100 - self.percent) * (self.n[at] + self.n[i])])
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+
+    def with_partner(self) -> list[tuple]:
+        """The rows that some other row of the group may be linked with."""
+        hit = np.zeros(len(self.rows), dtype=bool)
+        for i in range(len(self.rows) - 1):
+            if (last := self.last(i)) > i + 1 and len(at := self.near(i, last, lambda at: np.ones(len(at), dtype=bool))):
+                hit[i] = hit[at] = True
+        return [r for r, h in zip(self.rows, hit.tolist(), strict=True) if h]
+
+
+class Group(Bitmaps):
+    """Members as rows (node, n, comp, visitor, p2, p3, bits, tokens, failed), and the pairs that would join components."""
+
+    def __init__(self, rows: list[tuple], percent: int):
+        super().__init__(rows, 1, 3, 6, percent)
+        names: dict[int, int] = {}
+        self.comp = np.array([names.setdefault(r[2], len(names)) for r in self.rows], dtype=np.int64)
+
     def pairs(self) -> list[tuple[int, int]]:
-        out, p = [], self.percent
+        out = []
         for i in range(len(self.rows) - 1):
-            last = int(np.searchsorted(self.n, 100 * self.n[i] // p, side="right"))
+            last = self.last(i)
             if last <= i + 1 or (self.comp[i + 1 : last] == self.comp[i]).all():
                 continue
-            own = len(self.bits[i])
-            mine = np.frombuffer(self.bits[i], dtype=np.uint64)
-            for size in (own, 2 * own):
-                at, m = self.matrix(size, own)
-                lo, hi = np.searchsorted(at, [i + 1, last])
-                at, m = at[lo:hi], m[lo:hi]
-                apart = np.flatnonzero(self.comp[at] != self.comp[i])
-                if not len(apart):
-                    continue
-                at = at[apart]
-                differ = np.bitwise_count(m[apart] ^ mine).sum(axis=1).astype(np.int64)
-                for j in at[(100 + p) * differ <= (100 - p) * (self.n[at] + self.n[i])].tolist():
-                    if self.comp[j] == self.comp[i] or not self.alike(i, j):
-                        continue
+            for j in self.near(i, last, lambda at, i=i: self.comp[at] != self.comp[i]).tolist():
+                if self.comp[j] != self.comp[i] and self.alike(i, j):
                     out.append((self.rows[i][0], self.rows[j][0]))
                     self.comp[self.comp == self.comp[j]] = self.comp[i]
         return out
 
     def alike(self, i: int, j: int) -> bool:
-        """Not known to fail, and sharing prefix tokens under the other orders as well."""
+        """Not known to fail, sharing prefix tokens under the other orders as well, and enough short tokens."""
         a, b = self.rows[i], self.rows[j]
-        if b[0] in a[6] or a[0] in b[6]:
+        if b[0] in a[8] or a[0] in b[8] or not all(_common(a[k], b[k]) for k in (4, 5)):
             return False
-        return all(_meet(np.frombuffer(a[k], np.uint32), np.frombuffer(b[k], np.uint32)) for k in (3, 4))
+        common = _common(a[7], b[7])
+        return 100 * common >= self.percent * (a[1] + b[1] - common)
+
+
+def _common(a: bytes, b: bytes) -> int:
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
+def _worth_comparing(residents: DataFrame, visits: DataFrame, nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """residents and visits (home, block, node) that bitmaps of one bit a token leave some partner at home.
+
+    These bitmaps are a fiftieth of what the full comparison needs, and rule out what shares a token by chance.
+    """
+    own = residents.select("home", "block", "blocks", "node", F.lit(False).alias("visitor"))
+    guests = visits.join(residents.select("home", "blocks").distinct(), "home").select("home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks", "node", F.lit(True).alias("visitor"))
+
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def done() -> list[tuple]:
+            if rows and rows[0][3] > 1:  # blocks of a large home are compared in full
+                near = {r[0] for r in Bitmaps(rows, 1, 2, 4, percent).with_partner()}
+                return [(*key, r[0], r[2]) for r in rows if not r[2] or r[0] in near]
+            return [(*key, r[0], r[2]) for r in Bitmaps(rows, 1, 2, 4, percent).with_partner()] if len(rows) > 1 else []
 
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], _NEAR.field(k).type) for k in range(4)], schema=_NEAR)
 
-def _meet(a: np.ndarray, b: np.ndarray) -> bool:
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    return bool((b[at] == a).any())
+        for b in batches:
+            out: list[tuple] = []
+            for home, block, blocks, node, visitor, n, sketch in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (home, block) != key:
+                    out += done()
+                    key, rows = (home, block), []
+                rows.append((node, n, visitor, blocks, sketch))
+            if out:
+                yield batch(out)
+        if out := done():
+            yield batch(out)
+
+    rows = own.unionByName(guests).join(nodes.select("node", "n", "sketch"), "node").select("home", "block", "blocks", "node", "visitor", "n", "sketch")
+    near = staged(rows.repartition("home", "block").sortWithinPartitions("home", "block").mapInArrow(thinned, "home long, block int, node long, visitor boolean"))
+    return near.filter("not visitor").drop("visitor"), near.filter("visitor").drop("visitor")
 
 
-def _candidates(keyed: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs to verify. ``keyed``: sig, i, j and a member's node, n, comp, p2, p3, bits, failed; compared within (sig, i, j)."""
+def _candidates(keyed: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs to verify. ``keyed``: home, i, j, node, comp, visitor, failed; compared within (home, i, j)."""
+    columns = ["home", "i", "j", "node", "n", "comp", "visitor", "p2", "p3", "bits", "tokens", "failed"]
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
+
+        def done() -> list[tuple[int, int]]:
+            return Group(rows, percent).pairs() if len(rows) > 1 and not all(r[3] for r in rows) else []
+
         for b in batches:
             out: list[tuple[int, int]] = []
-            for *k, node, n, comp, p2, p3, bits, failed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for *k, node, n, comp, visitor, p2, p3, bits, tokens, failed in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if k != key:
-                    if len(rows) > 1:
-                        out += Group(rows, percent).pairs()
+                    out += done()
                     key, rows = k, []
-                rows.append((node, n, comp, p2, p3, bits, failed or ()))
+                rows.append((node, n, comp, visitor, p2, p3, bits, tokens, failed or ()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=_PAIR)
-        if len(rows) > 1 and (out := Group(rows, percent).pairs()):
+        if out := done():
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=_PAIR)
 
-    dealt = keyed.select("sig", "i", "j", "node", "n", "comp", "p2", "p3", "bits", "failed").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    dealt = keyed.join(profiles, "node").select(*columns).repartition("home", "i", "j").sortWithinPartitions("home", "i", "j")
     pairs = dealt.mapInArrow(compared, "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """a, b, linked: the exact test of each pair."""
-    used = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "rep"))
+    used = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node"))
     sets = _reread(rows, used, shingle, lambda u: (u.tobytes(),), "node long, items binary", pa.schema([("node", pa.int64()), ("items", pa.binary())]))
 
     def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,52 +371,99 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
 
 
+def _homes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """residents (node, home, block, blocks, leader), and visits (node, home) to larger homes of nodes in a common posting."""
+    sizes = members.groupBy("sig").agg(F.count("*").alias("size"))
+    sized = members.join(sizes, "sig")
+    home = sized.groupBy("node").agg(F.max(F.struct("size", "sig")).alias("h")).select("node", F.col("h.sig").alias("home"), F.col("h.size").alias("rank"))
+    home = staged(home)
+    blocks = home.groupBy("home").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.min("node").alias("leader"))
+    residents = staged(home.join(blocks, "home").select("node", "home", "blocks", "leader", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
+    named = staged(members.join(home, "node"))
+    hosts = named.select("sig", F.col("home").alias("host"), F.col("rank").alias("host_rank")).distinct()
+    mixed = hosts.groupBy("sig").count().filter("count > 1").select("sig")
+    met = named.join(mixed, "sig").join(hosts, "sig").filter(F.struct("host_rank", "host") > F.struct("rank", "home"))
+    return residents, staged(met.select("node", F.col("host").alias("home")).distinct())
+
+
+class Links:
+    """The verified links so far, the components they make, and the pairs that failed."""
+
+    def __init__(self, rows: DataFrame, nodes: DataFrame, shingle: int, percent: int):
+        self.args = (rows, nodes, shingle, percent)
+        self.links: DataFrame | None = None
+        self.failed: DataFrame | None = None
+        self.labels: DataFrame | None = None
+
+    def labelled(self, keyed: DataFrame) -> DataFrame:
+        """``keyed`` with comp and failed."""
+        if self.labels is None:
+            out = keyed.withColumn("comp", F.col("node"))
+        else:
+            out = keyed.join(self.labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        if self.failed is None:
+            return out.withColumn("failed", F.lit(None).cast("array<long>"))
+        return out.join(self.failed.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("failed")), "node", "left")
+
+    def add(self, pairs: DataFrame) -> bool:
+        """Verify pairs; whether any failed, so that others may have to be tried."""
+        rows, nodes, shingle, percent = self.args
+        pairs = staged(pairs)
+        if not pairs.take(1):
+            return False
+        tested = staged(_verified(rows, pairs, nodes, shingle, percent))
+        linked, missed = tested.filter("linked").select("a", "b"), tested.filter("not linked").select("a", "b")
+        self.links = linked if self.links is None else self.links.unionByName(linked)
+        if linked.take(1) or self.labels is None:
+            self.labels = staged(components(self.links))
+        if not missed.take(1):
+            return False
+        self.failed = missed if self.failed is None else self.failed.unionByName(missed)
+        return True
+
+
 def join_components(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach from each document."""
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))
     rows = only(documents, doc_id="doc_id", text="text").select(doc_id.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     scanned = staged(_scanned(rows, shingle))
     sets = scanned.filter("segment = -1").select("doc_id", "node", "n")
-    nodes = staged(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")))
+    nodes = staged(scanned.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("sketch").alias("sketch")))
     members = staged(_groups(rows, _counters(scanned), buckets_for(text_bytes(rows), RANGE_TEXT, 4), shingle, percent))
+    homes, visits = _homes(members)
+    near, visits = _worth_comparing(homes, visits, nodes, percent)
+    residents = staged(near.join(homes.select("home", "node", "blocks", "leader"), ["home", "node"]))
 
-    profile_schema = pa.schema([("node", pa.int64()), ("p2", pa.binary()), ("p3", pa.binary()), ("bits", pa.binary())])
-    met = staged(members.select("node").distinct().join(nodes, "node"))
+    profile_schema = pa.schema([("node", pa.int64()), ("p2", pa.binary()), ("p3", pa.binary()), ("bits", pa.binary()), ("tokens", pa.binary())])
+    met = staged(near.select("node").unionByName(visits.select("node")).distinct().join(nodes.select("node", "rep", "n"), "node"))
 
     def profiled(u: np.ndarray) -> tuple:
         p = prefix_length(len(u), percent)
-        return Orders.other(u, 2, p).tobytes(), Orders.other(u, 3, p).tobytes(), parity_bits(u)
-
-    profiles = staged(_reread(rows, met, shingle, profiled, "node long, p2 binary, p3 binary, bits binary", profile_schema).join(met.select("node", "n"), "node"))
-    blocks = members.groupBy("sig").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.min("node").alias("leader"))
-    members = staged(members.join(blocks, "sig").withColumn("block", F.pmod(F.xxhash64("node", "sig"), F.col("blocks")).cast("int")))
-
-    labels = links = failed = None
-    first = True
-    while True:
-        named = members if labels is None else members.join(labels, "node", "left")
-        named = named.withColumn("comp", F.col("node") if labels is None else F.coalesce("comp", "node"))
-        if first:
-            every = F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-            keyed = named.withColumn("i", F.explode(every)).withColumn("j", F.col("i"))
-        else:
-            open_ = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
-            keyed = named.join(open_, "sig").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            keyed = keyed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-        if failed is None:
-            keyed = keyed.withColumn("failed", F.lit(None).cast("array<long>"))
-        else:
-            tried = failed.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("failed"))
-            keyed = keyed.join(tried, "node", "left")
-        pairs = staged(_candidates(keyed.join(profiles, "node"), percent))
-        if not first and not pairs.take(1):
-            break
-        tested = staged(_verified(rows, pairs, nodes, shingle, percent))
-        linked, missed = tested.filter("linked").select("a", "b"), tested.filter("not linked").select("a", "b")
-        links = linked if links is None else links.unionByName(linked)
-        failed = missed if failed is None else failed.unionByName(missed)
-        labels = staged(components(links))
-        first = False
+        short = np.sort((mix(u + np.uint64(5)) >> np.uint64(32)).astype(np.uint32))
+        return Orders.other(u, 2, p).tobytes(), Orders.other(u, 3, p).tobytes(), parity_bits(u), short.tobytes()
+
+    profiles = staged(_reread(rows, met, shingle, profiled, "node long, p2 binary, p3 binary, bits binary, tokens binary", profile_schema).join(met.select("node", "n"), "node"))
+
+    found = Links(rows, nodes, shingle, percent)
+    largest = residents.agg(F.max("blocks")).first()[0] or 1
+    every = F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    alone = residents.withColumn("i", F.explode(every)).withColumn("j", F.col("i")).withColumn("visitor", F.lit(False))
+    missed = found.add(_candidates(found.labelled(alone), profiles, percent))
+    if missed or largest > 1:
+        # blocks in pairs, for homes that are not yet one component
+        met_ = residents.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        met_ = met_.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).withColumn("visitor", F.lit(False))
+        while True:
+            named = found.labelled(met_)
+            open_ = named.groupBy("home").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("home")
+            if not found.add(_candidates(named.join(open_, "home"), profiles, percent)):
+                break
+    # homes with their visitors; a home without any is settled
+    own = residents.join(visits.select("home").distinct(), "home", "left_semi").select("home", "block", "node", F.lit(False).alias("visitor"))
+    both = staged(own.unionByName(visits.withColumn("visitor", F.lit(True)))).withColumn("i", F.col("block")).withColumn("j", F.col("block"))
+    while found.add(_candidates(found.labelled(both), profiles, percent)):
+        pass
+    labels = found.labels if found.labels is not None else nodes.select("node", F.col("node").alias("comp"))
 
     named = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     ids = named.groupBy("comp").agg(F.min("rep").alias("id"))
