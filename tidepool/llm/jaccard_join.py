@@ -12,9 +12,10 @@ the first n - ceil(t * n) + 1 of either in any order of all tokens, so the filte
   about one verification a member, not one for each pair. Pairs that fail are left out and others tried, in rounds, until
   none is left. So no link that joins components is lost.
 
-Copies share many postings, so a node's filters are not sent to each: its home is the largest posting that it's in. Nodes
-are compared within their homes first. Then each visits the larger homes whose residents it shares another posting
-with, once each. Small bitmaps, one bit a token, first leave out residents and visitors who have no partner. Large homes are in blocks: all blocks have one leader in the first round, and meet in pairs after it.
+Small bitmaps, one bit a token, first leave out of each posting who has no possible partner in it. Copies share many
+postings, so a node's other filters are not sent to each: its home is the largest posting that it stays in. Nodes are
+compared within their homes first. Then each visits the larger homes whose residents it shares another posting with,
+once each. Large homes are in blocks: all blocks have one leader in the first round, and meet in pairs after it.
 
 Nulls: a null text, like one without words, has the empty set and is linked with nothing; a null doc_id counts as smaller
 than all others (a component that holds it has a null id). Repeated rows have the same set. Texts with fewer words
@@ -40,7 +41,6 @@ COUNTERS, SEGMENTS, BLOCK, CHUNK_TEXT, RANGE_TEXT = 1 << 20, 16, 768, 8 << 20, 2
 
 _SCAN = pa.schema([("segment", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("counters", pa.binary())])
 _SCAN_DDL = "segment int, doc_id long, node long, n long, sketch binary, counters binary"
-_NEAR = pa.schema([("home", pa.int64()), ("block", pa.int32()), ("node", pa.int64()), ("visitor", pa.bool_())])
 _POSTING = pa.schema([("bucket", pa.int32()), ("token", pa.binary()), ("node", pa.binary()), ("n", pa.binary())])
 _MEMBER_DDL = "sig long, node long"
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -269,41 +269,39 @@ def _common(a: bytes, b: bytes) -> int:
     return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
 
 
-def _worth_comparing(residents: DataFrame, visits: DataFrame, nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """residents and visits (home, block, node) that bitmaps of one bit a token leave some partner at home.
+def _worth_comparing(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The members (sig, node) of postings that bitmaps of one bit a token leave some partner in the posting.
 
-    These bitmaps are a fiftieth of what the full comparison needs, and rule out what shares a token by chance.
+    These bitmaps are a fiftieth of what the full comparison needs, and rule out nodes that share a token by chance or
+    in a common passage. Of postings larger than a block, all members stay.
     """
-    own = residents.select("home", "block", "blocks", "node", F.lit(False).alias("visitor"))
-    guests = visits.join(residents.select("home", "blocks").distinct(), "home").select("home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks", "node", F.lit(True).alias("visitor"))
+    sizes = members.groupBy("sig").agg(F.count("*").alias("size"))
+    sized = members.join(sizes, "sig")
 
     def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
 
         def done() -> list[tuple]:
-            if rows and rows[0][3] > 1:  # blocks of a large home are compared in full
-                near = {r[0] for r in Bitmaps(rows, 1, 2, 4, percent).with_partner()}
-                return [(*key, r[0], r[2]) for r in rows if not r[2] or r[0] in near]
-            return [(*key, r[0], r[2]) for r in Bitmaps(rows, 1, 2, 4, percent).with_partner()] if len(rows) > 1 else []
+            return [(key, r[0]) for r in Bitmaps(rows, 1, 3, 2, percent).with_partner()] if len(rows) > 1 else []
 
         def batch(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], _NEAR.field(k).type) for k in range(4)], schema=_NEAR)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["sig", "node"])
 
         for b in batches:
             out: list[tuple] = []
-            for home, block, blocks, node, visitor, n, sketch in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (home, block) != key:
+            for sig, node, n, sketch in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if sig != key:
                     out += done()
-                    key, rows = (home, block), []
-                rows.append((node, n, visitor, blocks, sketch))
+                    key, rows = sig, []
+                rows.append((node, n, sketch, False))
             if out:
                 yield batch(out)
         if out := done():
             yield batch(out)
 
-    rows = own.unionByName(guests).join(nodes.select("node", "n", "sketch"), "node").select("home", "block", "blocks", "node", "visitor", "n", "sketch")
-    near = staged(rows.repartition("home", "block").sortWithinPartitions("home", "block").mapInArrow(thinned, "home long, block int, node long, visitor boolean"))
-    return near.filter("not visitor").drop("visitor"), near.filter("visitor").drop("visitor")
+    small = sized.filter(F.col("size") <= BLOCK).join(nodes.select("node", "n", "sketch"), "node").select("sig", "node", "n", "sketch")
+    near = small.repartition("sig").sortWithinPartitions("sig").mapInArrow(thinned, _MEMBER_DDL)
+    return near.unionByName(sized.filter(F.col("size") > BLOCK).select("sig", "node"))
 
 
 def _candidates(keyed: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
@@ -430,12 +428,11 @@ def join_components(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     sets = scanned.filter("segment = -1").select("doc_id", "node", "n")
     nodes = staged(scanned.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("sketch").alias("sketch")))
     members = staged(_groups(rows, _counters(scanned), buckets_for(text_bytes(rows), RANGE_TEXT, 4), shingle, percent))
-    homes, visits = _homes(members)
-    near, visits = _worth_comparing(homes, visits, nodes, percent)
-    residents = staged(near.join(homes.select("home", "node", "blocks", "leader"), ["home", "node"]))
+    members = staged(_worth_comparing(members, nodes, percent))
+    residents, visits = _homes(members)
 
     profile_schema = pa.schema([("node", pa.int64()), ("p2", pa.binary()), ("p3", pa.binary()), ("bits", pa.binary()), ("tokens", pa.binary())])
-    met = staged(near.select("node").unionByName(visits.select("node")).distinct().join(nodes.select("node", "rep", "n"), "node"))
+    met = staged(residents.select("node").join(nodes.select("node", "rep", "n"), "node"))
 
     def profiled(u: np.ndarray) -> tuple:
         p = prefix_length(len(u), percent)
@@ -459,8 +456,9 @@ def join_components(documents: DataFrame, shingle: int = SHINGLE, percent: int =
             if not found.add(_candidates(named.join(open_, "home"), profiles, percent)):
                 break
     # homes with their visitors; a home without any is settled
-    own = residents.join(visits.select("home").distinct(), "home", "left_semi").select("home", "block", "node", F.lit(False).alias("visitor"))
-    both = staged(own.unionByName(visits.withColumn("visitor", F.lit(True)))).withColumn("i", F.col("block")).withColumn("j", F.col("block"))
+    own = residents.join(visits.select("home").distinct(), "home", "left_semi").select("home", "node", "block", F.lit(False).alias("visitor"))
+    guests = visits.join(residents.select("home", "blocks").distinct(), "home").select("home", "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visitor"))
+    both = staged(own.unionByName(guests)).withColumn("i", F.col("block")).withColumn("j", F.col("block"))
     while found.add(_candidates(found.labelled(both), profiles, percent)):
         pass
     labels = found.labels if found.labels is not None else nodes.select("node", F.col("node").alias("comp"))
