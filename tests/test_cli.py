@@ -1,0 +1,20 @@
+"""The command line: JSON on standard output, errors on standard error, exit codes."""
+
+import json
+
+from tidepool.__main__ import main
+
+
+def test_search_and_evaluate(spark, tmp_path, capsys):
+    vault = tmp_path / "vault"
+    vault.mkdir()
+    (vault / "a.md").write_text("# Locks\nsqlite busy timeout\n")
+    assert main(["search", "--vault", str(vault), "sqlite"]) == 0
+    out = json.loads(capsys.readouterr().out)
+    assert [r["path"] for r in out["results"]] == ["a.md"] and out["results"][0]["snippets"][0]["start_line"] == 1
+    fixture = tmp_path / "cases.json"
+    fixture.write_text(json.dumps({"cases": [{"query": "sqlite", "expected_paths": ["missing.md"]}]}))
+    assert main(["evaluate", "--vault", str(vault), "--fixture", str(fixture)]) == 2
+    assert main(["search", "--vault", str(vault), " "]) == 1
+    assert "nonempty" in capsys.readouterr().err
+    assert main(["search", "--vault", str(tmp_path / "none"), "x"]) in (1,)
