@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text that a kernel holds at a time.
@@ -69,11 +70,9 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def hash_strings(values: pa.Array) -> np.ndarray:
     """A 64-bit hash of each string, the same in every process."""
-    from pandas.util import hash_array
-
     if not len(values):
         return np.zeros(0, dtype=np.uint64)
-    return mix(hash_array(np.array(values.to_pylist(), dtype=object), categorize=False))
+    return mix(pd.util.hash_array(np.array(values.to_pylist(), dtype=object), categorize=False))
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int | None = None) -> Iterator[pa.RecordBatch]:
@@ -163,14 +162,6 @@ def owners(offsets: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
 
 
-def table(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=schema.field(k).type, from_pandas=False) for k, x in columns.items()], schema=schema)
-
-
-def blobs(parts: Iterable[np.ndarray]) -> pa.Array:
-    return pa.array([x.tobytes() for x in parts], type=pa.binary())
-
-
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most ``BATCH_BYTES`` between the JVM and Python, unless the session asks for less."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -231,3 +222,16 @@ class Sieve:
         for p in self.places(h, self.total, self.size):
             out &= (self.bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
         return out
+
+
+def maybe_among(hashes: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A predicate on a long column: true for all values of ``hashes``, and for few others. No row is shuffled for it.
+
+    What it keeps is joined to ``hashes``; what it leaves out needs no join, so most texts stay where they are.
+    """
+    sieve = hashes.sparkSession.sparkContext.broadcast(Sieve.of(hashes, column))
+
+    def test(x: pd.Series) -> pd.Series:
+        return pd.Series(sieve.value.test(x.to_numpy(dtype=np.int64).view(np.uint64)))
+
+    return F.pandas_udf(test, "boolean")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import GOLD, Sieve, buckets_for, chunks, mix, only, staged, text_array, text_bytes, words_of
+from tidepool.llm.common import GOLD, Sieve, buckets_for, chunks, maybe_among, mix, only, staged, text_array, text_bytes, words_of
 from tidepool.llm.substring_dedup import NO_ID, _rolled
 
 #: Words of a shingle and percent of similarity, unless a contract says otherwise.
@@ -41,7 +41,6 @@ COUNTERS, SEGMENTS, BLOCK, CHUNK_TEXT, RANGE_TEXT = 1 << 20, 16, 768, 8 << 20, 2
 
 _SCAN = pa.schema([("segment", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("counters", pa.binary())])
 _SCAN_DDL = "segment int, doc_id long, node long, n long, sketch binary, counters binary"
-_POSTING = pa.schema([("bucket", pa.int32()), ("token", pa.binary()), ("node", pa.binary()), ("n", pa.binary())])
 _MEMBER_DDL = "sig long, node long"
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -477,8 +476,10 @@ def keep_one(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
     names = {c.lower(): c for c in documents.columns}
     doc_id = F.col(f"`{names['doc_id']}`")
     found = staged(join_components(documents, shingle, percent))
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
-    out = documents.join(stay, doc_id.cast("long").eqNullSafe(F.col("__stay")), "left_semi")
+    gone = staged(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct())
+    hit = maybe_among(gone, "__gone")(F.coalesce(doc_id.cast("long"), F.lit(NO_ID).cast("long")))
+    held = documents.filter(hit).join(gone, doc_id.cast("long") == F.col("__gone"), "left_anti")
+    out = documents.filter(~hit).unionByName(held)
     if found.groupBy("doc_id").count().filter("count > 1").take(1):
         out = out.dropDuplicates([names["doc_id"], names["text"]])
     return out

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import GOLD, Sieve, chunks, mix, only, staged, text_array
+from tidepool.llm.common import GOLD, Sieve, chunks, maybe_among, mix, only, staged, text_array
 
 SPAN, DIVISOR, LEAST = 2, 3, 2
 _CHUNK = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("body", pa.string())])
@@ -86,10 +86,13 @@ def removals(documents: DataFrame, least: int = LEAST, divisor: int = DIVISOR) -
 
 def dedup_lines(documents: DataFrame, least: int = LEAST, divisor: int = DIVISOR) -> DataFrame:
     """The documents with repeated chunks taken out of their text, and line_dedup: n_lines, n_removed beside the columns."""
-    found = removals(documents, least, divisor).select(F.col("doc_id").alias("__cut_doc"), F.col("row").alias("__cut_row"), F.col("cuts").alias("__cuts"))
+    found = staged(removals(documents, least, divisor).select(F.col("doc_id").alias("__cut_doc"), F.col("row").alias("__cut_row"), F.col("cuts").alias("__cuts")))
     names = {c.lower(): c for c in documents.columns}
     doc_id, text = (F.col(f"`{names[c]}`") for c in ("doc_id", "text"))
-    joined = documents.join(found, doc_id.cast("long").eqNullSafe(F.col("__cut_doc")) & _row(doc_id.cast("long"), text).eqNullSafe(F.col("__cut_row")), "left")
+    row = _row(doc_id.cast("long"), text)
+    hit = maybe_among(found, "__cut_row")(row)  # the others have nothing to lose and stay where they are
+    cut = documents.filter(hit).join(found, doc_id.cast("long").eqNullSafe(F.col("__cut_doc")) & row.eqNullSafe(F.col("__cut_row")), "left").drop("__cut_doc", "__cut_row")
+    joined = cut.unionByName(documents.filter(~hit).withColumn("__cuts", F.lit(None).cast(found.schema["__cuts"].dataType)))
     lines, cuts = F.split(text, "\n", -1), F.col("__cuts")
     n = F.size(lines)
     kept = F.transform(F.sequence(F.lit(0), F.size(cuts)), lambda i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["stop"]).alias("start"), F.when(i == F.size(cuts), n).otherwise(F.get(cuts, i)["start"]).alias("stop")))

@@ -175,13 +175,17 @@ _NAMES = [x.split()[0] for x in _ROWS.split(", ")]
 def repeat_by_copies(documents: DataFrame, mixed: DataFrame) -> DataFrame:
     """The documents as the mix takes them: each row as often as it has copies. ``mixed`` is mix_sources(documents).
 
-    Rows that repeat id and text are told apart by a running number within them, on the partitioning that the join has.
+    Rows that repeat id and text, where there are any, are told apart by a running number within them.
     """
     names = {c.lower(): c for c in documents.columns}
     doc_id, text = (F.col(f"`{names[c]}`") for c in ("doc_id", "text"))
     left = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("whole"), doc_id.cast("long").alias("id"), F.xxhash64(text, doc_id).alias("row"))
-    left = left.withColumn("nth", F.row_number().over(Window.partitionBy("id", "row").orderBy("id")))
-    right = mixed.filter("copies > 0").select(F.col("doc_id").alias("m_id"), F.col("row").alias("m_row"), "copies")
-    right = right.withColumn("m_nth", F.row_number().over(Window.partitionBy("m_id", "m_row").orderBy("copies")))
-    same = F.col("id").eqNullSafe(F.col("m_id")) & (F.col("row") == F.col("m_row")) & (F.col("nth") - F.col("m_nth") == 0)
-    return left.join(right, same).select("whole", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).select("whole.*")
+    right = mixed.select(F.col("doc_id").alias("m_id"), F.col("row").alias("m_row"), "copies")
+    same = F.col("id").eqNullSafe(F.col("m_id")) & (F.col("row") == F.col("m_row"))
+    if right.groupBy("m_id", "m_row").count().filter("count > 1").take(1):
+        left = left.withColumn("nth", F.row_number().over(Window.partitionBy("id", "row").orderBy("id")))
+        right = right.withColumn("m_nth", F.row_number().over(Window.partitionBy("m_id", "m_row").orderBy("copies")))
+        same = same & (F.col("nth") == F.col("m_nth"))
+    # the mix has a row for each document, so it's not to be broadcast however small it looks
+    joined = left.join(right.filter("copies > 0").hint("merge"), same)
+    return joined.select("whole", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).select("whole.*")
