@@ -27,6 +27,8 @@ from tidepool.llm.common import chunks, only, staged, text_array, words_of
 
 #: Distinct chunks whose ids a task remembers; it starts anew beyond that.
 REMEMBERED = 500_000
+#: Chunks that are encoded at a time, and text bytes that are cut at a time.
+LEARNT, CUT_TEXT = 16_384, 4 << 20
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
 _PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -62,8 +64,9 @@ class ChunkTokenizer:
         values = words.values.to_pylist()
         if len(self.seen) + len(values) > self.remembered:
             self.forget()
-        if fresh := [v for v in values if v not in self.seen]:
-            self._learn(fresh)
+        fresh = [v for v in values if v not in self.seen]
+        for s in range(0, len(fresh), LEARNT):
+            self._learn(fresh[s : s + LEARNT])
         at = np.fromiter((self.seen[v] for v in values), dtype=np.int64, count=len(values))
         starts = np.zeros(len(self.seen) + 1, dtype=np.int64)
         np.cumsum(self.lengths[: len(self.seen)], out=starts[1:])
@@ -85,7 +88,7 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, part, counts = ChunkTokenizer(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
-        for b in chunks(batches, limit=6 << 20):
+        for b in chunks(batches, limit=CUT_TEXT):
             ids, offsets = tokenizer.encode(text_array(b), end)
             whole = np.diff(offsets)
             per = -(-whole // capacity)
