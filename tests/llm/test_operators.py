@@ -291,6 +291,31 @@ def test_line_chunks_resist_shifts():
     assert len(a - b) <= 4
 
 
+def test_line_chunks_have_enough_text():
+    r = np.random.default_rng(3)
+    for n in range(2, 60):
+        lines = [x for i in range(n) for x in (f"line {r.integers(1 << 40)}", *[""] * int(r.integers(0, 3)))]
+        found = line_dedup.chunk_lines(lines)
+        assert [x for s, e in found for x in lines[s:e]] == lines
+        assert min(sum(bool(x.strip()) for x in lines[s:e]) for s, e in found) >= 2
+
+
+def test_line_runs(spark):
+    line = lambda k, i: f"line {k} {i * i}"
+    shared = [line("shared", i) for i in range(24)]
+    texts = [[line(d, i) for i in range(5)] + shared[:n] + [line(d, i) for i in range(9, 13)] for d, n in enumerate((24, 24, 20, 24, 16))]
+    texts += [texts[1], [line("copy", i) for i in range(3)], [line("copy", i) for i in range(3)], [*texts[0][:3], "", *texts[0][3:]]]
+    d = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(d, runs=True).select("doc_id", "text", "line_dedup.n_removed").collect()}
+    assert got[0][1] == got[6][1] == 0
+    for i, n in ((1, 24), (2, 20), (3, 24), (4, 16)):
+        assert got[i] == ("\n".join(texts[i][:5] + texts[i][5 + n :]), n)
+    assert got[5] == ("", 33) and got[7] == ("", 3)
+    assert got[8][1] >= 30
+    chunked = {r["doc_id"]: r["n"] for r in line_dedup.dedup_lines(d).select("doc_id", F.col("line_dedup.n_removed").alias("n")).collect()}
+    assert chunked[5] == 33 and chunked[7] == 3 and all(chunked[i] <= got[i][1] for i in got)
+
+
 def test_fingerprints(documents, rows):
     got = collections.defaultdict(list)
     for x in edit_fingerprint.compare_with_edited(documents, range_text=8000).collect():

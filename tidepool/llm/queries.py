@@ -48,7 +48,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (hex digest of the text that's left; null for a null text)."""
-    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), runs=True)
     return out.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
