@@ -360,6 +360,46 @@ def test_near_pairs(spark, documents, rows):
     assert any(50 <= p["a"] < 58 and 50 <= p["b"] < 58 for p in pairs)
 
 
+def joined(nodes, pairs):
+    """The smallest node that pairs reach from each node."""
+    comp = {n: n for n in nodes}
+    for a, b in pairs:
+        lo, hi = sorted((comp[a], comp[b]))
+        comp = {n: lo if c == hi else c for n, c in comp.items()}
+    return comp
+
+
+def hexed(r, n):
+    return "".join("0123456789abcdef"[k] for k in r.integers(0, 16, n))
+
+
+def brute_pairs(prints, least=0.7):
+    items = sorted(prints.items())
+    return [(a, b) for k, (a, x) in enumerate(items) for b, y in items[k + 1 :] if edit_fingerprint.likeness(x, y) >= least]
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_near_pairs_without_the_head(spark, monkeypatch, block):
+    monkeypatch.setattr(edit_fingerprint, "BLOCK", block)
+    r = np.random.default_rng(8)
+    prints = {}
+    for _ in range(6):  # all share octave 0, and so every bucket, with one that is like none of them
+        opening = hexed(r, 24)
+        for _ in range(5):
+            rest = hexed(r, 16)
+            for _ in range(int(r.integers(1, 4))):
+                prints[len(prints)] = opening + rest[: int(r.integers(13, 17))]
+    prints |= {1000 + i: prints[i] for i in range(0, 20, 3)}
+    d = spark.createDataFrame([*prints.items(), (None, prints[4]), (None, ""), (5, prints[5])], "doc_id long, fingerprint string").repartition(3)
+    got = edit_fingerprint.near_pairs(d).collect()
+    assert {p["likeness"] for p in got if p["b"] is None} == {1.0}
+    pairs = [(p["a"], p["b"]) for p in got if p["b"] is not None]
+    assert len(set(pairs)) == len(pairs)
+    assert all(a < b and edit_fingerprint.likeness(prints[a], prints[b]) >= 0.7 for a, b in pairs)
+    want = joined(prints, brute_pairs(prints))
+    assert joined(prints, pairs) == want and len(set(want.values())) > 20
+
+
 def test_top_k(spark):
     r = np.random.default_rng(5)
     v = [(i, r.normal(size=6).tolist()) for i in range(450)]

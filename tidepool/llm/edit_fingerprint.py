@@ -28,12 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.common import buckets_for, chunks, only, staged, text_bytes
+from tidepool.llm.jaccard_join import components
 
 SAMPLES, CLASSES, PERIOD = 24, 256, 4096
 #: Characters per round of walking, and text bytes of a range of documents.
 ROUND, RANGE_TEXT = 128, 16 << 20
 #: Ranges at most, however much text there is (a range is read as a stream); steps whose samples are counted by table.
 MOST_RANGES, TABLE = 2000, 1 << 20
+#: Fingerprints of a band's bucket that are compared with as many others at a time.
+BLOCK = 2048
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 OUT_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -194,25 +197,73 @@ def compare_with_edited(documents: DataFrame, range_text: int = RANGE_TEXT) -> D
     return rows.repartition("span").sortWithinPartitions("span", "ahead", last, "doc_id", "text").mapInArrow(walked, OUT_DDL)
 
 
+def _links(fingerprints: list[str], comps: list[int], left: np.ndarray, right: np.ndarray, least: float) -> list[tuple[int, int, float]]:
+    """i, j, likeness: alike pairs of one from each side (a side may be both) that join components not yet joined."""
+    size = np.array([len(x) for x in fingerprints])
+    rows = np.zeros((len(size), int(size.max(initial=0))), dtype=np.uint8)
+    for i, x in enumerate(fingerprints):
+        rows[i, : len(x)] = np.frombuffer(x.encode(), np.uint8)
+    weight = 2.0 ** np.maximum(np.arange(rows.shape[1]) // SAMPLES - 1, 0)
+    upto = np.concatenate([[0.0], np.cumsum(weight)])
+    comp, apart, out = np.array(comps), ~np.isin(right, left), []
+    for i in left.tolist():
+        others = right[(right > i) | apart]
+        others = others[comp[others] != comp[i]]
+        if len(others):
+            n = int(size[i])
+            same = (rows[others, :n] == rows[i, :n]) @ weight[:n]
+            like = np.maximum(0.0, (same / upto[np.maximum(size[others], n)] - 1 / 16) / (1 - 1 / 16))
+            found = np.flatnonzero(like >= least)
+            out += [(i, int(others[k]), float(like[k])) for k in found.tolist()]
+            comp[np.isin(comp, comp[others[found]])] = comp[i]
+    return out
+
+
 def near_pairs(prints: DataFrame, bands: int = 12, rows: int = 6, least: float = 0.7) -> DataFrame:
-    """a, b, likeness: pairs of fingerprints (columns doc_id, fingerprint) that share a band of sampled digits and are alike.
+    """a, b, likeness: links between fingerprints (columns doc_id, fingerprint) that share a band of sampled digits and are alike.
 
-    Equal fingerprints are one class, named by its smallest doc_id; a band is ``rows`` digits of one octave at random places.
-    Within a band's bucket every member is verified against its smallest one, so a bucket never makes all of its pairs.
+    Equal fingerprints are one class, named by its smallest doc_id; the class is linked to each of its other doc_ids, with
+    likeness 1. A band is ``rows`` digits of one octave at random places. Within a band's bucket every member is verified
+    against one of them; then all that are not yet in one component against each other, in pairs of blocks. So a bucket
+    of alike members never makes all of its pairs, and no link that joins components is lost: of two that share a band
+    and are alike, each is reached from the other. A null doc_id is always b.
     """
     r = np.random.default_rng(bands * 1000 + rows)
-    classes = staged(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")))
+    given = prints.select("doc_id", F.coalesce("fingerprint", F.lit("")).alias("fingerprint")).distinct()
+    classes = staged(given.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.monotonically_increasing_id()))
     picks = []
     for k in range(bands):
         octave = k % 8
         places = sorted(int(x) + octave * SAMPLES + 1 for x in r.choice(SAMPLES, rows, replace=False))
         picks.append(F.when(F.length("fingerprint") >= (octave + 1) * SAMPLES, F.concat(F.lit(f"{k}:"), *[F.substring("fingerprint", p, 1) for p in places])))
-    banded = classes.select("doc_id", "fingerprint", F.explode(F.array_compact(F.array(*picks))).alias("band"))
-    heads = banded.groupBy("band").agg(F.min("doc_id").alias("a")).join(classes.select(F.col("doc_id").alias("a"), F.col("fingerprint").alias("head")), "a")
-    found = banded.join(heads, "band").filter("doc_id <> a").select("a", F.col("doc_id").alias("b"), "head", "fingerprint").dropDuplicates(["a", "b"])
+    banded = classes.select("node", "fingerprint", F.explode(F.array_compact(F.array(*picks))).alias("band"))
+    heads = banded.groupBy("band").agg(F.min("node").alias("a")).join(classes.select(F.col("node").alias("a"), F.col("fingerprint").alias("head")), "a")
+    found = banded.join(heads, "band").filter("node <> a").select("a", F.col("node").alias("b"), "head", "fingerprint").dropDuplicates(["a", "b"])
 
     @F.pandas_udf("double")
     def alike(x, y):  # noqa: ANN001, ANN202
         return x.combine(y, likeness)
 
-    return found.withColumn("likeness", alike("head", "fingerprint")).filter(F.col("likeness") >= least).select("a", "b", "likeness")
+    links = staged(found.withColumn("likeness", alike("head", "fingerprint")).filter(F.col("likeness") >= least).select("a", "b", "likeness"))
+
+    # buckets that are not yet one component: all of their members against each other
+    labelled = staged(banded.join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    open_ = labelled.groupBy("band").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    open_ = open_.select("band", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = labelled.join(open_, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "fingerprint")
+
+    def compared(key: tuple, members: pa.Table) -> pa.Table:
+        node, block = (members.column(c).to_numpy() for c in ("node", "block"))
+        left, right = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
+        got = _links(members.column("fingerprint").to_pylist(), members.column("comp").to_pylist(), left, right, least)
+        return pa.table({"a": pa.array([int(node[i]) for i, _, _ in got], pa.int64()), "b": pa.array([int(node[j]) for _, j, _ in got], pa.int64()), "likeness": pa.array([x for _, _, x in got], pa.float64())})
+
+    rest = dealt.groupBy("band", "i", "j").applyInArrow(compared, "a long, b long, likeness double")
+    both = links.unionByName(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness").dropDuplicates(["a", "b"])
+    name = lambda c: classes.select(F.col("node").alias(c), F.col("doc_id").alias(f"{c}_id"))
+    pairs = both.join(name("a"), "a").join(name("b"), "b").select("a_id", "b_id", "likeness")
+    equal = given.join(classes.select("fingerprint", F.col("doc_id").alias("a_id")), "fingerprint").select("a_id", F.col("doc_id").alias("b_id"), F.lit(1.0).alias("likeness"))
+    out = pairs.unionByName(equal).filter(~F.col("a_id").eqNullSafe(F.col("b_id")))
+    return out.select(F.least("a_id", "b_id").alias("a"), F.when(F.col("a_id").isNotNull() & F.col("b_id").isNotNull(), F.greatest("a_id", "b_id")).alias("b"), "likeness")
