@@ -400,6 +400,27 @@ def test_near_pairs_without_the_head(spark, monkeypatch, block):
     assert joined(prints, pairs) == want and len(set(want.values())) > 20
 
 
+def test_near_pairs_of_late_octaves_and_short_texts(spark):
+    r = np.random.default_rng(9)
+    prints = {}
+    for octaves in (3, 9, 12, 16):  # other openings, the last two octaves alike
+        ending = hexed(r, 48)
+        prints |= {len(prints) + k: hexed(r, (octaves - 2) * 24) + ending for k in range(3)}
+    for n in range(1, 24):  # one digit changed, added, or as many as may be
+        x = hexed(r, n)
+        for at in range(0, n, 4):
+            prints[len(prints)] = x[:at] + ("0" if x[at] != "0" else "1") + x[at + 1 :]
+        prints |= {len(prints): x, len(prints) + 1: x + "7", len(prints) + 2: x + "77777"}
+        out = list(x)
+        for at in r.choice(n, int(n * 0.28125), replace=False):
+            out[at] = "8" if x[at] != "8" else "9"
+        prints[len(prints)] = "".join(out)
+    d = spark.createDataFrame(list(prints.items()), "doc_id long, fingerprint string").repartition(3)
+    pairs = [(p["a"], p["b"]) for p in edit_fingerprint.near_pairs(d).collect()]
+    want = joined(prints, brute_pairs(prints))
+    assert joined(prints, pairs) == want and all(want[3 * k] == want[3 * k + 2] for k in range(4))
+
+
 def test_top_k(spark):
     r = np.random.default_rng(5)
     v = [(i, r.normal(size=6).tolist()) for i in range(450)]

@@ -20,11 +20,12 @@ are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.common import buckets_for, chunks, only, staged, text_bytes
@@ -37,6 +38,12 @@ ROUND, RANGE_TEXT = 128, 16 << 20
 MOST_RANGES, TABLE = 2000, 1 << 20
 #: Fingerprints of a band's bucket that are compared with as many others at a time.
 BLOCK = 2048
+#: Octaves after the first steps, as many as Walk samples.
+MOST_OCTAVES = 36
+#: Digits of a piece of a short fingerprint, and the lengths of fingerprints that are cut so. Of two whose likeness is 0.7 at
+#: least, the shorter one of n < SAMPLES digits, the longer one has at most n / 0.71875 digits, and of the first n at most
+#: n - 0.71875 n differ: fewer than there are whole pieces, of two digits for n under 12 (one if n = 1), of three from there on.
+PIECES = {1: (1, 3), 2: (2, 15), 3: (12, 33)}
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 OUT_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -57,7 +64,7 @@ class Walk:
         self.stay = stay.reshape(-1)
         self.digit = r.integers(0, 16, size=CLASSES).astype(np.uint8)
         steps = [np.arange(SAMPLES)]
-        for k in range(36):
+        for k in range(MOST_OCTAVES):
             steps.append(np.sort(((1 + r.random(SAMPLES)) * (SAMPLES << k)).astype(np.int64)))
         self.samples = np.concatenate(steps)
         self.count = np.searchsorted(self.samples, np.arange(TABLE)).astype(np.int16)
@@ -219,24 +226,40 @@ def _links(fingerprints: list[str], comps: list[int], left: np.ndarray, right: n
     return out
 
 
+def _bands(bands: int, rows: int) -> Callable[[str], Column]:
+    """The bands of a fingerprint: octave and number (or piece), and the digits there."""
+    r = np.random.default_rng(bands * 1000 + rows)
+    octaves = 1 + MOST_OCTAVES
+    # a third of the bands has its places in the first third of an octave, a third in two thirds: the last octave may end early
+    places = [[np.sort(r.choice(max(rows, SAMPLES * (j % 3 + 1) // 3), rows, replace=False)) + octave * SAMPLES for j in range(bands)] for octave in range(octaves)]
+
+    def of(fingerprint: pd.Series) -> pd.Series:
+        out = []
+        for x in fingerprint:
+            found = [f"{o}.{j}:" + "".join(x[i] for i in p) for o in range(min(octaves, -(-len(x) // SAMPLES))) for j, p in enumerate(places[o]) if p[-1] < len(x)]
+            for width, (shortest, longest) in PIECES.items():
+                if shortest <= len(x) <= longest:
+                    found += [f"{width}/{i}:{x[i : i + width]}" for i in range(0, min(len(x), SAMPLES) - width + 1, width)]
+            out.append(found)
+        return pd.Series(out)
+
+    return F.pandas_udf(of, "array<string>")
+
+
 def near_pairs(prints: DataFrame, bands: int = 12, rows: int = 6, least: float = 0.7) -> DataFrame:
     """a, b, likeness: links between fingerprints (columns doc_id, fingerprint) that share a band of sampled digits and are alike.
 
     Equal fingerprints are one class, named by its smallest doc_id; the class is linked to each of its other doc_ids, with
-    likeness 1. A band is ``rows`` digits of one octave at random places. Within a band's bucket every member is verified
+    likeness 1. Of every octave that a fingerprint reaches there are ``bands`` bands, each ``rows`` digits at random places
+    that it reaches. Short fingerprints are also cut in ``PIECES``, so that all pairs with one of under an octave are found.
+    Within a band's bucket every member is verified
     against one of them; then all that are not yet in one component against each other, in pairs of blocks. So a bucket
     of alike members never makes all of its pairs, and no link that joins components is lost: of two that share a band
     and are alike, each is reached from the other. A null doc_id is always b.
     """
-    r = np.random.default_rng(bands * 1000 + rows)
     given = prints.select("doc_id", F.coalesce("fingerprint", F.lit("")).alias("fingerprint")).distinct()
     classes = staged(given.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.monotonically_increasing_id()))
-    picks = []
-    for k in range(bands):
-        octave = k % 8
-        places = sorted(int(x) + octave * SAMPLES + 1 for x in r.choice(SAMPLES, rows, replace=False))
-        picks.append(F.when(F.length("fingerprint") >= (octave + 1) * SAMPLES, F.concat(F.lit(f"{k}:"), *[F.substring("fingerprint", p, 1) for p in places])))
-    banded = classes.select("node", "fingerprint", F.explode(F.array_compact(F.array(*picks))).alias("band"))
+    banded = classes.select("node", "fingerprint", F.explode(_bands(bands, rows)("fingerprint")).alias("band"))
     heads = banded.groupBy("band").agg(F.min("node").alias("a")).join(classes.select(F.col("node").alias("a"), F.col("fingerprint").alias("head")), "a")
     found = banded.join(heads, "band").filter("node <> a").select("a", F.col("node").alias("b"), "head", "fingerprint").dropDuplicates(["a", "b"])
 
