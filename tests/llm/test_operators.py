@@ -421,6 +421,24 @@ def test_near_pairs_of_late_octaves_and_short_texts(spark):
     assert joined(prints, pairs) == want and all(want[3 * k] == want[3 * k + 2] for k in range(4))
 
 
+def test_near_pairs_of_texts(spark, documents):
+    """Against all pairs: long texts, with other openings of the same length, with edits, copies of short ones; and the small documents."""
+    r = np.random.default_rng(10)
+    said = lambda n: "".join("etaoin shrdlu"[k] for k in r.integers(0, 13, n))
+    texts = ["", "a", "b"]
+    for n in (8, 20, 90, 700, 5000, 30_000, 60_000):
+        for _ in range(3):
+            x = said(n)
+            texts += [x, x[:-1] + "!", x + "?", said(n // 16) + x[n // 16 :], x[: n // 3] + "edit" + x[n // 3 :], x]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for table, enough in ((d, 40), (documents.filter("doc_id is not null"), 5)):
+        prints = edit_fingerprint.compare_with_edited(table).select("doc_id", "fingerprint").cache()
+        known = {x["doc_id"]: x["fingerprint"] for x in prints.collect()}
+        pairs = [(p["a"], p["b"]) for p in edit_fingerprint.near_pairs(prints).collect()]
+        want = joined(known, brute_pairs(known))
+        assert joined(known, pairs) == want and len(known) - len(set(want.values())) >= enough
+
+
 def test_top_k(spark):
     r = np.random.default_rng(5)
     v = [(i, r.normal(size=6).tolist()) for i in range(450)]
