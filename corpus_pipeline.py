@@ -15,15 +15,22 @@ from tidepool.llm import jaccard_join, lang_id, line_dedup, mixing, packing
 from tidepool.llm.common import staged
 from tidepool.llm.queries import tokenizer
 
-#: A document stays if some language takes at least this share of its positions.
+#: A document of mostly other characters than letters stays if some language takes at least this share of its positions.
 LEAST_SHARE = 0.5
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language that's sure enough, go."""
+    """Documents without a letter go, and those of mostly other characters in which no language is sure enough.
+
+    A low score alone tells nothing: texts in several languages and very short ones have it too. Where no row has a
+    language to learn from, all documents with a letter stay.
+    """
     net = lang_id.train(lang_id.training_sample(docs))
+    if net is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     labelled = lang_id.label_rows(docs, net)
-    return labelled.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("row.*")
+    others, letters = (F.length(F.regexp_replace("row.text", x, "")) for x in (r"[\p{L}\p{M}\s]+", r"[^\p{L}\p{M}]+"))
+    return labelled.filter((F.col("lang_pred") != "und") & ((F.col("score") >= LEAST_SHARE) | (letters >= others))).select("row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import collections
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tests.llm.test_operators import brute_lines
 
 
@@ -30,3 +31,15 @@ def test_stages(spark, documents):
 
 def test_run(spark, data):
     assert corpus_pipeline.run(spark, data).count() > 0
+
+
+def test_language_stage_keeps_clean_documents(spark, data, documents):
+    d = spark.read.parquet(f"{data}/documents.parquet")
+    mixed = " ".join(r["text"][:400] for r in d.filter("length(text) > 400 and lang is not null").groupBy("lang").agg(F.min("text").alias("text")).collect())
+    odd = [(-1, mixed), (-2, "Die tz."), (-3, "A.\nAll rights reserved."), (-4, "De."), (-5, "12 % !!"), (-6, None)]
+    clean = d.filter(F.col("text").rlike(r"\p{L}"))
+    rows = d.unionByName(spark.createDataFrame(odd, "doc_id long, text string"), allowMissingColumns=True)
+    kept = corpus_pipeline.identify_languages(spark, rows, "")
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in clean.select("doc_id").collect()} | {-1, -2, -3, -4}
+    none = corpus_pipeline.identify_languages(spark, documents.withColumn("lang", F.lit(None).cast("string")), "")
+    assert none.count() == documents.filter(F.col("text").rlike(r"\p{L}")).count() > 60
