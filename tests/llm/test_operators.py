@@ -195,6 +195,19 @@ def test_keep_one(documents, rows):
     assert len(ids) == len(set(ids)) and 3 in ids and {r[0] for r in rows if not (r[1] or "").strip()} <= set(ids)
 
 
+def test_keep_one_by_row(spark):
+    base = [" ".join(f"w{k}x{i * i}" for i in range(40)) for k in range(4)]
+    near = lambda k, end: f"{base[k]} {end}"
+    rows = [(1, base[0]), (5, near(0, "a")), (5, base[1]), (5, base[1]), (None, base[2]), (None, near(2, "b")), (None, near(2, "c")), (None, base[3]), (7, near(2, "d")), (8, ""), (8, None), (None, "")]
+    rows += [(9, near(0, "e")), (1, near(0, "f"))]
+    got = [tuple(r) for r in jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    first = [x for x in got if x[1] and x[1].startswith(base[0])]
+    third = [x for x in got if x[1] and x[1].startswith(base[2])]
+    assert [i for i, _ in first] == [1] and [i for i, _ in third] == [None]
+    assert sorted(map(repr, set(got) - {*first, *third})) == sorted(map(repr, [(5, base[1]), (None, base[3]), (8, ""), (8, None), (None, "")]))
+    assert len(got) == len(set(got))
+
+
 def test_packing(documents, rows):
     from tokenizers import Tokenizer
 

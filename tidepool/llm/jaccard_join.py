@@ -472,13 +472,22 @@ def join_components(documents: DataFrame, shingle: int = SHINGLE, percent: int =
 
 
 def keep_one(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents without all but the smallest id of each component, and without repeats of one id and text."""
+    """One row of each component, with the smallest id (null before all; then the smallest hash), and no repeats of one id and text.
+
+    Rows are told apart by id and a 64-bit hash of id and text, so a row is never removed for what others with its id are linked to.
+    """
     names = {c.lower(): c for c in documents.columns}
-    doc_id = F.col(f"`{names['doc_id']}`")
-    found = staged(join_components(documents, shingle, percent))
-    gone = staged(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct())
-    hit = maybe_among(gone, "__gone")(F.coalesce(doc_id.cast("long"), F.lit(NO_ID).cast("long")))
-    held = documents.filter(hit).join(gone, doc_id.cast("long") == F.col("__gone"), "left_anti")
+    doc_id, text = (F.col(f"`{names[c]}`") for c in ("doc_id", "text"))
+    own, key = doc_id.cast("long"), F.xxhash64(text, doc_id.cast("long"))
+    found = staged(join_components(documents.select(key.alias("doc_id"), text.alias("text")), shingle, percent))
+    linked = found.filter("doc_id <> component_id").select("doc_id", "component_id")
+    members = staged(linked.unionByName(linked.select(F.col("component_id").alias("doc_id"), "component_id")).distinct())
+    named = documents.filter(maybe_among(members, "doc_id")(key)).select(key.alias("key"), own.alias("own")).distinct()
+    named = staged(named.join(members, F.col("key") == F.col("doc_id")).select("key", "own", "component_id"))
+    stays = named.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNotNull().alias("known"), "own", "key")).alias("x")).select("x.key")
+    gone = staged(named.join(stays, "key", "left_anti").select(F.col("key").alias("__gone"), F.col("own").alias("__own")))
+    hit = maybe_among(gone, "__gone")(key)
+    held = documents.filter(hit).join(gone, (key == F.col("__gone")) & own.eqNullSafe(F.col("__own")), "left_anti")
     out = documents.filter(~hit).unionByName(held)
     if found.groupBy("doc_id").count().filter("count > 1").take(1):
         out = out.dropDuplicates([names["doc_id"], names["text"]])
