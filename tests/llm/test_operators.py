@@ -232,6 +232,41 @@ def test_packing(documents, rows):
     assert len(places) <= -(-tokens // capacity) + 2
 
 
+@pytest.mark.parametrize("remembered", [300, 500_000])
+def test_chunk_tokenizer_is_the_tokenizer(remembered):
+    """Combining marks, special tokens, controls, other blanks and contractions, in mixed batches: the same ids throughout."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    whole, own, r = Tokenizer.from_file(path), packing.ChunkTokenizer(path, remembered), np.random.default_rng(remembered)
+    assert own.bare is not None
+    atoms = [*"abcJTWHhÉéÀößÿÆŞİıſK.,12²½中🙂ςǅ-(_~<|>'", "\u030c", "\u0331", "\u0308", "\u030a", "\u0301", "\u0307", "'s", "'S", "'LL", "###", "<|", "|>", "<|endoftext|>", "endoftext"]
+    atoms += ["\t", "\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u200b", "\x00", "\x01", "\x7f", "ΑΣ", "ﬁ", *" " * 6]
+    texts = ["J\u030c", "H\u0331 T\u0308", "W\u030a", "", " ", *("".join(atoms[k] for k in r.integers(0, len(atoms), r.integers(0, 14))) for _ in range(50_000))]
+    for s in range(0, len(texts), 400):
+        part = texts[s : s + 400]
+        ids, offsets = own.encode(pa.array(part, pa.string()), 0)
+        want = [[*x.ids, 0] for x in whole.encode_batch(part, add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == want
+
+
+def test_chunk_tokenizer_of_other_rules(tmp_path):
+    """Where the tokenizer doesn't fold case, no word stands for another."""
+    import json
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    with open(tokenizer("word_bpe_49k.json"), encoding="utf-8") as f:
+        rules = json.load(f)
+    rules["normalizer"]["normalizers"] = rules["normalizer"]["normalizers"][:2]
+    (tmp_path / "t.json").write_text(json.dumps(rules), encoding="utf-8")
+    own, texts = packing.ChunkTokenizer(str(tmp_path / "t.json")), ["Some Words, some words", "ÉTÉ été"]
+    ids, _ = own.encode(pa.array(texts), 0)
+    assert own.bare is None and ids.tolist() == [i for x in Tokenizer.from_file(str(tmp_path / "t.json")).encode_batch(texts, add_special_tokens=False) for i in [*x.ids, 0]]
+
+
 def test_plan_uses_every_piece_once():
     r = np.random.default_rng(3)
     for _ in range(20):

@@ -1,6 +1,6 @@
 """Best-fit packing by exact-complement hashing.
 
-Documents are tokenised (each distinct white-space chunk once per task, its ids reused), ended by id 0 and cut into
+Documents are tokenised (each distinct word once per worker process, its ids reused), ended by id 0 and cut into
 pieces of at most ``capacity`` tokens. Packing needs the lengths alone: their histogram has at most ``capacity`` rows.
 On it, from the longest length down, the gap beside a length is looked up among single, pair and triple sums of the
 lengths still available; what fills it exactly is consumed as often as the counts allow. The residual lengths go
@@ -14,6 +14,10 @@ Extra columns are not read. An empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import json
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -26,31 +30,47 @@ from pyspark.sql import functions as F
 
 from tidepool.llm.common import chunks, only, staged, text_array, words_of
 
-#: Distinct chunks whose ids a task remembers; it starts anew beyond that.
+#: Distinct words whose ids a worker process remembers, from task to task; it starts anew beyond that.
 REMEMBERED = 500_000
-#: Chunks that are encoded at a time, and text bytes that are cut at a time.
+#: Words that are encoded at a time, and text bytes that are cut at a time.
 LEARNT, CUT_TEXT = 16_384, 4 << 20
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
 _PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+#: The normaliser and the end of the splitting pattern under which words of Latin letters are known to keep their ids.
+FOLDING, SPLITTING = [("NFC", None), ("Replace", {"Regex": r"\s+"}), ("Lowercase", None)], r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LATIN, _SMALL = "À-ÖØ-öø-ÿ", "ß-öø-ÿ"
 
 
 class ChunkTokenizer:
-    """Token ids of texts for tokenizers that never join across white space: distinct chunks are encoded once."""
+    """Token ids of texts for tokenizers that never join across white space: each distinct word is encoded once.
+
+    Where the tokenizer's own rules are those of ``FOLDING``, more is known of words of printable ASCII and Latin-1 letters
+    that can't hold a special token (all are composed, and none changes beside another): a word has the ids of its lower
+    case; with punctuation after its last letter or digit, the ids of both parts; and one of letters alone passes the
+    normaliser and the splitting unchanged, so that a tokenizer without them is enough. Each depends on the word alone.
+    """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
-        apart, joined = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("a . b ,", "A. B,"))
-        self.lower = apart == joined
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        self.tokenizer, self.bare, self.remembered = Tokenizer.from_file(path), None, remembered
+        normal, cuts = rules.get("normalizer") or {}, (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        steps = [(x.get("type"), x.get("pattern")) for x in normal.get("normalizers", [])]
+        split = [x.get("pattern", {}).get("Regex", "") for x in cuts if x.get("type") == "Split"]
+        self.special = {x["content"][:2] for x in rules.get("added_tokens", [])}
+        if steps == FOLDING and len(split) == 1 and split[0].endswith(SPLITTING) and all(len(x) == 2 and not x.isalnum() for x in self.special):
+            rules["normalizer"], rules["pre_tokenizer"]["pretokenizers"] = None, [x for x in cuts if x.get("type") != "Split"]
+            self.bare = Tokenizer.from_str(json.dumps(rules))
         self.forget()
 
     def forget(self) -> None:
-        self.seen: dict[str, int] = {}
+        self.seen: dict[str, int] = {"": 0}
         self.ids, self.lengths, self.used = np.zeros(1 << 20, dtype=np.uint32), np.zeros(1 << 18, dtype=np.int32), 0
 
-    def _learn(self, fresh: list[str]) -> None:
-        encoded = self.tokenizer.encode(fresh, is_pretokenized=True, add_special_tokens=False)
+    def _learn(self, fresh: list[str], tokenizer) -> None:  # noqa: ANN001
+        encoded = tokenizer.encode(fresh, is_pretokenized=True, add_special_tokens=False)
         ids, n = np.array(encoded.ids, dtype=np.uint32), len(self.seen)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -61,28 +81,53 @@ class ChunkTokenizer:
         self.used += len(ids)
         self.seen.update(zip(fresh, range(n, n + len(fresh)), strict=True))
 
+    def parts(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Two words for each word, the second often empty, whose ids in a row are the word's."""
+        none = pa.array([""] * len(words), pa.string())
+        if self.bare is None:
+            return words, none
+        plain = pc.match_substring_regex(words, rf"^[!-~{_LATIN}]+$")
+        for x in self.special:
+            plain = pc.and_not(plain, pc.match_substring(words, x))
+        words = pc.if_else(plain, pc.utf8_lower(words), words)
+        # what follows the last letter or digit
+        plain = pc.and_(plain, pc.match_substring_regex(words, rf"[a-z0-9{_LATIN}][!-/:-@\[-`{{-~]+$"))
+        if not pc.any(plain).as_py():
+            return words, none
+        stem, at = pc.ascii_rtrim(words, characters=string.punctuation), plain.to_numpy(zero_copy_only=False)
+        tails = np.full(len(words), "", dtype=object)
+        tails[at] = pc.replace_substring_regex(words.filter(plain), rf"^.*[a-z0-9{_LATIN}]", "").to_numpy(zero_copy_only=False)
+        return pc.if_else(plain, stem, words), pa.array(tails, pa.string())
+
+    def _known(self, words: pa.Array) -> np.ndarray:
+        """The number of each word, learnt first where it's new."""
+        coded = words.dictionary_encode()
+        values = coded.dictionary.to_pylist()
+        at = np.fromiter(map(self.seen.get, values, itertools.repeat(-1)), dtype=np.int64, count=len(values))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = [values[i] for i in new.tolist()]
+            bare = pc.match_substring_regex(pa.array(fresh, pa.string()), rf"^[a-z{_SMALL}]+$").to_pylist() if self.bare is not None else [False] * len(fresh)
+            for tokenizer, kind in ((self.bare, True), (self.tokenizer, False)):
+                own = list(itertools.compress(fresh, bare if kind else [not x for x in bare]))
+                for s in range(0, len(own), LEARNT):
+                    self._learn(own[s : s + LEARNT], tokenizer)
+            at[new] = np.fromiter(map(self.seen.__getitem__, fresh), dtype=np.int64, count=len(fresh))
+        return at[coded.indices.to_numpy(zero_copy_only=False)]
+
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end``; and the offsets of the texts."""
-        # case and a final comma or stop make no difference to a word's own ids: fewer distinct chunks are left to encode
-        lower = self.lower and not pc.any(pc.match_substring(texts, "<|")).as_py()
-        if lower:
-            texts = pc.replace_substring_regex(texts, r"([A-Za-z])([.,])(\s|$)", r"\1 \2\3")
-        words = words_of(texts, lower=lower)
-        values = words.values.to_pylist()
-        if len(self.seen) + len(values) > self.remembered:
+        words = words_of(texts, lower=False)
+        if len(self.seen) > self.remembered:
             self.forget()
-        fresh = [v for v in values if v not in self.seen]
-        for s in range(0, len(fresh), LEARNT):
-            self._learn(fresh[s : s + LEARNT])
-        at = np.fromiter((self.seen[v] for v in values), dtype=np.int64, count=len(values))
+        of = np.stack([self._known(x) for x in self.parts(words.values)], axis=1).reshape(-1)
         starts = np.zeros(len(self.seen) + 1, dtype=np.int64)
         np.cumsum(self.lengths[: len(self.seen)], out=starts[1:])
-        of, n = at[words.codes], len(texts)
-        lengths = self.lengths[of].astype(np.int64)
-        ends = np.zeros(len(of) + 1, dtype=np.int64)
-        np.cumsum(lengths, out=ends[1:])
-        body = self.ids[np.repeat(starts[of] - ends[:-1], lengths) + np.arange(ends[-1])]
-        offsets = ends[words.offsets] + np.arange(n + 1)
+        # the ids of the batch's distinct words, and with them those of all words
+        distinct, where = _gathered(self.ids, starts[of], self.lengths[of].astype(np.int64))
+        where = where[::2]
+        body, ends = _gathered(distinct, where[words.codes], np.diff(where)[words.codes])
+        offsets = ends[words.offsets] + np.arange(len(texts) + 1)
         out = np.full(offsets[-1], end, dtype=np.uint32)
         inside = np.ones(len(out), dtype=bool)
         inside[offsets[1:] - 1] = False
@@ -90,11 +135,26 @@ class ChunkTokenizer:
         return out, offsets
 
 
+def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges of ``values`` one after another, and their offsets."""
+    ends = np.zeros(len(lengths) + 1, dtype=np.int64)
+    np.cumsum(lengths, out=ends[1:])
+    index = np.repeat(starts - ends[:-1], lengths)
+    index += np.arange(ends[-1])
+    return values[index], ends
+
+
+@functools.lru_cache(maxsize=2)
+def worker_tokenizer(path: str) -> ChunkTokenizer:
+    """One per worker process, so that what a task learnt serves the next."""
+    return ChunkTokenizer(path)
+
+
 def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, and part and nth: the task and the running number within part and length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part, counts = ChunkTokenizer(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+        tokenizer, part, counts = worker_tokenizer(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for b in chunks(batches, limit=CUT_TEXT):
             ids, offsets = tokenizer.encode(text_array(b), end)
             whole = np.diff(offsets)
