@@ -487,24 +487,56 @@ def test_near_pairs_of_texts(spark, documents):
         assert joined(known, pairs) == want and len(known) - len(set(want.values())) >= enough
 
 
+def brute_top_k(v, k=10):
+    rows = [(n, i, [math.floor(1024 * c) if abs(c) < 1e300 else int(c) * 1024 for c in x]) for n, (i, x) in enumerate(v) if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x)]
+    out = []
+    for n, i, x in rows:
+        if i % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), j) for m, j, y in rows if m != n and len(x) == len(y))[:k]
+            out += [(i, rank, j, str(-s)) for rank, (s, j) in enumerate(best, 1)]
+    return sorted(out, key=repr)
+
+
 def test_top_k(spark):
     r = np.random.default_rng(5)
     v = [(i, r.normal(size=6).tolist()) for i in range(450)]
-    v += [(1000 + i, v[7][1]) for i in range(20)] + [(2000, None), (2100, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2200, [float("nan")] * 6), (2300, [float("inf")] * 6), (None, [1.0] * 6), (2400, [1.0, 2.0]), (3, v[3][1]), (2500, [])]
+    v += [(1000 + i, v[7][1]) for i in range(20)] + [(2000, None), (2100, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2200, [float("nan")] * 6), (2300, [float("inf")] * 6), (None, [1.0] * 6), (2400, [1.0, 2.0]), (3, v[3][1]), (2500, []), (2500, []), (100, v[100][1]), (100, v[8][1])]
     d = spark.createDataFrame(v, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")).repartition(4)
-    ints = {}
-    for i, x in v:
-        if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x):
-            ints[i] = [math.floor(1024 * c) for c in x]
-    want = []
-    for q in ints:
-        if q % 100 == 0:
-            best = sorted((-sum(a * b for a, b in zip(ints[q], y, strict=True)), i) for i, y in ints.items() if i != q and len(y) == len(ints[q]))[:10]
-            want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
-    assert collected(topk.top_k(d), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+    got = topk.top_k(d)
+    assert collected(got, "query_id", "rank", "vec_id", "exact_score") == brute_top_k(v)
+    assert got.filter("cast(score as string) <> exact_score").count() == 0
     assert topk.top_k(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [3e5, 1e12, 1e200, 1.7e308])
+def test_top_k_of_large_components(spark, size):
+    """Beyond 64 bits, beyond doubles, with a constant column and small components beside large ones."""
+    r = np.random.default_rng(6)
+    v = [(i, [*(r.normal(size=3) * size).tolist(), 5.0, float(r.normal())]) for i in range(150)]
+    v += [(200 + i, [size * (1 + i * 2.0**-50), 0.0, 0.0, 5.0, 1.0]) for i in range(30)] if size < 1e308 else []
+    v = [(i, [max(min(c, 1.7e308), -1.7e308) for c in x]) for i, x in v] + [(300, [1.0, 0.0, 0.0, 0.0, 0.0]), (400, [0.0] * 5)]
+    got = topk.top_k(spark.createDataFrame(v, "vec_id long, embedding array<double>").repartition(3))
+    assert collected(got, "query_id", "rank", "vec_id", "exact_score") == brute_top_k(v)
+    for x in got.collect():
+        assert x["score"] == min(max(int(x["exact_score"]), -(1 << 63)), (1 << 63) - 1)
+
+
+def test_top_k_reads_few_files(spark):
+    """One query: files whose vectors' bounds don't reach the threshold aren't opened."""
+    rows = spark.range(4000).selectExpr("id as vec_id", "array(cast(id as float), float(1)) as embedding").repartitionByRange(8, "vec_id")
+    file = topk.VectorFile.build(topk.valid_vectors(rows))
+    near = file.rows_of(spark.createDataFrame([(r["row"],) for r in file.exact.filter("vec_id > 3990").collect()], "row long"))
+    assert 1 <= len(near.inputFiles()) < len(file.exact.inputFiles()) == 8
+    found = file.search(spark.createDataFrame([(None, -5, [2.0, 0.0])], "row long, vec_id long, e array<float>"), 3).collect()
+    assert sorted((x["rank"], x["vec_id"], x["score"]) for x in found) == [(1, 3999, 2048 * 3999 * 1024), (2, 3998, 2048 * 3998 * 1024), (3, 3997, 2048 * 3997 * 1024)]
+
+
+def test_sort_keys():
+    r = np.random.default_rng(2)
+    x = sorted([int(a) * 10 ** int(b) for a, b in zip(r.integers(-1000, 1000, 500), r.integers(0, 600, 500), strict=True)] + [0, 1, -1])
+    assert [topk.sort_key(i) for i in x] == sorted(topk.sort_key(i) for i in x)
+
+
 def test_gradients_of_the_network():
     r = np.random.default_rng(0)
     net = lang_id.Network.new(["a", "b"])
