@@ -1,6 +1,6 @@
 """Best-fit packing by exact-complement hashing.
 
-Documents are tokenised (each distinct word once per worker process, its ids reused), ended by id 0 and cut into
+Documents are tokenised (each distinct word once per task, its ids reused), ended by id 0 and cut into
 pieces of at most ``capacity`` tokens. Packing needs the lengths alone: their histogram has at most ``capacity`` rows.
 On it, from the longest length down, the gap beside a length is looked up among single, pair and triple sums of the
 lengths still available; what fills it exactly is consumed as often as the counts allow. The residual lengths go
@@ -14,7 +14,6 @@ Extra columns are not read. An empty table gives no rows.
 
 from __future__ import annotations
 
-import functools
 import itertools
 import json
 import string
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm.common import chunks, only, staged, text_array, words_of
 
-#: Distinct words whose ids a worker process remembers, from task to task; it starts anew beyond that.
+#: Distinct words whose ids a task remembers; it starts anew beyond that.
 REMEMBERED = 500_000
 #: Words that are encoded at a time, and text bytes that are cut at a time.
 LEARNT, CUT_TEXT = 16_384, 4 << 20
@@ -144,17 +143,11 @@ def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tu
     return values[index], ends
 
 
-@functools.lru_cache(maxsize=2)
-def worker_tokenizer(path: str) -> ChunkTokenizer:
-    """One per worker process, so that what a task learnt serves the next."""
-    return ChunkTokenizer(path)
-
-
 def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, and part and nth: the task and the running number within part and length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part, counts = worker_tokenizer(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+        tokenizer, part, counts = ChunkTokenizer(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for b in chunks(batches, limit=CUT_TEXT):
             ids, offsets = tokenizer.encode(text_array(b), end)
             whole = np.diff(offsets)
