@@ -34,23 +34,48 @@ MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; a temporary one only where it's unset (tests)."""
+    """The folder that the cluster shares, from spark.checkpoint.dir; a temporary one only where it's unset on one machine (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="tidepool-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def _session_dir(spark: SparkSession) -> str:
+    """This application's folder of staged tables; the driver's end deletes it."""
+    path = f"{shared_dir(spark)}/tidepool/{spark.sparkContext.applicationId}"
+    if path not in _STAGED:
+        _STAGED.add(path)
+        jvm = spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+_STAGED: set[str] = set()
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read again: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidepool/{uuid.uuid4().hex}"
+    path = f"{_session_dir(spark)}/{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read any more."""
+    for t in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            if folder.rsplit("/", 2)[-2] == t.sparkSession.sparkContext.applicationId:
+                at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+                at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def text_bytes(documents: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a column, by one narrow aggregation; sizes the number of hash buckets and groups."""
     return documents.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
