@@ -14,7 +14,8 @@ A hot chunk is aggregated before the shuffle to its first occurrence, and joins
 
 Nulls: a null text stays null and has no lines; a null doc_id sorts first. Rows that repeat doc_id and text are one
 document: they are treated alike, and their chunks stay where the first occurrence is theirs. An empty text is one empty
-line. Blank lines don't count towards ``LEAST``. All columns are kept, whatever their names; an empty table gives no rows.
+line. Blank lines don't count towards ``LEAST``. All columns are kept, whatever their names, but one named
+line_dedup, whose place the result takes; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -136,19 +137,23 @@ def removals(documents: DataFrame, least: int = LEAST, runs: bool = False) -> Da
 def dedup_lines(documents: DataFrame, least: int = LEAST, runs: bool = False) -> DataFrame:
     """The documents with repeated chunks taken out of their text, and line_dedup: n_lines, n_removed beside the columns.
 
+    A column of the documents that is named line_dedup itself is replaced.
+
     With ``runs``, also the lines beside a repeated chunk as far as they equal those beside its first occurrence.
     """
-    found = staged(removals(documents, least, runs).select(F.col("doc_id").alias("__cut_doc"), F.col("row").alias("__cut_row"), F.col("cuts").alias("__cuts")))
     names = {c.lower(): c for c in documents.columns}
-    doc_id, text = (F.col(f"`{names[c]}`") for c in ("doc_id", "text"))
-    row = _row(doc_id.cast("long"), text)
-    hit = maybe_among(found, "__cut_row")(row)  # the others have nothing to lose and stay where they are
-    cut = documents.filter(hit).join(found, doc_id.cast("long").eqNullSafe(F.col("__cut_doc")) & row.eqNullSafe(F.col("__cut_row")), "left").drop("__cut_doc", "__cut_row")
-    joined = cut.unionByName(documents.filter(~hit).withColumn("__cuts", F.lit(None).cast(found.schema["__cuts"].dataType)))
-    lines, cuts = F.split(text, "\n", -1), F.col("__cuts")
+    found = staged(removals(documents, least, runs))
+    doc_id, text = F.col("own_id"), F.col("own_text")
+    # the row is carried as one struct, so that no name of its columns clashes
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("whole"), F.col(f"`{names['doc_id']}`").cast("long").alias("own_id"), F.col(f"`{names['text']}`").cast("string").alias("own_text"))
+    rows = rows.withColumn("own_row", _row(doc_id, text))
+    hit = maybe_among(found, "row")(F.col("own_row"))  # the others have nothing to lose and stay where they are
+    cut = rows.filter(hit).join(found, doc_id.eqNullSafe(F.col("doc_id")) & (F.col("own_row") == F.col("row")), "left").select("whole", "own_text", "cuts")
+    joined = cut.unionByName(rows.filter(~hit).select("whole", "own_text", F.lit(None).cast(found.schema["cuts"].dataType).alias("cuts")))
+    lines, cuts = F.split(text, "\n", -1), F.col("cuts")
     n = F.size(lines)
     kept = F.transform(F.sequence(F.lit(0), F.size(cuts)), lambda i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["stop"]).alias("start"), F.when(i == F.size(cuts), n).otherwise(F.get(cuts, i)["start"]).alias("stop")))
     left = F.array_join(F.flatten(F.transform(F.filter(kept, lambda k: k["stop"] > k["start"]), lambda k: F.slice(lines, k["start"] + 1, k["stop"] - k["start"]))), "\n")
     gone = F.aggregate(cuts, F.lit(0), lambda s, c: s + c["stop"] - c["start"])
-    out = [(F.when(cuts.isNull(), text).otherwise(left).alias(c) if c == names["text"] else F.col(f"`{c}`")) for c in documents.columns]
+    out = [(F.when(cuts.isNull(), text).otherwise(left) if c == names["text"] else F.col("whole").getField(c)).alias(c) for c in documents.columns if c.lower() != "line_dedup"]
     return joined.select(*out, F.struct(F.when(text.isNull(), F.lit(0)).otherwise(n).cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed")).alias("line_dedup"))
