@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ from tidepool.llm.substring_dedup import NO_ID, _rolled
 SHINGLE, PERCENT = 5, 80
 #: Counters of the frequency sketch, in so many segments; members of a block; text bytes of a chunk and of a hash range.
 COUNTERS, SEGMENTS, BLOCK, CHUNK_TEXT, RANGE_TEXT = 1 << 20, 16, 768, 8 << 20, 24 << 20
+#: Sketches that are added up in one group.
+FAN_IN = 64
 
 _SCAN = pa.schema([("segment", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("counters", pa.binary())])
 _SCAN_DDL = "segment int, doc_id long, node long, n long, sketch binary, counters binary"
@@ -101,7 +104,7 @@ def parity_bits(u: np.ndarray, each: int = 4) -> bytes:
 
 
 def _scanned(rows: DataFrame, shingle: int) -> DataFrame:
-    """Rows of two kinds: each document's set (segment -1), and each task's counters by segment."""
+    """Rows of two kinds: each document's set (segment -1), and each task's counters by segment (doc_id: the task's number)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(COUNTERS, dtype=np.int64)
@@ -110,25 +113,34 @@ def _scanned(rows: DataFrame, shingle: int) -> DataFrame:
             counters += np.bincount(Orders.counter(np.concatenate(sets)), minlength=COUNTERS)
             n = len(sets)
             yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int32()), b.column(0), pa.array([node_of(u) if len(u) else None for u in sets], pa.int64()), pa.array([len(u) for u in sets], pa.int64()), pa.array([parity_bits(u, 1) if len(u) else None for u in sets], pa.binary()), pa.nulls(n, pa.binary())], schema=_SCAN)
-        parts = counters.astype(np.uint32).reshape(SEGMENTS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), *(pa.nulls(SEGMENTS, pa.int64()) for _ in range(3)), pa.nulls(SEGMENTS, pa.binary()), pa.array([x.tobytes() for x in parts], pa.binary())], schema=_SCAN)
+        parts, task = counters.astype(np.uint32).reshape(SEGMENTS, -1), pa.array([TaskContext.get().partitionId()] * SEGMENTS, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), task, *(pa.nulls(SEGMENTS, pa.int64()) for _ in range(2)), pa.nulls(SEGMENTS, pa.binary()), pa.array([x.tobytes() for x in parts], pa.binary())], schema=_SCAN)
 
     return rows.mapInArrow(scan, _SCAN_DDL)
 
 
-def _counters(scanned: DataFrame) -> np.ndarray:
-    """All tasks' counters added up; COUNTERS numbers, however much text there is."""
+def _numbers(counters: bytes) -> np.ndarray:
+    """A task's counters have four bytes each, sums have eight."""
+    return np.frombuffer(counters, dtype=np.uint32 if len(counters) == 4 * COUNTERS // SEGMENTS else np.int64)
 
-    def added(key: tuple, rows: pa.Table) -> pa.Table:
+
+def _counters(scanned: DataFrame, tasks: int) -> np.ndarray:
+    """All tasks' counters added up, ``FAN_IN`` at a time in a tree; COUNTERS numbers, however much text there is."""
+
+    def added(rows: pa.Table) -> pa.Table:
         total = np.zeros(COUNTERS // SEGMENTS, dtype=np.int64)
         for x in rows.column("counters").to_pylist():
-            total += np.frombuffer(x, dtype=np.uint32)
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "counters": pa.array([total.tobytes()], pa.binary())})
-
-    got = scanned.filter("segment >= 0").select("segment", "counters").groupBy("segment").applyInArrow(added, "segment int, counters binary").collect()
+            total += _numbers(x)
+        first = rows.slice(0, 1)
+        return pa.table({"segment": first.column("segment"), "part": first.column("part"), "counters": pa.array([total.tobytes()], pa.binary())})
+
+    some = scanned.filter("segment >= 0").select("segment", F.col("doc_id").alias("part"), "counters")
+    while tasks > 1:
+        tasks = -(-tasks // FAN_IN)
+        some = some.withColumn("part", F.floor(F.col("part") / F.lit(FAN_IN))).groupBy("segment", "part").applyInArrow(added, "segment int, part long, counters binary")
     out = np.zeros((SEGMENTS, COUNTERS // SEGMENTS), dtype=np.int64)
-    for r in got:
-        out[r["segment"]] = np.frombuffer(bytes(r["counters"]), dtype=np.int64)
+    for r in some.collect():  # one row per segment
+        out[r["segment"]] = _numbers(bytes(r["counters"]))
     return out.reshape(-1)
 
 
@@ -195,8 +207,13 @@ class Bitmaps:
         self.n = np.array([r[n] for r in self.rows], dtype=np.int64)
         self.visitor = np.array([r[visitor] for r in self.rows], dtype=bool)
         self.bits = [r[bits] for r in self.rows]
+        self.sizes = sorted({len(x) for x in self.bits})
         self.matrices: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
+    def largest(self, i: int) -> int:
+        """Bytes of the largest bitmap that a partner of the i-th may have: a set of 100 / percent as many tokens, rounded up twice."""
+        return 2 * len(self.bits[i]) * -(-100 // self.percent)
+
     def matrix(self, size: int, fold: int) -> tuple[np.ndarray, np.ndarray]:
         """(members, their bitmaps) of those with ``size`` bytes, folded to ``fold`` bytes."""
         if (size, fold) not in self.matrices:
@@ -215,7 +232,9 @@ class Bitmaps:
         """Later members, among those ``apart`` keeps and not visitors both, that bitmaps don't rule out."""
         own, out = len(self.bits[i]), []
         mine = np.frombuffer(self.bits[i], dtype=np.uint64)
-        for size in (own, 2 * own):
+        for size in self.sizes:
+            if size < own or size > self.largest(i):
+                continue
             at, m = self.matrix(size, own)
             lo, hi = np.searchsorted(at, [i + 1, last])
             keep = apart(at[lo:hi]) & ~(self.visitor[at[lo:hi]] & self.visitor[i])
@@ -425,8 +444,9 @@ def join_components(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     rows = only(documents, doc_id="doc_id", text="text").select(doc_id.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     scanned = staged(_scanned(rows, shingle))
     sets = scanned.filter("segment = -1").select("doc_id", "node", "n")
-    nodes = staged(scanned.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("sketch").alias("sketch")))
-    members = staged(_groups(rows, _counters(scanned), buckets_for(text_bytes(rows), RANGE_TEXT, 4), shingle, percent))
+    tasks = 1 + (scanned.filter("segment = 0").agg(F.max("doc_id")).first()[0] or 0)
+    nodes = staged(scanned.filter("segment = -1 and n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("sketch").alias("sketch")))
+    members = staged(_groups(rows, _counters(scanned, tasks), buckets_for(text_bytes(rows), RANGE_TEXT, 4), shingle, percent))
     members = staged(_worth_comparing(members, nodes, percent))
     residents, visits = _homes(members)
 
@@ -478,17 +498,19 @@ def keep_one(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
     """
     names = {c.lower(): c for c in documents.columns}
     doc_id, text = (F.col(f"`{names[c]}`") for c in ("doc_id", "text"))
-    own, key = doc_id.cast("long"), F.xxhash64(text, doc_id.cast("long"))
-    found = staged(join_components(documents.select(key.alias("doc_id"), text.alias("text")), shingle, percent))
+    own = doc_id.cast("long")
+    # the row is carried as one struct, so that no name of its columns clashes
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("whole"), own.alias("own"), F.xxhash64(text, own).alias("key"), text.cast("string").alias("text"))
+    found = staged(join_components(rows.select(F.col("key").alias("doc_id"), "text"), shingle, percent))
     linked = found.filter("doc_id <> component_id").select("doc_id", "component_id")
     members = staged(linked.unionByName(linked.select(F.col("component_id").alias("doc_id"), "component_id")).distinct())
-    named = documents.filter(maybe_among(members, "doc_id")(key)).select(key.alias("key"), own.alias("own")).distinct()
+    named = rows.filter(maybe_among(members, "doc_id")(F.col("key"))).select("key", "own").distinct()
     named = staged(named.join(members, F.col("key") == F.col("doc_id")).select("key", "own", "component_id"))
     stays = named.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNotNull().alias("known"), "own", "key")).alias("x")).select("x.key")
-    gone = staged(named.join(stays, "key", "left_anti").select(F.col("key").alias("__gone"), F.col("own").alias("__own")))
-    hit = maybe_among(gone, "__gone")(key)
-    held = documents.filter(hit).join(gone, (key == F.col("__gone")) & own.eqNullSafe(F.col("__own")), "left_anti")
-    out = documents.filter(~hit).unionByName(held)
+    gone = staged(named.join(stays, "key", "left_anti").select(F.col("key").alias("gone_key"), F.col("own").alias("gone_own")))
+    hit = maybe_among(gone, "gone_key")(F.col("key"))
+    held = rows.filter(hit).join(gone, (F.col("key") == F.col("gone_key")) & F.col("own").eqNullSafe(F.col("gone_own")), "left_anti")
+    out = rows.filter(~hit).unionByName(held)
     if found.groupBy("doc_id").count().filter("count > 1").take(1):
-        out = out.dropDuplicates([names["doc_id"], names["text"]])
-    return out
+        out = out.dropDuplicates(["own", "text"])
+    return out.select(*[F.col("whole").getField(c).alias(c) for c in documents.columns])
