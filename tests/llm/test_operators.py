@@ -151,7 +151,7 @@ def test_substring_dedup(documents, rows, chunk, monkeypatch):
     assert sum(x[2] for x in want) > 100
 
 
-@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80), (1, 50)])
+@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80), (1, 50), (1, 35), (2, 20)])
 def test_jaccard_join(documents, rows, size, percent):
     out = jaccard_join.join_components(documents, size, percent)
     sets = []
@@ -173,6 +173,40 @@ def test_jaccard_join(documents, rows, size, percent):
     assert collected(out, "doc_id", "n_shingles", "component_id") == sorted(want, key=repr)
 
 
+def test_jaccard_of_unequal_sizes(spark):
+    """A set and one of several times its size may be linked at a low percentage; the sketch's tree gives the plain sum."""
+    r = np.random.default_rng(4)
+    rows = []
+    for k, part in enumerate((1.0, 0.31, 0.22, 0.5, 0.12)):
+        words = [f"w{k}x{i}" for i in range(130)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(r.permutation(words)[: int(130 * part)]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    for percent, linked in ((20, {0, 1, 2, 3}), (30, {0, 1, 3}), (60, {0})):
+        got = jaccard_join.join_components(d, 1, percent).filter("doc_id <> component_id").collect()
+        assert {x["component_id"] // 2 for x in got} == linked
+    scanned = jaccard_join._scanned(common.only(d, doc_id="doc_id", text="text"), 1).cache()
+    plain = np.zeros(jaccard_join.COUNTERS, dtype=np.int64)
+    for x in scanned.filter("segment >= 0").collect():
+        plain.reshape(jaccard_join.SEGMENTS, -1)[x["segment"]] += np.frombuffer(bytes(x["counters"]), np.uint32)
+    jaccard_join.FAN_IN, was = 2, jaccard_join.FAN_IN
+    assert (jaccard_join._counters(scanned, 7) == plain).all() and plain.sum() > 0
+    jaccard_join.FAN_IN = was
+
+
+CLASHING = ["cuts", "own_id", "own_text", "own_row", "row", "whole", "gone_key", "gone_own", "own", "n", "h", "body", "first", "line_dedup", "__cuts", "__gone", "component_id", "n_shingles", "copies", "copy", "m_id", "m_row", "size", "lang_pred", "score", "a.b"]
+
+
+@pytest.mark.parametrize("make", [line_dedup.dedup_lines, jaccard_join.keep_one])
+def test_clashing_columns(documents, make):
+    """The rows are the same whatever else the table's columns are named, and those columns keep their values."""
+    extra = documents.select("doc_id", "text", *[F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).alias(c) for c in CLASHING])
+    out = make(extra)
+    kept = [c for c in CLASHING if make is jaccard_join.keep_one or c != "line_dedup"]
+    assert [c for c in out.columns if c != "line_dedup" or c in kept] == ["doc_id", "text", *kept]
+    assert collected(out, "doc_id", "text") == collected(make(documents.select("doc_id", "text")), "doc_id", "text")
+    assert all(x[c] == f"{c}{'?' if x['doc_id'] is None else x['doc_id']}" for x in out.collect() for c in kept)
+
+
 def test_jaccard_blocks_and_failures(documents, monkeypatch):
     """Tiny blocks, and short tokens that let wrong pairs through, give the same components."""
     want = collected(jaccard_join.join_components(documents, 3, 90), "doc_id", "component_id")
@@ -497,6 +531,61 @@ def brute_top_k(v, k=10):
     return sorted(out, key=repr)
 
 
+def test_likenesses_and_bands():
+    r = np.random.default_rng(11)
+    prints = [hexed(r, int(n)) for n in r.integers(0, 200, 60)] + ["", ""]
+    prints += [x[: len(x) // 2] + hexed(r, len(x) - len(x) // 2) for x in prints]
+    a, b = prints, [prints[k] for k in r.permutation(len(prints))]
+    got = edit_fingerprint.likenesses(a + a, b + a)
+    assert got.tolist() == pytest.approx([edit_fingerprint.likeness(x, y) for x, y in zip(a + a, b + a, strict=True)])
+    # a sample agrees with the chance of the agreeing share of the weights
+    x = hexed(r, 170)
+    y = "".join(c if r.random() < 0.8 else "g" for c in x[:160])
+    bands = edit_fingerprint.Bands(4000, 1)
+    sampled = [h for _, h in (bands.of([x]), bands.of([y]))]
+    w = edit_fingerprint.weights(170)
+    share = sum(w[i] for i in range(160) if x[i] == y[i]) / w.sum()
+    assert abs((sampled[0] == sampled[1]).mean() - share) < 0.03
+
+
+def test_near_pairs_find_edited_texts(spark):
+    """Recall over all pairs, by the components that links make: groups of six texts of 600 characters, eight edits each."""
+    r, letters = np.random.default_rng(12), "etaoin shrdlu"
+    texts = []
+    for _ in range(40):
+        base = [letters[k] for k in r.integers(0, 13, 600)]
+        for _ in range(6):
+            x = list(base)
+            for _ in range(8):
+                at, kind = int(r.integers(len(x))), r.integers(3)
+                x[at : at + (kind > 0)] = [] if kind == 2 else [letters[r.integers(13)]]
+            texts.append("".join(x))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    compared = edit_fingerprint.compare_with_edited(d).cache()
+    known = {x["doc_id"]: x["fingerprint"] for x in compared.collect()}
+    classes = {x["doc_id"]: x["near_class"] for x in edit_fingerprint.near_classes(compared).collect()}
+    want = brute_pairs(known)
+    assert len(want) > 150 and sum(classes[a] == classes[b] for a, b in want) / len(want) >= 0.95
+    brute = joined(known, want)
+    assert all(brute[i] == brute[c] for i, c in classes.items())
+
+
+def test_near_classes_of_odd_rows(spark, documents, rows, nothing):
+    """Null ids, copies, empty texts and further columns; every row is there once."""
+    got = edit_fingerprint.fingerprint_documents(documents)
+    found = got.collect()
+    assert sorted(repr(x["doc_id"]) for x in found) == sorted(repr(r[0]) for r in rows)
+    of = {x["doc_id"]: x["near_class"] for x in found}
+    same = collections.defaultdict(set)
+    for i, t in ((r[0], r[1] or "") for r in rows):
+        same[t].add(i)
+    for ids in same.values():
+        assert len({of[i] for i in ids}) == 1 and of[min(ids, key=lambda i: (i is None, i))] is not None
+    assert edit_fingerprint.fingerprint_documents(nothing).count() == 0
+    one = edit_fingerprint.fingerprint_documents(documents.filter("doc_id is null")).collect()
+    assert [(x["doc_id"], x["near_class"], round(x["near_next"], 6)) for x in one] == [(None, None, 1.0)]
+
+
 def test_top_k(spark):
     r = np.random.default_rng(5)
     v = [(i, r.normal(size=6).tolist()) for i in range(450)]

@@ -53,7 +53,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_fingerprint.compare_with_edited(_table(spark, sf_dir, "documents"))
+    """The contract's columns, and near_class: the smallest doc_id that links of banded and verified fingerprints reach."""
+    return edit_fingerprint.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
