@@ -273,10 +273,10 @@ def _links(fingerprints: list[str], comps: list[int], left: np.ndarray, right: n
 def band_shape(n: int, least: float = LEAST, recall: float = RECALL) -> tuple[int, int]:
     """(bands, digits of a band) for n fingerprints: digits so that unlike ones seldom meet, bands so that alike ones do.
 
-    Digits of unrelated texts agree about one time in ten, so a band that grows by a digit with each tenfold number keeps
-    the strangers in a bucket few. A band of alike ones agrees with the agreeing share to the power of its digits.
+    Digits of unrelated texts agree about one time in ten, so with a digit more than n has, a fingerprint meets a stranger
+    in a few bands at most, however many there are. A band of alike ones agrees with the agreeing share to the power of its digits.
     """
-    digits = max(6, math.ceil(math.log10(max(n, 1))))
+    digits = max(6, 1 + math.ceil(math.log10(max(n, 1))))
     agree = (1 / 16 + least * 15 / 16) ** digits
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree))), digits
 
