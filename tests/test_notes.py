@@ -104,7 +104,7 @@ def test_globs(spark, pattern, path, hit):
     assert spark.createDataFrame([(path,)], "p string").select(X.glob_matches(pattern, F.col("p")).alias("x")).first()["x"] is hit
 
 
-@pytest.mark.parametrize(("link", "target"), [("[[A/b|c#d]]", "A/b"), ("[x](a%20b.md#h)", "a b.md"), ("[x](a+b.md)", "a+b.md"), ("https://x.y/z", None), ("/abs.md", None), ("", None), ("plain.md", "plain.md")])
+@pytest.mark.parametrize(("link", "target"), [("[[A/b|c#d]]", "A/b"), ("[x](a%20b.md#h)", "a b.md"), ("[x](a+b.md)", "a+b.md"), ("https://x.y/z", None), ("/abs.md", None), ("", None), ("plain.md", "plain.md"), ("100%.md", "100%.md"), ("a%2fb%zz%4", "a/b%zz%4"), ("%E6%95%B0.md", "数.md"), ("[x](%ff.md)", "\ufffd.md")])
 def test_link_targets(spark, link, target):
     assert spark.createDataFrame([(link,)], "l string").select(X.link_target(F.col("l")).alias("x")).first()["x"] == target
 
@@ -152,6 +152,21 @@ def test_follow_against_walks(spark):
             assert got[i]["target"] is None and got[i]["problem"] == ("replacement_missing" if at is None else "replacement_cycle")
 
 
+def test_resolution_of_names(spark):
+    """An exact path before names; a name only where one note alone has it, as stem or title."""
+    notes = spark.createDataFrame([("a/x.md", "x", "Title"), ("b/x.md", "x", "Other"), ("c.md", "c", "c"), ("d.md", "d", "Same"), ("e.md", "e", "Same"), ("f.md", "f", "g"), ("g.md", "g", "h"), ("n.md", "n", None)], "path string, stem string, title string")
+    want = {("a", "x"): "a/x.md", ("", "x"): None, ("", "x.md"): None, ("", "Title"): "a/x.md", ("", "c"): "c.md", ("", "Same"): None, ("", "g"): "g.md", ("z", "f"): "f.md", ("z", "h"): "g.md", ("", "none"): None, ("z", "b/x"): "b/x.md"}
+    links = spark.createDataFrame([(i, *k) for i, k in enumerate(want)], "node int, folder string, target string")
+    assert {r["node"]: r["next"] for r in lineage.resolve(links, notes).collect()} == dict(enumerate(want.values()))
+
+
+def test_ranks_over_many_steps(spark):
+    r = random.Random(4)
+    rows = [(f"p{i:03}", round(r.uniform(-2, 9), r.choice([0, 1, 6]))) for i in range(400)]
+    got = {x["path"]: x["rank"] for x in ranking.ranked(spark.createDataFrame(rows, "path string, score double")).collect()}
+    assert got == {p: n for n, (p, _) in enumerate(sorted(rows, key=lambda x: (-x[1], x[0])), 1)}
+
+
 def test_index_is_incremental_and_all_or_nothing(spark, vault, tmp_path):
     provider, index = Controlled(), VectorIndex(spark, str(tmp_path / "cache"))
     note(vault, "a.md", "SQLite locks")

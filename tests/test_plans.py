@@ -30,3 +30,11 @@ def test_best_chunk_has_no_window(spark, data):
 def test_cosine_stays_in_the_jvm(spark, data):
     text = plan(queries.QUERIES["semantic_topk"](spark, data))
     assert "Python" not in text and "Exchange" not in text
+
+
+def test_texts_are_cut_once(spark, data):
+    """Statistics and scores of BM25 read one exchange."""
+    d = queries.QUERIES["lexical_bm25"](spark, data)
+    d.collect()
+    final = plan(d).split("Initial Plan")[0]
+    assert final.count("Scan parquet") == 1 and "ReusedExchange" in final

@@ -96,9 +96,23 @@ def test_images(tmp_path):
     assert out.count("n.assets/") == 3 and "`![y](in.png)`" in out and "![z](in.png)" in out and images.UNAVAILABLE in out
     assert len(list((tmp_path / "assets").iterdir())) == 2
     assert list(images.nested_images({"output": json.dumps([{"type": "thinking", "content": [block]}, {"content": [block]}])})) == [block]
-    for bad in ("C:x.png", "file://host/x.png", "ftp://x/y.png"):
+    for bad in ("C:x.png", "C:/x.png", "file://host/x.png", "ftp://x/y.png", "file:///C:/x.png", "file:////h/x"):
         with pytest.raises(ValueError):
-            images.local_path(bad)
+            images.local_path(bad, windows=False)
+    assert images.local_path("file://localhost/a%20b", windows=False) == "/a b" and images.local_path("C:/x.png", windows=True) == "C:/x.png"
+    assert images.local_path("file:///C:/a%20b.png", windows=True) == "C:\\a b.png"
+    with pytest.raises(ValueError):
+        images.local_path("C:x.png", windows=True)
+
+
+@pytest.mark.parametrize(("text", "found"), [
+    ("![a](x.png)", ["a|x.png"]), ('![a]( <x y.png> "t" ) ![](z)', ["a|x y.png", "|z"]), ("![a](x y)", []), ("![a\nb](x)", []), ("![a](<x)", ["a|x"]),
+    ("`![a](x)`", []), ("``![a](x)` ![b](y)``", []), ("` ![a](x)", ["a|x"]), ("```\n![a](x)\n~~~\n```\n![b](y)", ["b|y"]), ("    ```\n![a](x)", ["a|x"]), ("~~~~ x\n~~~\n![a](x)\n~~~~~\n![b](y)", ["b|y"]),
+])
+def test_image_links(text, found):
+    got = []
+    images.rewrite(text, lambda ref, alt: got.append(f"{alt}|{ref}") or "")
+    assert got == found and images.rewrite(text, lambda ref, alt: "") == text or got
 
 
 @pytest.mark.parametrize("client", ["codex", "claude"])

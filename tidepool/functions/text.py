@@ -46,7 +46,9 @@ def tokens(text: Column, expand: bool = False) -> Column:
     """Array of tokens of normalised text: words, their parts, CJK bigrams and, for queries, synonyms."""
     low = F.lower(text)
     words = F.filter(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), _useful)
-    parts = F.flatten(F.transform(F.filter(words, lambda w: w.rlike("[.$/-]")), lambda w: F.filter(F.split(w, "[.$/-]"), _useful)))
+    # most texts have no compound word: one look at the text is cheaper than one at each word
+    compound = F.filter(words, lambda w: w.rlike("[.$/-]"))
+    parts = F.when(low.rlike("[a-z0-9_][.$/-][a-z0-9_]"), F.flatten(F.transform(compound, lambda w: F.filter(F.split(w, "[.$/-]"), _useful)))).otherwise(F.array().cast("array<string>"))
     runs = F.regexp_extract_all(low, F.lit(CJK), F.lit(0))
     pairs = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2))))))
     out = F.concat(words, parts, pairs)
@@ -162,11 +164,21 @@ def message_card(role: Column, number: Column, clock: Column, content: Column, c
     return F.concat(first, second, F.lit("^message-"), two_digits(number), F.lit("\n\n"))
 
 
+# What file names and links can't hold, what stands for it, what is cut from the ends, the most UTF-8 bytes, and
+# the name of a title without any usable character.
+FORBIDDEN, STAND_IN, ENDS, MOST_BYTES, NAMELESS = '<>:"/\\|?*[]#^', "-", " .-", 140, "conversation"
+
+
 def filename_title(value: str) -> str:
-    """A readable file name: composed, printable, at most 140 UTF-8 bytes, never empty."""
-    kept = "".join(c for c in unicodedata.normalize("NFC", value) if unicodedata.category(c)[0] != "C")
-    flat = " ".join(re.sub(r'[<>:"/\\|?*\[\]#^]', "-", kept).split()).strip(" .-")
-    return flat.encode()[:140].decode(errors="ignore").rstrip(" .-") or "conversation"
+    """A readable file name: composed, printable, of at most MOST_BYTES bytes, never empty."""
+    name, size = "", 0
+    shown = (STAND_IN if c in FORBIDDEN else c for c in unicodedata.normalize("NFC", value) if unicodedata.category(c)[0] != "C")
+    for c in " ".join("".join(shown).split()).strip(ENDS):
+        size += len(c.encode())
+        if size > MOST_BYTES:
+            break
+        name += c
+    return name.rstrip(ENDS) or NAMELESS
 
 
 @F.pandas_udf(T.StringType())
@@ -179,13 +191,20 @@ def session_slug(session_id: Column) -> Column:
     return F.coalesce(F.nullif(F.substring(F.regexp_replace(dashed, "^-+|-+$", ""), 1, 60), F.lit("")), F.lit("session"))
 
 
+def unescaped(text: Column) -> Column:
+    """Percent escapes of a link read as UTF-8; what isn't a well-formed escape stays, bytes that aren't UTF-8 become U+FFFD."""
+    lone = F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25")
+    pieces = F.split(F.regexp_replace(lone, "((?:%[0-9A-Fa-f]{2})+)", "\u0000$1\u0000"), "\u0000")
+    read = lambda p: F.when(p.startswith("%"), F.make_valid_utf8(F.unhex(F.replace(p, F.lit("%"), F.lit(""))).cast("string"))).otherwise(p)
+    return F.when(F.contains(lone, F.lit("%")), F.array_join(F.transform(pieces, read), "")).otherwise(text)
+
+
 def link_target(link: Column) -> Column:
     """The target of a wiki or Markdown link or of a bare path; null where it can't name a note."""
     text = F.trim(link)
     wiki = text.startswith("[[") & text.endswith("]]")
     inner = F.regexp_extract(text, r"^\[\[([^|#]*).*\]\]$", 1)
     named = F.regexp_extract(text, r"^\[[^\]]*\]\((.+)\)$", 1)
-    path = F.when(named != "", named).otherwise(text)
-    plain = F.split(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "#")[0]
+    plain = F.split(unescaped(F.when(named != "", named).otherwise(text)), "#")[0]
     target = F.when(wiki, inner).otherwise(plain)
     return F.when((target != "") & ~F.contains(target, F.lit("://")) & ~target.startswith("/"), target)

@@ -104,8 +104,20 @@ class VectorIndex:
         reused_n = kept.count()
         out = {"version": name, "dimensions": sizes["most"], "embedded_chunks": sizes["n"] - reused_n, "reused_chunks": reused_n, "removed_notes": changes["deleted_notes"]}
         self._publish(profile, out)
+        # what nobody reads any more: this profile's older versions, but for the one before; on a rebuild all other profiles
+        keep = {name, (info or {}).get("version")}
+        for old_version in self._folders(f"{self.root}/profile={profile}"):
+            if old_version.startswith("v-") and old_version not in keep:
+                self._drop(f"{self.root}/profile={profile}/{old_version}")
+        for other in self._folders(self.root) if rebuild else ():
+            if other.startswith("profile=") and other != f"profile={profile}":
+                self._drop(f"{self.root}/{other}")
         return out
 
+    def _folders(self, path: str) -> list[str]:
+        fs, p = self._fs(path)
+        return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
+
     def _drop(self, path: str) -> None:
         fs, p = self._fs(path)
         fs.delete(p, True)

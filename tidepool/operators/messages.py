@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import re
+import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,16 +24,16 @@ def page(messages: DataFrame, offset: int, limit: int, session: str = "conv_id")
 
 def selection_numbers(text: str, count: int | None = None) -> list[int]:
     """The numbers of a selection such as ``2,4-6``: sorted, each once."""
-    out: set[int] = set()
-    for token in text.split(","):
-        m = re.fullmatch(r"\s*([1-9][0-9]*)(?:-([1-9][0-9]*))?\s*", token)
-        if not m:
+    chosen: set[int] = set()
+    for part in text.split(","):
+        ends = [x for x in part.strip().partition("-") if x != "-"]
+        numbers = [int(x) for x in ends if x and x.isascii() and x.isdigit() and x[0] != "0"]
+        if len(numbers) != 1 + ("-" in part):
             raise ValueError("A selection is numbers or ranges such as 2,4-6")
-        a, b = int(m[1]), int(m[2] or m[1])
-        if a > b or (count is not None and b > count):
-            raise ValueError("Selected message number is out of range")
-        out.update(range(a, b + 1))
-    return sorted(out)
+        if numbers != sorted(numbers) or (count is not None and numbers[-1] > count):
+            raise ValueError(f"There is no message range {part.strip()}")
+        chosen |= set(range(numbers[0], numbers[-1] + 1))
+    return sorted(chosen)
 
 
 def select_numbers(messages: DataFrame, text: str) -> DataFrame:
@@ -62,6 +64,35 @@ def day_headers(messages: DataFrame, stamp: str, session: str, order: list[str])
 
 
 def version(rows: DataFrame, session: str, order: str, text: str) -> DataFrame:
-    """A session's digest over its rows' texts in order, each followed by a line feed."""
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.coalesce(F.col(text), F.lit("")).alias("t")))), lambda x: F.concat(x["t"], F.lit("\n"))), "")
-    return rows.groupBy(session).agg(F.sha2(ordered, 256).alias("version"))
+    """A session's digest over its rows' texts in order (ties by text), each followed by a line feed; a null text is empty.
+
+    The rows of a session pass by as a stream, so one of any length takes no more memory than a batch.
+    """
+    kind = dict(rows.dtypes)[session]
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, digest = None, None
+        for b in batches:
+            ids, digests = [], []
+            for row, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if digest is None or row != at:
+                    if digest is not None:
+                        ids.append(at)
+                        digests.append(digest.hexdigest())
+                    at, digest = row, hashlib.sha256()
+                digest.update(f"{body}\n".encode())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(digests, pa.string())], names=[session, "version"])
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at], b.schema.field(0).type), pa.array([digest.hexdigest()])], names=[session, "version"])
+
+    said = rows.select(session, F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(order).alias("o"))
+    ordered = said.repartition(session).sortWithinPartitions(session, "o", "t").select(session, "t")
+    return ordered.mapInArrow(folded, f"`{session}` {kind}, version string")
+
+
+def latest(rows: DataFrame, session: str, stamp: str, limit: int) -> DataFrame:
+    """The sessions changed last (ties: the larger id first): their last stamp, rows, how many sessions there are, and whether more follow."""
+    per = rows.groupBy(session).agg(F.max(stamp).alias("modified_at"), F.count("*").alias("turns"))
+    head = per.orderBy(F.col("modified_at").desc(), F.col(session).desc()).limit(limit)
+    total = rows.agg(F.count_distinct(session).alias("total"))
+    return head.crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > limit)  # one row

@@ -2,26 +2,43 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B, RRF = 1.2, 0.75, 60
 
 
-def occurrences(tokens: str, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t == term))
+def counted_with(columns: list[str]) -> Column:
+    """count(*) that reads all the columns named: two branches of a plan that use it ask for the same ones, so their exchange is made once."""
+    return F.when(F.max(F.struct(*columns)).isNotNull(), F.count(F.lit(1))).otherwise(F.lit(0))
+
+
+def term_counts(tokens: str, terms: list[str]) -> Column:
+    """array<int>: how often each term occurs. One pass picks the terms out of the tokens; the rest works on those few."""
+    return F.aggregate(
+        F.filter(tokens, lambda t: t.isin(terms)),
+        F.array_repeat(F.lit(0), len(terms)),
+        lambda counts, t: F.zip_with(counts, F.array(*[(t == w).cast("int") for w in terms]), lambda a, b: a + b),
+    )
 
 
 def bm25(pool: DataFrame, terms: list[str], tokens: str = "tokens") -> DataFrame:
-    """The pool's rows that hold a term, with their BM25 score; N, df and average length are the pool's own.
+    """The pool's rows that hold a term, without their tokens, and their BM25 score; N, df and average length are the pool's own.
 
-    Only the query's few terms are counted, in place, so tokens are never exploded: one aggregate row, then one pass.
+    Only the query's few terms are counted, in place, so tokens are never exploded. Rows of a few numbers are dealt out
+    once; the statistics, one row, and the scores both read that exchange, so the texts are read and cut once (if all
+    columns of the pool are used; give it no others).
     """
+    kept = [c for c in pool.columns if c != tokens]
     if not terms:
-        return pool.withColumn("score", F.lit(0.0)).limit(0)
-    counted = pool.withColumn("__tf", F.array(*[occurrences(tokens, w) for w in terms])).withColumn("__len", F.size(tokens))
-    stats = counted.agg(
-        F.count("*").alias("__n"),
+        return pool.select(*kept, F.lit(0.0).alias("score")).limit(0)
+    slim = [*kept, "__tf", "__len"]
+    rows = pool.withColumn("__tf", term_counts(tokens, terms)).withColumn("__len", F.size(tokens)).select(*slim)
+    rows = rows.repartition(int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    stats = rows.agg(
+        counted_with(slim).alias("__n"),
         F.coalesce(F.nullif(F.avg("__len"), F.lit(0.0)), F.lit(1.0)).alias("__avg"),
         F.array(*[F.sum((F.col("__tf")[i] > 0).cast("long")) for i in range(len(terms))]).alias("__df"),
     )
@@ -31,8 +48,8 @@ def bm25(pool: DataFrame, terms: list[str], tokens: str = "tokens") -> DataFrame
         idf = F.log(1 + (F.col("__n") - df + 0.5) / (df + 0.5))
         part = idf * tf * (K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("__len") / F.col("__avg")))
         score = score + F.when(tf > 0, part).otherwise(0.0)
-    scored = counted.crossJoin(F.broadcast(stats)).withColumn("score", score)  # one row
-    return scored.filter("score > 0").drop("__tf", "__len", "__n", "__avg", "__df")
+    scored = rows.crossJoin(F.broadcast(stats)).withColumn("score", score)  # one row
+    return scored.filter("score > 0").select(*kept, "score")
 
 
 def document_frequency(pool: DataFrame, terms: list[str], tokens: str = "tokens") -> DataFrame:
@@ -54,7 +71,8 @@ def valid_vector(v: Column, dimensions: int | None = None) -> Column:
 
 
 def normalised(v: Column) -> Column:
-    return F.transform(v, lambda x: x / norm(v))
+    """v over its norm, which is worked out once."""
+    return F.zip_with(v, F.array_repeat(norm(v), F.size(v)), lambda x, n: x / n)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -63,8 +81,9 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(rows: DataFrame, query: list[float], least: float, vector: str = "vector") -> DataFrame:
     """Rows whose normalised vector reaches ``least`` against one query vector, a literal in the plan."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    scored = rows.withColumn("score", dot(normalised(F.col(vector)), normalised(q)))
+    size = math.sqrt(math.fsum(x * x for x in query))
+    q = F.array(*[F.lit(float(x) / size) for x in query])
+    scored = rows.withColumn("score", dot(F.col(vector), q) / norm(F.col(vector)))
     return scored.filter(F.col("score") >= least)
 
 
@@ -74,9 +93,20 @@ def best_chunk(scored: DataFrame, path: str = "path", order: str = "chunk_ord")
     return scored.groupBy(F.col(path).alias("__path")).agg(best.alias("b")).select("b.*")
 
 
-def ranked(best: DataFrame, path: str = "path") -> DataFrame:
-    """rank from 1 by score, then path: one row per note reaches the single window."""
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), F.col(path))))
+def ranked(best: DataFrame, path: str = "path", steps: int = 1024) -> DataFrame:
+    """rank from 1 by score, then path.
+
+    Scores are cut into steps of 1 / ``steps``; each step is sorted by itself, and only the number of notes in each meets
+    in one task. Both read the same exchange.
+    """
+    columns = best.columns
+    rows = best.withColumn("__step", F.floor(F.col("score") * steps)).repartition("__step")
+    above = Window.orderBy(F.col("__step").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("__step").agg(counted_with([*columns, "__step"]).alias("__n"))
+    before = counts.select("__step", F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__before"))  # a number per step
+    own = Window.partitionBy("__step").orderBy(F.col("score").desc(), F.col(path))
+    nth = rows.withColumn("__nth", F.row_number().over(own))
+    return nth.join(F.broadcast(before), "__step").select(*columns, (F.col("__before") + F.col("__nth")).cast("int").alias("rank"))
 
 
 def fuse(branches: dict[str, DataFrame], path: str = "path") -> DataFrame:

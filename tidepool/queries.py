@@ -116,7 +116,7 @@ def _passages(notes: DataFrame) -> DataFrame:
     """One passage per document, with its title and tags twice more, as search counts them."""
     extra = F.concat_ws(" ", "stem", "stem", "lang")
     whole = F.concat(X.passage(_header(notes), F.lit(""), F.col("text")), F.lit("\n"), extra, F.lit("\n"), extra)
-    return notes.select("doc_id", "path", "lang", X.tokens(whole).alias("tokens"))
+    return notes.select("doc_id", X.tokens(whole).alias("tokens"))
 
 
 _EXTRA = "concat_ws(' ', stem, stem, lang)"
@@ -392,10 +392,154 @@ def session_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.version(_t(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '[<>:\"/\\\\|?*\\[\\]#^]', '-', 'g'), '\\s+', ' ', 'g'), ' .-') AS name FROM pages")
+_TITLE = "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
+
+
+@query(f"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize({_TITLE}), '\\p{{C}}', '', 'g'), '[<>:"/\\\\|?*\\[\\]#^]', '-', 'g'), '\\s+', ' ', 'g'), ' .-') AS t FROM pages),
+c AS (SELECT page_id, rtrim(left(t, list_max(list_filter(range(0, length(t) + 1), lambda n: strlen(left(t, n::INT)) <= 140))::INT), ' .-') AS t FROM t)
+SELECT page_id, coalesce(nullif(t, ''), 'conversation') AS name FROM c""")
 def filename_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.regexp_replace(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1), r'[<>:"/\\|?*\[\]#^]', "-")
-    return _t(spark, sf_dir, "pages").select("page_id", F.btrim(F.regexp_replace(t, r"\s+", " "), F.lit(" .-")).alias("name"))
+    title = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
+    return _t(spark, sf_dir, "pages").select("page_id", X.filename_titles(title).alias("name"))
+
+
+@query(r"SELECT page_id, coalesce(nullif(left(regexp_replace(regexp_replace(url, '[^\p{L}\p{M}\p{N}_-]', '-', 'g'), '^-+|-+$', '', 'g'), 60), ''), 'session') AS slug FROM pages")
+def session_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "pages").select("page_id", X.session_slug(F.col("url")).alias("slug"))
+
+
+_HEADED = "CASE WHEN doc_id % 3 = 0 THEN 'first' || chr(10) || '# Title ' || doc_id || ' ' || chr(10) || '# Other' || chr(10) ELSE '' END || text"
+
+
+@query(f"SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 5 = 0 THEN 'Given ' || doc_id ELSE '' END, ''), nullif(trim(regexp_extract({_HEADED}, '(?m)^#\\s+(.+)$', 1)), ''), stem) AS title FROM ({SQL_NOTES})")
+def note_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _notes(spark, sf_dir)
+    body = F.concat(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("first\n# Title "), F.col("doc_id"), F.lit(" \n# Other\n"))).otherwise(F.lit("")), F.col("text"))
+    given = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("Given "), F.col("doc_id"))).otherwise(F.lit(""))
+    return n.select("doc_id", X.title(given, body, F.col("stem")).alias("title"))
+
+
+_LINK_FORMS = [("[[A/", "|shown#x]]"), ("[x](a%20b", ".md#h)"), ("q100%-", ".md"), ("https://x.example/", ""), ("/abs/", ".md"), ("caf%C3%A9 ", "+c%23.md"), ("[y](%7", "%.md)"), (" ", "")]
+_LINKS = "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{a}' || doc_id || '{b}'" for i, (a, b) in enumerate(_LINK_FORMS)) + " END"
+
+
+@query(f"""WITH l AS (SELECT doc_id, {_LINKS} AS link, trim({_LINKS}) AS t FROM documents), p AS (SELECT *, coalesce(nullif(regexp_extract(t, '^\\[[^\\]]*\\]\\((.+)\\)$', 1), ''), t) AS p FROM l),
+d AS (SELECT *, CASE WHEN t LIKE '[[%]]' THEN regexp_extract(t, '^\\[\\[([^|#]*)', 1) ELSE split_part(url_decode(regexp_replace(p, '%($|[^0-9A-Fa-f]|[0-9A-Fa-f][^0-9A-Fa-f])', '%25\\1', 'g')), '#', 1) END AS x FROM p)
+SELECT doc_id, link, CASE WHEN x <> '' AND NOT contains(x, '://') AND NOT starts_with(x, '/') THEN x END AS target FROM d""")
+def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = F.array(*[F.concat(F.lit(a), F.col("doc_id"), F.lit(b)) for a, b in _LINK_FORMS])
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.get(forms, (F.col("doc_id") % 8).cast("int")).alias("link"))
+    return d.select("doc_id", "link", X.link_target(F.col("link")).alias("target"))
+
+
+@query(f"SELECT doc_id, path, project FROM ({_LABELLED}) WHERE status = 'draft' AND kind = 'article' AND (path = 'src1' OR starts_with(path, 'src1/'))")
+def filter_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(spark, sf_dir).filter(eligible(status="draft", kind="article", folder="src1/")).select("doc_id", "path", "project")
+
+
+@query(f"""SELECT doc_id, status, kind FROM (SELECT * REPLACE (CASE WHEN status = 'archived' THEN 'superseded' ELSE status END AS status) FROM ({_LABELLED}))
+WHERE project IN ('src0', 'global') AND (module = '' OR module = 'web') AND (status = 'superseded' OR (status = 'active' AND kind = 'lesson'))""")
+def recall_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.plans.search import Request
+
+    rows = _labelled(spark, sf_dir).withColumn("status", F.when(F.col("status") == "archived", F.lit("superseded")).otherwise(F.col("status")))
+    return rows.filter(Request("x", recall=True, project="src0", module="web").pool()).select("doc_id", "status", "kind")
+
+
+@query(f"{_CHAIN}, r AS (SELECT target, node, chain, ((node * 37) % 101)::DOUBLE / 10 AS score FROM t) SELECT target, count(*) AS sources, string_agg(chain, '|' ORDER BY score DESC, node) AS chains FROM r GROUP BY target")
+def replacement_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = lineage.follow(_copies(spark, sf_dir)).select("target", F.col("node").alias("source"), "chain", (((F.col("node") * 37) % 101) / F.lit(10.0)).alias("score"))
+    shown = F.transform("chains", lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ","))
+    return lineage.best_source(f).select("target", F.size("chains").cast("long").alias("sources"), F.array_join(shown, "|").alias("chains"))
+
+
+@query("""WITH d AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE lang IS NOT NULL),
+g AS (SELECT * FROM d WHERE rank <= 5), l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+x AS (SELECT d.lang, d.doc_id, d.rank FROM d JOIN l ON l.doc_id = d.doc_id WHERE quality = 1 AND toxic = 0),
+c AS (SELECT lang, count(*) AS expected, count(*) FILTER (WHERE rank <= 3) AS hits, min(rank) FILTER (WHERE rank <= 5) AS first FROM x GROUP BY lang),
+f AS (SELECT g.lang, string_agg(g.doc_id::VARCHAR, ',' ORDER BY g.doc_id::VARCHAR) AS leaked FROM g JOIN l ON l.doc_id = g.doc_id WHERE coalesce(quality, 0) = 0 OR toxic = 1 GROUP BY g.lang)
+SELECT c.lang, round(hits / expected::DOUBLE, 6) AS recall_at_3, round(coalesce(1.0::DOUBLE / first, 0), 6) AS reciprocal_rank, coalesce(leaked, '') AS forbidden_hits, hits > 0 AND leaked IS NULL AS passed FROM c LEFT JOIN f ON f.lang = c.lang""")
+def forbidden_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    from tidepool.plans.evaluate import metrics
+
+    d = _t(spark, sf_dir, "documents").filter("lang is not null").select(F.col("lang").alias("case"), F.col("doc_id").alias("path"), "n_chars")
+    label = _t(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("path")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    w = Window.partitionBy("case").orderBy(F.col("n_chars").desc_nulls_last(), "path")
+    results = d.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("case", "path", "rank")
+    known = d.select("case", "path").join(label, "path")
+    m = metrics(results, known.filter("quality = 1 and toxic = 0"), known.filter("coalesce(quality, 0) = 0 or toxic = 1"))
+    return m.select(F.col("case").alias("lang"), F.round("recall_at_3", 6).alias("recall_at_3"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"), F.array_join("forbidden_hits", ",").alias("forbidden_hits"), "passed")
+
+
+@query("""WITH s AS (SELECT user_id, max(ts) AS t, count(*) AS turns FROM events GROUP BY user_id)
+SELECT user_id, strftime(t, '%Y-%m-%d %H:%M:%S.%f') AS modified_at, turns, (SELECT count(*) FROM s) AS total, (SELECT count(*) FROM s) > 15 AS has_more FROM s ORDER BY t DESC, user_id DESC LIMIT 15""")
+def recent_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages.latest(_t(spark, sf_dir, "events"), "user_id", "ts", 15).withColumn("modified_at", F.date_format("modified_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+def _keyed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """chunks (path, chunk_ord, key) and vectors (key, vector): passages that are equal have one vector, of their smallest id."""
+    n = _notes(spark, sf_dir).select("doc_id", "path", "lang", F.sha2("text", 256).alias("key"), F.lit(0).alias("chunk_ord"))
+    of = n.groupBy("key").agg(F.min("doc_id").alias("vec_id"))
+    return n, of.join(_vectors(spark, sf_dir), "vec_id").select("key", "vector")
+
+
+_KEYED = f"""WITH n AS (SELECT doc_id, path, lang, sha256(text) AS key FROM ({SQL_NOTES})), k AS (SELECT key, min(doc_id) AS vec_id FROM n GROUP BY key),
+v AS (SELECT k.key, c.score FROM k JOIN ({_COS}) c ON c.vec_id = k.vec_id)"""
+
+
+@query(f"{_KEYED} SELECT n.path, n.key, round(v.score, 6) AS score FROM n JOIN v ON v.key = n.key WHERE n.lang = 'en' AND round(v.score, 6) >= 0.02")
+def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks, vectors = _keyed(spark, sf_dir)
+    hits = ranking.cosine(chunks.filter("lang = 'en'").join(vectors, "key"), ALPHA, -1.0).withColumn("score", F.round("score", 6)).filter("score >= 0.02")
+    return ranking.best_chunk(hits.select("path", "key", "chunk_ord", "score")).select("path", "key", "score")
+
+
+@query(f"{_KEYED} SELECT count(DISTINCT key) AS chunks, count(DISTINCT key) FILTER (WHERE key NOT IN (SELECT key FROM v)) AS missing_chunks FROM n WHERE lang = 'en'")
+def relevant_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks, vectors = _keyed(spark, sf_dir)
+    pool = chunks.filter("lang = 'en'").select("path")
+    relevant = chunks.withColumn("passage", F.lit("")).join(pool, "path", "left_semi")
+    lacking = index.missing(relevant, vectors).agg(F.count("*").alias("missing_chunks"))
+    return relevant.agg(F.count_distinct("key").alias("chunks")).crossJoin(lacking)  # one row each
+
+
+_FIRST = "left(string_split(text, chr(10))[1], 100)"
+
+
+@query(f"""WITH f AS (SELECT doc_id, {_FIRST} AS l FROM ({SQL_NOTES}))
+SELECT doc_id, 0 AS chunk_ord, 1 AS start_line, 3 AS end_line, '' AS heading, sha256('intro' || chr(10) || '```' || chr(10) || '# no heading' || chr(10)) AS digest FROM f WHERE FALSE
+UNION ALL SELECT doc_id, 0, 1, 4, '', sha256('intro' || chr(10) || '```' || chr(10) || '# no heading' || chr(10) || '```' || chr(10)) FROM f
+UNION ALL SELECT doc_id, 1, 5, CASE WHEN l = '' THEN 5 ELSE 6 END, 'Quoted ' || doc_id, sha256('> ## Quoted ' || doc_id || chr(10) || l) FROM f""")
+def quoted_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = F.substring(F.split("text", "\n", -1)[0], 1, 100)
+    body = F.concat(F.lit("intro\n```\n# no heading\n```\n> ## Quoted "), F.col("doc_id"), F.lit("\n"), first)
+    c = chunking.split_rows(_notes(spark, sf_dir).select("doc_id", body.alias("text")), "doc_id", "text")
+    return c.select("doc_id", "chunk_ord", "start_line", "end_line", "heading", F.sha2("text", 256).alias("digest"))
+
+
+_PLACES = [("pic/", "%20x.png"), ("file:///a/", "%20x.png"), ("C:/x/", ".png"), ("file://far/x/", ".png"), ("ftp://x/", ".png"), ("file://localhost/b/", ".png"), ("file:///D:/x/", ".png")]
+
+
+@query(f"""SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'pic/' || page_id || ' x.png' WHEN 1 THEN '/a/' || page_id || ' x.png' WHEN 5 THEN '/b/' || page_id || '.png' END AS posix,
+CASE page_id % 7 WHEN 0 THEN 'pic/' || page_id || ' x.png' WHEN 1 THEN '\\a\\' || page_id || ' x.png' WHEN 2 THEN 'C:/x/' || page_id || '.png' WHEN 5 THEN '\\b\\' || page_id || '.png' WHEN 6 THEN 'D:\\x\\' || page_id || '.png' END AS windows FROM pages""")
+def image_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.operators.images import local_paths
+
+    forms = F.array(*[F.concat(F.lit(a), F.col("page_id"), F.lit(b)) for a, b in _PLACES])
+    p = _t(spark, sf_dir, "pages").select("page_id", F.get(forms, (F.col("page_id") % 7).cast("int")).alias("r"))
+    return p.select("page_id", local_paths("r", F.lit(False)).alias("posix"), local_paths("r", F.lit(True)).alias("windows"))
+
+
+@query("SELECT conv_id, 2 * count(*) AS images, count(*) AS remote, count(DISTINCT turn) + count(DISTINCT turn % 2) AS captured FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+def image_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.operators.images import reference_counts, references
+
+    c = _t(spark, sf_dir, "conversations").filter("text is not null")
+    written = F.concat("text", F.lit("\n![a](https://x.example/"), F.col("turn"), F.lit(".png) `![b](no.png)` ![c](<pic/"), F.col("turn") % 2, F.lit(".png>)\n"))
+    return reference_counts(references(c.select("conv_id", "turn", written.alias("text")), ["conv_id", "turn"], "text"), "conv_id")
 
 
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
@@ -420,9 +564,9 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", "start_line", "end_line", F.sha2("text", 256).alias("digest"))
 
 
-@query()
+@query("SELECT conv_id, turn, 0 AS nth, 'https://x.example/' || turn || '.png' AS reference, 'a' AS alt, TRUE AS remote FROM conversations WHERE text IS NOT NULL")
 def image_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References in Markdown that the conversations are given: outside code only. SQL has no such state machine."""
+    """References in Markdown that the conversations are given: outside code only."""
     from tidepool.operators.images import references
 
     c = _t(spark, sf_dir, "conversations").filter("text is not null")

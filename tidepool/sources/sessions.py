@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from datetime import datetime
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -28,7 +29,7 @@ def checked(path: str | Path, root: Path) -> Path:
     p = Path(path)
     real = p.resolve()
     if p.is_symlink() or not real.is_file() or not (real == root or root in real.parents):
-        raise ValueError("Source must be a regular, non-symlink file inside the selected history root.")
+        raise ValueError("a source is a regular file, not a link, in its client's log folder")
     return real
 
 
@@ -40,9 +41,9 @@ def json_rows(lines: Iterator[bytes]) -> Iterator[tuple[int, dict]]:
         try:
             row = json.loads(raw)
         except ValueError as e:
-            raise ValueError(f"Invalid/incomplete JSONL at line {n}; wait for the writer and read again.") from e
+            raise ValueError(f"line {n} isn't whole JSON; it may still be written") from e
         if not isinstance(row, dict):
-            raise ValueError(f"JSONL line {n} is not an object.")
+            raise ValueError(f"line {n} isn't a JSON object")
         yield n, row
 
 
@@ -89,7 +90,7 @@ def prefix_lines(path: str | Path, length: int, digest=None) -> Iterator[bytes]:
         while left:
             raw = f.readline(left)
             if not raw:
-                raise ValueError("Source was truncated during reading.")
+                raise ValueError("the source became shorter while it was read")
             left -= len(raw)
             if digest is not None:
                 digest.update(raw)
@@ -135,7 +136,7 @@ class LogReader(DataSourceReader):
         size = os.stat(partition.path).st_size
         length = size if self.length is None else self.length
         if not 0 <= length <= size:
-            raise ValueError("Requested source prefix is unavailable; read again.")
+            raise ValueError("the source is shorter than the bytes asked for")
         for m in messages_of(partition.path, partition.client, length):
             yield partition.path, m["number"], m["line"], m["role"], m["images"], m["timestamp"], m["text"], json.dumps(m["parts"], ensure_ascii=False)
 
@@ -202,9 +203,13 @@ def discover(spark: SparkSession, home: str, project: str, clients: tuple[str, .
     """Sessions of a project, latest file first, and warnings (source_file, message); heads alone are read."""
     spark.dataSource.register(HeadSource)
     heads = spark.read.format("session_heads").option("path", home).option("clients", ",".join(clients)).load()
-    inside = F.udf(lambda p: in_project(p, project), "boolean")
+
+    @F.pandas_udf("boolean")
+    def inside(recorded: pd.Series) -> pd.Series:
+        return recorded.map({p: in_project(p, project) for p in recorded.unique()})
+
     sessions = heads.filter(F.col("error").isNull() & F.col("project").isNotNull()).filter(inside("project")).drop("error")
-    unknown = F.coalesce("error", F.when(F.col("project").isNull(), F.lit("no project found in bounded header; not listed.")))
+    unknown = F.coalesce("error", F.when(F.col("project").isNull(), F.lit("its head names no project")))
     return sessions.orderBy(F.col("file_modified_at").desc(), F.col("source_file").desc()), heads.select("source_file", unknown.alias("message")).filter("message is not null")
 
 
@@ -220,7 +225,7 @@ def snapshot(path: str, client: str, home: str, project: str, source_bytes: int
     size = real.stat().st_size
     length = size if source_bytes is None else source_bytes
     if not 0 <= length <= size:
-        raise ValueError("Requested source prefix is unavailable; read again.")
+        raise ValueError("the source is shorter than the bytes asked for")
     info: dict[str, str] = {}
     digest = hashlib.sha256()
     total = sum(1 for _ in messages_of(real, client, length, info, digest))
@@ -228,7 +233,7 @@ def snapshot(path: str, client: str, home: str, project: str, source_bytes: int
     for _ in prefix_lines(real, length, again):
         pass
     if again.digest() != digest.digest():
-        raise ValueError("Source prefix changed during reading; read again.")
+        raise ValueError("the source changed while it was read")
     if not in_project(info.get("project"), project):
-        raise ValueError("Recorded project is missing or outside --project; nothing exported.")
+        raise ValueError("the session records no project, or another one")
     return {"session_id": info.get("session_id", real.stem), "project": info["project"], "started_at": info.get("started_at"), "client": client, "source_file": str(real), "version": digest.hexdigest(), "source_bytes": length, "source_grew": real.stat().st_size > length, "total_messages": total}
