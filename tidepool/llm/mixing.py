@@ -3,7 +3,8 @@
 Each document gets a fractional number of copies, its source's target over its source's size. Whole copies are certain;
 the fractions are rounded by pairing: two fractional documents exchange probability mass, in words, in a random
 direction chosen so that every expectation stays, until one of them is integral. What a pair transfers leaves the
-expected number of words unchanged, so a source's words move only by the last unpaired document. Groups of a source
+expected number of words unchanged, so a source's words move only by the last unpaired document. The largest
+documents of a group are settled first, each by pairs with as many smaller ones as it takes. Groups of a source
 (salted, so that a hot source is many groups) each hand on their unpaired document and their smallest few as change; a
 reduction tree of such groups combines them.
 
@@ -28,8 +29,8 @@ from tidepool.llm.common import chunks, count_words, only, staged, text_array
 GROUP_ROWS, FAN_IN = 50_000, 64
 #: The smallest documents of a group that stay unpaired for the next level, so that the root has small change.
 CHANGE = 16
-#: The largest documents of a group, each paired with all smaller ones together.
-POOLED = 256
+#: The largest documents of a group, each settled by exchanges with as many smaller ones as it takes.
+MOST_LARGE = 256
 #: Sources up to which the table of targets is broadcast; beyond, it is joined by shuffling.
 BROADCAST_SOURCES = 10_000
 
@@ -85,7 +86,8 @@ def _round(rows: pd.DataFrame, root: bool, seed: int, level: int) -> pd.DataFram
         keys = np.random.SeedSequence([seed, level, int(first["salt"]), *name])
         luck = np.random.Generator(np.random.Philox(keys)).random(2 * len(todo) + 1)
         paired = todo if root else todo[: max(0, len(todo) - CHANGE)]
-        paired = paired[_pool(p, w, done, paired, todo, luck[len(todo) :]) :]
+        paired = paired[_largest(p, w, done, paired, todo, luck[len(todo) :]) :]
+        paired = paired[~done[paired]]
         held, k = -1, 0
         for j in paired.tolist():
             if held < 0:
@@ -112,24 +114,30 @@ def _round(rows: pd.DataFrame, root: bool, seed: int, level: int) -> pd.DataFram
     return rows
 
 
-def _pool(p: np.ndarray, w: np.ndarray, done: np.ndarray, paired: np.ndarray, todo: np.ndarray, luck: np.ndarray) -> int:
-    """Settle the largest documents, each against all smaller ones as one partner; how many were settled.
+def _largest(p: np.ndarray, w: np.ndarray, done: np.ndarray, paired: np.ndarray, todo: np.ndarray, luck: np.ndarray) -> int:
+    """Settle the largest documents one after another; how many were settled.
 
-    One small partner can't take up a large document's mass, so large ones would be left over. The partner's mass moves
-    along p * (1 - p), the same line either way, so expectations stay; it goes on while no probability would leave [0, 1].
+    One small partner can't take up a large document's mass, so a large one would be left over. Its coin is thrown once, and
+    it then exchanges mass with single partners, the largest first, each as far as the partner's probability may go
+    either way, until it's integral itself: (1 - p) c to it if it rises, p c from it if it falls, so expectations stay.
     """
-    for n, i in enumerate(paired[:POOLED].tolist()):
+    for n, i in enumerate(paired[:MOST_LARGE].tolist()):
+        if done[i]:
+            continue
         rest = todo[n + 1 :]
-        if not len(rest):
-            return n
-        line = p[rest] * (1.0 - p[rest])
-        weight = float(line @ w[rest])
-        if weight <= 0 or w[i] * max(p[i], 1.0 - p[i]) > weight:
+        room = np.minimum(p[rest] / (1.0 - p[i]), (1.0 - p[rest]) / p[i])
+        moved = np.cumsum(room * w[rest])
+        if not len(rest) or moved[-1] < w[i]:
             return n
+        last = int(np.searchsorted(moved, w[i]))
+        partners, room = rest[: last + 1], room[: last + 1]
+        room[last] = max(0.0, room[last] - (moved[last] - w[i]) / w[rest[last]])
         up = luck[n] < p[i]
-        p[rest] -= line * (w[i] * ((1.0 - p[i]) if up else -p[i]) / weight)
+        p[partners] -= room * ((1.0 - p[i]) if up else -p[i])
         p[i], done[i] = float(up), True
-    return min(POOLED, len(paired))
+        whole = partners[(p[partners] < 1e-9) | (p[partners] > 1 - 1e-9)]
+        p[whole], done[whole] = np.round(p[whole]), True
+    return min(MOST_LARGE, len(paired))
 
 
 def _rounder(root: bool, seed: int, level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
