@@ -83,40 +83,62 @@ def format_turns(conversations: DataFrame, tokenizer_path: str, learn_role: str
 
     def formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = ChatTokenizer(tokenizer_path)
-        newline = t.encode(["\n"])[0]
-        cached: dict[str, list[int]] = {}
+        row = lambda ids: np.array(ids, dtype=np.int32)
+        begin, newline, end = row([t.start]), row(t.encode(["\n"])[0]), row([t.end])
+        cached: dict[str, np.ndarray] = {}
         for b in chunks(batches, limit=4 << 20):
             roles, texts = ([x or "" for x in b.column(i).cast(pa.string()).to_pylist()] for i in (2, 3))
             if len(cached) > 10_000:
                 cached.clear()
             fresh = [r for r in dict.fromkeys(roles) if r not in cached]
-            cached.update(zip(fresh, t.encode([escape_role(r) for r in fresh]), strict=True))
-            ids, masks = [], []
-            for role, content in zip(roles, t.encode([escape(x) for x in texts]), strict=True):
-                segments = [[t.start], cached[role], newline, content, [t.end], newline]
-                whole = [i for s in segments for i in s]
-                step = np.zeros(len(whole) + 1, dtype=np.int8)
-                if role == learn_role:
-                    begin = sum(map(len, segments[:3]))
-                    step[begin] += 1
-                    step[begin + len(content)] -= 1
-                ids.append(whole)
-                masks.append(np.cumsum(step[:-1], dtype=np.int8))
+            cached.update(zip(fresh, map(row, t.encode([escape_role(r) for r in fresh])), strict=True))
+            contents = [row(x) for x in t.encode([escape(x) for x in texts])]
+            ids = np.concatenate([x for role, content in zip(roles, contents, strict=True) for x in (begin, cached[role], newline, content, end, newline)])
+            before = np.array([1 + len(cached[r]) + len(newline) for r in roles], dtype=np.int64)
+            inside = np.array([len(x) for x in contents], dtype=np.int64)
+            offsets = np.zeros(len(roles) + 1, dtype=np.int32)
+            np.cumsum(before + inside + 1 + len(newline), out=offsets[1:])
+            # +1 where a learnt text begins, -1 where it ends (an empty one does both at one place), and a running sum
+            learnt = np.array([r == learn_role for r in roles])
+            step = np.zeros(len(ids) + 1, dtype=np.int64)
+            np.add.at(step, (offsets[:-1] + before)[learnt], 1)
+            np.add.at(step, (offsets[:-1] + before + inside)[learnt], -1)
+            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (ids, np.cumsum(step[:-1]).astype(np.int8))]
             keys = [f"{r}\n{x}" for r, x in zip(roles, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.int64()), pa.array([hashlib.sha256(k.encode()).hexdigest()[:16] for k in keys]), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int8()))], schema=_FORMATTED)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.int64()), pa.array([hashlib.sha256(k.encode()).hexdigest()[:16] for k in keys]), *lists], schema=_FORMATTED)
 
     return only(conversations, conv_id="conv_id", turn="turn", role="role", text="text").mapInArrow(formatted, FORMATTED_DDL)
 
 
-def read_turn(t: ChatTokenizer, ids: list[int], mask: list[int]) -> tuple[str, str, str, int]:
-    """role, text, text under the loss mask, characters of a formatted turn; raises where it isn't well formed."""
-    if len(ids) != len(mask) or not ids or ids[0] != t.start or ids.count(t.start) != 1 or ids.count(t.end) != 1:
-        raise ValueError("not a formatted turn")
-    whole = t.decode(ids)
-    role, _, rest = whole[len(START) :].partition("\n")
-    text = rest[: rest.rindex(END)]
-    learnt = t.decode([i for i, m in zip(ids, mask, strict=True) if m])
-    return unescape_role(role), unescape(text), unescape(learnt), len(whole)
+def read_turns(t: ChatTokenizer, ids: pa.ListArray, masks: pa.ListArray) -> Iterator[tuple[str, str, str, int]]:
+    """role, text, text under the loss mask, characters of each formatted turn; raises where one isn't well formed.
+
+    Ids are decoded in runs between reserved ids and changes of the mask, all runs of a batch together.
+    """
+    flat, mask = (x.flatten().to_numpy(zero_copy_only=False) for x in (ids, masks))
+    edges = ids.offsets.to_numpy() - ids.offsets[0].as_py()
+    if (masks.offsets.to_numpy() - masks.offsets[0].as_py() != edges).any():
+        raise ValueError("a turn's mask doesn't fit its ids")
+    reserved = flat >= t.start
+    cut = np.zeros(len(flat) + 1, dtype=bool)
+    cut[edges] = cut[:-1][reserved] = cut[1:][reserved] = True
+    cut[1:-1] |= mask[1:] != mask[:-1]
+    places = np.flatnonzero(cut)
+    runs = [flat[s:e].tolist() for s, e in zip(places[:-1], places[1:], strict=True)]
+    plain = [k for k, s in enumerate(places[:-1].tolist()) if not reserved[s]]
+    shown = {t.start: START, t.end: END}
+    said = [shown.get(r[0], "") for r in runs]
+    for k, text in zip(plain, t.base.decode_batch([runs[k] for k in plain], skip_special_tokens=False), strict=True):
+        said[k] = text
+    at = np.searchsorted(places, edges).tolist()
+    learnt = (mask[places[:-1]] > 0).tolist()
+    for s, e in zip(at[:-1], at[1:], strict=True):
+        marks = [r[0] for r, p in zip(runs[s:e], places[s:e].tolist(), strict=True) if reserved[p]]
+        if marks != [t.start, t.end] or runs[s][0] != t.start:
+            raise ValueError("not a formatted turn")
+        whole = "".join(said[s:e])
+        role, _, rest = whole[len(START) :].partition("\n")
+        yield unescape_role(role), unescape(rest[: rest.rindex(END)]), unescape("".join(x for x, m in zip(said[s:e], learnt[s:e], strict=True) if m)), len(whole)
 
 
 def digest(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -128,7 +150,7 @@ def digest(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = ChatTokenizer(tokenizer_path)
         for b in batches:
-            got = [read_turn(t, i, m) for i, m in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            got = list(read_turns(t, b.column(3), b.column(4))) if b.num_rows else []
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([f"{r}\n{x}\n" for r, x, _, _ in got]), pa.array([x for _, _, x, _ in got]), pa.array([n for *_, n in got], pa.int64())], names=["conv_id", "turn", "rank_key", "said", "learnt", "chars"])
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
