@@ -45,9 +45,9 @@ def test_sieve(spark):
     assert not common.Sieve.of(known.limit(0), "h").test(np.arange(9, dtype=np.uint64)).any()
 
 
-@pytest.mark.parametrize("pass_bytes", [1 << 27, 3000])
-def test_lm_score(documents, rows, pass_bytes):
-    out = lm_score.score(documents, pass_bytes=pass_bytes, segments=8)
+@pytest.mark.parametrize("broadcast_bytes", [1 << 27, 3000])
+def test_lm_score(documents, rows, broadcast_bytes):
+    out = lm_score.score(documents, broadcast_bytes=broadcast_bytes, segments=8)
     counts = collections.Counter()
     tokens = [([*WORD.findall((r[1] or "").translate(LOWER)), None], r[0]) for r in rows]
     kept = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 != 0
@@ -61,9 +61,33 @@ def test_lm_score(documents, rows, pass_bytes):
     assert out.filter("score > 0 or isnan(score)").count() == 0
 
 
-def test_lm_passes_agree(documents):
+def test_lm_score_is_the_models(documents, rows):
+    """Against a plain model with dictionaries of exact counts cut to their levels: the filter may only add a little to some counts."""
+    tokens = {i: [(x, y) for x, y in zip(w, [None, *w], strict=False)] for i, w in ((r[0], [*WORD.findall((r[1] or "").translate(LOWER)), None]) for r in rows)}
+    kept = [i for r in rows for i in (r[0],) if zlib.crc32(b"" if i is None else str(i).encode()) % 10 != 0]
+    words, pairs = collections.Counter(), collections.Counter()
+    for i in kept:
+        words.update(x for x, _ in tokens[i])
+        pairs.update(tokens[i])
+    n, v = sum(words.values()), len(words)
+    mid = lambda c, base: float(lm_score.level_count(lm_score.levels_of(np.array([c]), base), base)[0]) if c else 0.0
+    want = {}
+    for i, t in tokens.items():
+        want[i] = 0.0
+        for x, y in t:
+            c, context = mid(words[x], 1.25), mid(words[y], 1.25)
+            pair = min(mid(pairs[x, y], 2.0), context)
+            want[i] += math.log10((pair + 4.0 * (c + 0.1) / (n + 0.1 * (v + 1))) / (context + 4.0))
+    got = {x["doc_id"]: x["score"] for x in lm_score.score(documents, segments=4).collect()}
+    apart = np.array([abs(got[i] - want[i]) / len(t) for i, t in tokens.items()])
+    assert set(got) == set(want) and apart.mean() < 0.02 and np.median(apart) < 0.01
+    assert np.corrcoef([got[i] for i in want], list(want.values()))[0, 1] > 0.999
+
+
+def test_lm_score_beyond_a_broadcast(documents):
+    """The segments' holders give what a broadcast filter gives."""
     a = collected(lm_score.score(documents, segments=8).withColumn("score", F.round("score", 9)), "doc_id", "score")
-    b = collected(lm_score.score(documents, segments=8, pass_bytes=2000).withColumn("score", F.round("score", 9)), "doc_id", "score")
+    b = collected(lm_score.score(documents, segments=8, broadcast_bytes=2000).withColumn("score", F.round("score", 9)), "doc_id", "score")
     assert a == b
 
 
@@ -642,6 +666,25 @@ def test_gradients_of_the_network():
         assert (up - down) / 2e-3 == pytest.approx(g[k][at], rel=2e-2, abs=1e-4)
 
 
+def test_labels_are_the_networks(spark, data):
+    """Whole texts, window by window and each by itself, against the batched run."""
+    import pyarrow as pa
+
+    texts = [r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").filter("text is not null").orderBy("doc_id").limit(25).collect()]
+    texts += ["", "a", "é", "über " * 400, "x" * lang_id.WINDOW, "y" * (lang_id.WINDOW + 1)]
+    net = lang_id.Network.new(["en", "de", "fr"], seed=4)
+    want = []
+    for t in texts:
+        raw, each, total = np.frombuffer(t.encode(), np.uint8), lang_id.WINDOW * lang_id.STRIDE, np.zeros(3)
+        for s in range(0, len(raw), each):
+            part = raw[s : s + each]
+            part = np.concatenate([part, np.zeros(-len(part) % lang_id.STRIDE, np.uint8)])
+            total += net.probabilities(net.states(part.reshape(-1, 1, lang_id.STRIDE))[0]).sum(axis=(0, 1))
+        want.append(total / max(1, -(-len(raw) // lang_id.STRIDE)))
+    got = lang_id.label(net, pa.array(texts))
+    assert np.abs(got - np.array(want)).max() < 1e-5
+
+
 def test_language_id(spark, data, documents, nothing):
     d = spark.read.parquet(f"{data}/documents.parquet")
     out = lang_id.identify(d).join(d.select("doc_id", "lang"), "doc_id")

@@ -1,6 +1,6 @@
 """Language identification by a bidirectional gated recurrent network over bytes, in numpy.
 
-A position is ``STRIDE`` bytes; a text is read whole, in windows of ``WINDOW`` positions that start with fresh states.
+A position is ``STRIDE`` bytes, one byte as it stands; a text is read whole, in windows of ``WINDOW`` positions that start with fresh states.
 Both directions of a window see their byte embeddings and a gated recurrent unit; a softmax over both states labels
 every position, and a document's probabilities are the means over all of its positions. Training is backpropagation
 through time with Adam, on at most ``SAMPLE`` labelled documents of each language (chosen by a hash of doc_id) and
@@ -25,10 +25,10 @@ from pyspark.sql import types as T
 
 from tidepool.llm.common import chunks, only, text_array
 
-STRIDE, WINDOW, HIDDEN = 2, 128, 8
+STRIDE, WINDOW, HIDDEN = 1, 256, 8
 #: The bound of the training sample: documents per language, characters of each.
 SAMPLE, EXCERPT = 600, 1000
-STEPS, BATCH, RATE, TRAIN_POSITIONS = 260, 192, 0.02, 48
+STEPS, BATCH, RATE, TRAIN_POSITIONS = 260, 192, 0.02, 96
 
 
 def held_out(doc_id: Column) -> Column:
@@ -53,9 +53,13 @@ class Network:
         w = {"embed": r.normal(0, 0.3, (STRIDE, 256, 6 * h)), "base": np.zeros(6 * h), "gates": r.normal(0, 0.3, (2, h, 2 * h)), "fresh": r.normal(0, 0.3, (2, h, h)), "out": r.normal(0, 0.3, (2 * h, len(langs))), "bias": np.zeros(len(langs))}
         return cls(langs, {k: v.astype(np.float32) for k, v in w.items()})
 
-    def states(self, x: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-        """Hidden states (positions, texts, 2 H) of bytes (positions, texts, STRIDE); with ``keep``, what backpropagation needs."""
+    def states(self, x: np.ndarray, keep: bool = False, inside: np.ndarray | None = None) -> tuple[np.ndarray, list]:
+        """Hidden states (positions, texts, 2 H) of bytes (positions, texts, STRIDE); with ``keep``, what backpropagation needs.
+
+        ``inside`` (positions, texts) says which positions are a text's own: the backward direction starts fresh at its last one.
+        """
         t, b, _ = x.shape
+        whole = inside.all(axis=1) if inside is not None else np.ones(t, dtype=bool)
         h3, w, tape = 3 * HIDDEN, self.weights, []
         out = np.empty((t, b, 2 * HIDDEN), dtype=np.float32)
         for d in (0, 1):
@@ -72,6 +76,8 @@ class Network:
                 if keep:
                     tape.append((d, i, h, z, r, n))
                 h = n + z * (h - n)
+                if d == 1 and not whole[i]:
+                    h *= inside[i][:, None]
                 out[i, :, d * HIDDEN : (d + 1) * HIDDEN] = h
         return out, tape
 
@@ -160,8 +166,8 @@ def label(net: Network, texts: pa.Array) -> np.ndarray:
         index = begin[at][:, None] + np.arange(most * STRIDE)
         inside = np.arange(most * STRIDE) < length[at][:, None]
         x = np.where(inside, data[np.minimum(index, len(data) - 1)], 0)
-        p = net.probabilities(net.states(np.ascontiguousarray(x.reshape(len(at), most, STRIDE).transpose(1, 0, 2)))[0])
-        real = inside[:, ::STRIDE].T
+        real = np.ascontiguousarray(inside[:, ::STRIDE].T)
+        p = net.probabilities(net.states(np.ascontiguousarray(x.reshape(len(at), most, STRIDE).transpose(1, 0, 2)), inside=real)[0])
         np.add.at(sums, doc[at], np.einsum("tbc,tb->bc", p, real.astype(np.float32)))
     return sums / np.maximum(-(-sizes // STRIDE), 1)[:, None]
 
