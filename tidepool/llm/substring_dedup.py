@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ from tidepool.llm.common import Sieve, buckets_for, chunks, mix, only, owners, s
 WINDOW, KMER = 13, 5
 #: Text bytes of a chunk, and of a hash range.
 CHUNK_TEXT, RANGE_TEXT = 3 << 20, 24 << 20
+#: Chunks whose edges meet in one group before all of a hash range do.
+GROUP_CHUNKS = 1024
 NO_ID = -(1 << 63)
 
 _HASHES = pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("many", pa.binary())])
@@ -133,7 +136,7 @@ def _runs(doc: np.ndarray, at: np.ndarray, source: np.ndarray, source_at: np.nda
     return doc[new], at[new], np.diff(np.r_[new, len(doc)]).astype(np.int32), source[new], source_at[new]
 
 
-def paths(rows: DataFrame, sieve: Sieve, buckets: int, window: int, kmer: int) -> DataFrame:
+def paths(rows: DataFrame, sieve: Sieve, buckets: int, window: int, kmer: int, groups: int = 1) -> DataFrame:
     """doc_id, start, edges, source, source_start: compacted paths of windows that start in a smaller document too."""
     known = rows.sparkSession.sparkContext.broadcast(sieve)
 
@@ -161,25 +164,29 @@ def paths(rows: DataFrame, sieve: Sieve, buckets: int, window: int, kmer: int) -
             if len(own[0]):
                 yield pa.RecordBatch.from_arrays([pa.array([chunk % buckets], pa.int32()), pa.array([chunk]), pa.array([True]), *(pa.array([x.tobytes()], pa.binary()) for x in (own[2], own[0], own[1], own[3], own[4]))], schema=_EDGES)
 
-    def sourced(key: tuple, rows: pa.Table) -> pa.Table:
-        """The edges of a hash range whose smallest document is another one, back by chunk; settled paths pass through."""
-        settled = rows.filter(rows.column("settled"))
-        rows = rows.filter(pa.compute.invert(rows.column("settled")))
+    def sourced(bucket: int, rows: pa.Table, last: bool) -> pa.Table:
+        """The edges of a hash range whose smallest document is another one, back by chunk; unless it's the ``last`` time, also those of the smallest.
+
+        Settled paths, and what went back before, pass through.
+        """
+        through = pa.compute.greater(pa.compute.binary_length(rows.column("source")), 0)
+        out, rows = [rows.filter(through)], rows.filter(pa.compute.invert(through))
         sizes = [len(x) // 8 for x in rows.column("h").to_pylist()]
         chunk = np.repeat(rows.column("chunk").to_numpy(), sizes)
         h, doc, at = _joined(rows, "h", np.uint64), _joined(rows, "doc", np.int64), _joined(rows, "at", np.int32)
         order = np.lexsort((at, doc, h))
         h, doc, at, chunk = h[order], doc[order], at[order], chunk[order]
-        out = [settled.select(_EDGES.names)]
-        if len(h):
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            of = np.repeat(first, np.diff(np.r_[first, len(h)]))
-            later = np.flatnonzero(doc != doc[of])
-            later = later[np.argsort(chunk[later], kind="stable")]
-            ends = np.flatnonzero(np.r_[True, np.diff(chunk[later]) != 0, True]) if len(later) else np.zeros(1, np.int64)
-            back = [(chunk[later[s]], later[s:e]) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            bucket = key[0].as_py()
-            out.append(pa.Table.from_arrays([pa.array([bucket] * len(back), pa.int32()), pa.array([int(c) for c, _ in back], pa.int64()), pa.array([False] * len(back)), pa.array([b""] * len(back), pa.binary()), *(pa.array([x[i].tobytes() for _, i in back], pa.binary()) for x in (doc, at, doc[of], at[of]))], schema=_EDGES))
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+        of = np.repeat(first, np.diff(np.r_[first, len(h)]))
+        later = doc != doc[of]
+        for some, known in ((later, True), (~later, False)) if not last else ((later, True),):
+            index = np.flatnonzero(some)
+            index = index[np.argsort(chunk[index], kind="stable")]
+            ends = np.flatnonzero(np.r_[True, np.diff(chunk[index]) != 0, True]) if len(index) else np.zeros(1, np.int64)
+            cuts = [index[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            empty = [b""] * len(cuts)
+            columns = [empty if known else [h[i].tobytes() for i in cuts], *([x[i].tobytes() for i in cuts] for x in (doc, at)), *([x[of[i]].tobytes() for i in cuts] if known else empty for x in (doc, at))]
+            out.append(pa.Table.from_arrays([pa.array([bucket] * len(cuts), pa.int32()), pa.array([int(chunk[i[0]]) for i in cuts], pa.int64()), pa.array([False] * len(cuts)), *(pa.array(x, pa.binary()) for x in columns)], schema=_EDGES))
         return pa.concat_tables([t.cast(_EDGES) for t in out])
 
     def compacted(rows: pa.Table) -> pa.Table:
@@ -188,7 +195,12 @@ def paths(rows: DataFrame, sieve: Sieve, buckets: int, window: int, kmer: int) -
         own = (_joined(own, "doc", np.int64), _joined(own, "at", np.int32), _joined(own, "h", np.int32), _joined(own, "source", np.int64), _joined(own, "source_at", np.int32))
         return pa.Table.from_arrays([pa.array(np.concatenate([a, b])) for a, b in zip(own, parts, strict=True)], schema=_PATHS)
 
-    edges = rows.mapInArrow(dealt, _EDGES_DDL).groupBy("bucket").applyInArrow(sourced, _EDGES_DDL)
+    edges = rows.mapInArrow(dealt, _EDGES_DDL)
+    if groups > 1:
+        # chunks meet in groups first, so that of a hot window one a group goes on, not one a chunk
+        grouped = edges.withColumn("group", F.pmod(F.xxhash64("chunk"), F.lit(groups))).groupBy("bucket", "group")
+        edges = grouped.applyInArrow(lambda key, t: sourced(key[0].as_py(), t.select(_EDGES.names), False), _EDGES_DDL)
+    edges = edges.groupBy("bucket").applyInArrow(lambda key, t: sourced(key[0].as_py(), t, True), _EDGES_DDL)
     return edges.groupBy("chunk").applyInArrow(compacted, _PATHS_DDL)
 
 
@@ -211,9 +223,10 @@ def dedup_substrings(documents: DataFrame, window: int = WINDOW, kmer: int = KME
     """doc_id, n_words, n_removed, kept: the words that stay, joined by one space."""
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))
     rows = only(documents, doc_id="doc_id", text="text").select(doc_id.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    buckets = buckets_for(text_bytes(rows), RANGE_TEXT, 4)
+    size = text_bytes(rows)
+    buckets = buckets_for(size, RANGE_TEXT, 4)
     sieve = Sieve.of(staged(repeated_minimisers(rows, buckets, window, kmer)), "h")
-    found = staged(paths(rows, sieve, buckets, window, kmer))
+    found = staged(paths(rows, sieve, buckets, window, kmer, buckets_for(size, CHUNK_TEXT * GROUP_CHUNKS)))
 
     # the sources, read once each in their own documents
     ranges = staged(found.select("source", "source_start", "edges").distinct())
