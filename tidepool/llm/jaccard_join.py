@@ -39,6 +39,8 @@ from tidepool.llm.substring_dedup import NO_ID, _rolled
 SHINGLE, PERCENT = 5, 80
 #: Counters of the frequency sketch, in so many segments; members of a block; text bytes of a chunk and of a hash range.
 COUNTERS, SEGMENTS, BLOCK, CHUNK_TEXT, RANGE_TEXT = 1 << 20, 16, 768, 8 << 20, 24 << 20
+#: Homes of several blocks up to which their list is broadcast (20 bytes each); beyond, it is joined by shuffling.
+BROADCAST_HOMES = 100_000
 #: Sketches that are added up in one group.
 FAN_IN = 64
 
@@ -393,8 +395,12 @@ def _homes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     sized = members.join(sizes, "sig")
     home = sized.groupBy("node").agg(F.max(F.struct("size", "sig")).alias("h")).select("node", F.col("h.sig").alias("home"), F.col("h.size").alias("rank"))
     home = staged(home)
-    blocks = home.groupBy("home").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.min("node").alias("leader"))
-    residents = staged(home.join(blocks, "home").select("node", "home", "blocks", "leader", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
+    # few homes have several blocks: only what these need is brought to their residents
+    large = home.groupBy("home").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter(F.col("n") > BLOCK)
+    large = staged(large.select("home", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"), "leader"))
+    large = F.broadcast(large) if large.count() <= BROADCAST_HOMES else large
+    blocks = F.coalesce("blocks", F.lit(1))
+    residents = staged(home.join(large, "home", "left").select("node", "home", blocks.alias("blocks"), "leader", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")))
     named = staged(members.join(home, "node"))
     hosts = named.select("sig", F.col("home").alias("host"), F.col("rank").alias("host_rank")).distinct()
     mixed = hosts.groupBy("sig").count().filter("count > 1").select("sig")
@@ -462,7 +468,7 @@ def join_components(documents: DataFrame, shingle: int = SHINGLE, percent: int =
 
     found = Links(rows, nodes, shingle, percent)
     largest = residents.agg(F.max("blocks")).first()[0] or 1
-    every = F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    every = F.when(F.col("node").eqNullSafe(F.col("leader")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     alone = residents.withColumn("i", F.explode(every)).withColumn("j", F.col("i")).withColumn("visitor", F.lit(False))
     missed = found.add(_candidates(found.labelled(alone), profiles, percent))
     if missed or largest > 1:
