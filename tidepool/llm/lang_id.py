@@ -28,6 +28,8 @@ from tidepool.llm.common import chunks, only, text_array
 STRIDE, WINDOW, HIDDEN = 1, 256, 8
 #: The bound of the training sample: documents per language, characters of each.
 SAMPLE, EXCERPT = 600, 1000
+#: Languages up to which their counts are broadcast (the network has an output for each); beyond, they are joined by shuffling.
+BROADCAST_LANGS = 10_000
 STEPS, BATCH, RATE, TRAIN_POSITIONS = 260, 192, 0.02, 96
 
 
@@ -177,6 +179,7 @@ def training_sample(documents: DataFrame, per_lang: int = SAMPLE, excerpt: int =
     rows = only(documents, doc_id="doc_id", text="text", lang="lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     luck = F.xxhash64("doc_id", F.lit(10))
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_LANGS else counts
     few = rows.select("doc_id", "lang", luck.alias("luck")).join(counts, "lang").filter(F.col("luck") / F.lit(2.0**63) < F.lit(4.0 * per_lang) / F.col("n") - 1.0)
     top = Window.partitionBy("lang").orderBy("luck", "doc_id")
     few = few.withColumn("nth", F.row_number().over(top)).filter(F.col("nth") <= per_lang).select("doc_id", "lang").distinct()  # per_lang of each language
