@@ -154,9 +154,10 @@ def test_repeat_by_copies(documents, rows):
     assert out.count() == mixed.agg(F.sum("copies")).first()[0]
 
 
-@pytest.mark.parametrize("chunk", [3 << 20, 2000])
-def test_substring_dedup(documents, rows, chunk, monkeypatch):
+@pytest.mark.parametrize(("chunk", "group"), [(3 << 20, 1024), (2000, 1024), (2000, 2)])
+def test_substring_dedup(documents, rows, chunk, group, monkeypatch):
     monkeypatch.setattr(substring_dedup, "CHUNK_TEXT", chunk)
+    monkeypatch.setattr(substring_dedup, "GROUP_CHUNKS", group)
     out = substring_dedup.dedup_substrings(documents)
     key = lambda i: -1 if i is None else i
     words = [(r[0], WORD.findall(r[1] or "")) for r in rows]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tidepool.llm.common import chunks, count_words, only, staged, text_array
 
 #: Rows of one group of the reduction tree's leaves, and groups that meet in one inner group.
-GROUP_ROWS, FAN_IN = 50_000, 64
+GROUP_ROWS, FAN_IN = 10_000, 64
 #: The smallest documents of a group that stay unpaired for the next level, so that the root has small change.
 CHANGE = 16
 #: The largest documents of a group, each settled by exchanges with as many smaller ones as it takes.
