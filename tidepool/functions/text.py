@@ -87,6 +87,11 @@ def passage(head: Column, heading: Column, text: Column) -> Column:
     return F.concat(head, F.lit("\nSection: "), heading, F.lit("\n\n"), text)
 
 
+def fingerprint(text: Column) -> Column:
+    """What tells whether a note has changed: the digest of its bytes."""
+    return F.sha2(text, 256)
+
+
 def passage_key(whole: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{CHUNK_FORMAT}\n"), whole), 256)
 

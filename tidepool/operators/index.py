@@ -7,7 +7,7 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,9 +17,14 @@ VECTORS = "key string, vector array<double>"
 NOTES = "path string, fingerprint string"
 
 
+def passages(chunks: DataFrame, *more: Column) -> DataFrame:
+    """key, passage and further aggregates: each passage once."""
+    return chunks.groupBy("key").agg(F.first("passage").alias("passage"), *more)
+
+
 def missing(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """key, passage: passages without a vector, each once."""
-    return chunks.select("key", "passage").dropDuplicates(["key"]).join(vectors.select("key"), "key", "left_anti")
+    return passages(chunks).join(vectors.select("key"), "key", "left_anti")
 
 
 def reused(chunks: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ SQL_HEADER = "concat_ws(chr(10), CASE WHEN stem <> '' THEN 'Title: ' || left(ste
 
 @query(f"SELECT path, sha256(text) AS fingerprint FROM ({SQL_NOTES})")
 def corpus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _notes(spark, sf_dir).select("path", F.sha2("text", 256).alias("fingerprint"))
+    return _notes(spark, sf_dir).select("path", X.fingerprint(F.col("text")).alias("fingerprint"))
 
 
 @query("""SELECT doc_id, path, CASE WHEN type <> '' THEN type WHEN lower(split_part(path, '/', 1)) IN ('lessons', '经验') THEN 'lesson' ELSE '' END AS kind
@@ -313,7 +313,8 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT sha256(text) AS key, count(*) AS copies, min(doc_id) AS first_doc FROM ({SQL_NOTES}) GROUP BY sha256(text)")
 def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _notes(spark, sf_dir).groupBy(F.sha2("text", 256).alias("key")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
+    chunks = _notes(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("key"), F.col("text").alias("passage"))
+    return index.passages(chunks, F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).drop("passage")
 
 
 @query(f"""WITH {_FTS}, g AS (SELECT doc_id, lang, rank FROM (SELECT s.doc_id, d.lang, row_number() OVER (PARTITION BY d.lang ORDER BY round(score, 6) DESC, s.doc_id) AS rank FROM s JOIN documents d ON d.doc_id = s.doc_id) WHERE rank <= 5),
@@ -542,6 +543,51 @@ def image_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reference_counts(references(c.select("conv_id", "turn", written.alias("text")), ["conv_id", "turn"], "text"), "conv_id")
 
 
+@query("""WITH e AS (SELECT *, conv_id % 4 AS file, row_number() OVER (PARTITION BY conv_id % 4 ORDER BY conv_id, turn) AS line FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line) AS number FROM e WHERE role IN ('user', 'assistant') AND coalesce(text, '') <> '')
+SELECT file, number::INT AS number, line::INT AS line, role, 0 AS images, '2026-01-01T00:00:' || lpad((turn % 60)::VARCHAR, 2, '0') || 'Z' AS timestamp, sha256(text) AS digest FROM r""")
+def session_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations written as four logs, and read back by the source of logs: one stream a file."""
+    from tidepool.sources.files import mounted, scratch
+    from tidepool.sources.sessions import read_log
+
+    at, c = scratch(spark), _t(spark, sf_dir, "conversations")
+    said = F.struct(F.col("role"), F.array(F.struct(F.lit("text").alias("type"), F.col("text"))).alias("content"))
+    stamp = F.concat(F.lit("2026-01-01T00:00:"), F.lpad((F.col("turn") % 60).cast("string"), 2, "0"), F.lit("Z"))
+    row = F.to_json(F.struct(F.col("role").alias("type"), stamp.alias("timestamp"), F.lit("/w").alias("cwd"), F.col("conv_id").cast("string").alias("sessionId"), said.alias("message")))
+    rows = c.select((F.col("conv_id") % 4).alias("file"), "conv_id", "turn", row.alias("value"))
+    rows.repartition(4, "file").sortWithinPartitions("file", "conv_id", "turn").select("file", "value").write.partitionBy("file").text(at)
+    paths = sorted(mounted(f) for f in spark.read.text(at).inputFiles())
+    if not paths:
+        return c.limit(0).select(F.col("conv_id").alias("file"), *[F.col("turn").cast("int").alias(x) for x in ("number", "line")], "role", F.lit(0).alias("images"), F.col("text").alias("timestamp"), F.col("text").alias("digest"))
+    m = read_log(spark, "\n".join(paths), "claude")
+    return m.select(F.regexp_extract("source_file", "file=([0-9]+)", 1).cast("long").alias("file"), "number", "line", "role", "images", "timestamp", F.sha2("text", 256).alias("digest"))
+
+
+@query(f"SELECT DISTINCT sha256(text) AS key, round((length(text) + 1) / sqrt((length(text) + 1)::DOUBLE * (length(text) + 1) + 1), 6) AS x, round(1 / sqrt((length(text) + 1)::DOUBLE * (length(text) + 1) + 1), 6) AS y FROM ({SQL_NOTES})")
+def index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of some notes, brought up to date with all: what was embedded stays, the rest is embedded, versions are swapped."""
+    from tidepool.sources.files import scratch
+
+    n = _notes(spark, sf_dir).select("doc_id", "path", F.sha2("text", 256).alias("fingerprint"), F.sha2("text", 256).alias("key"), F.col("text").alias("passage"))
+    embed = lambda wanted: wanted.select("key", F.array(F.length("passage") + F.lit(1.0), F.lit(1.0)).alias("vector"))
+    held = index.VectorIndex(spark, scratch(spark))
+    for notes in (n.filter("doc_id % 3 = 0"), n):
+        held.refresh(notes, notes, "p", embed)
+    vectors, _, _ = held.read("p")
+    return vectors.select("key", F.round(F.col("vector")[0], 6).alias("x"), F.round(F.col("vector")[1], 6).alias("y"))
+
+
+@query("SELECT page_id, starts_with(p || '/', '/w/1/') AS within FROM (SELECT page_id, CASE page_id % 5 WHEN 3 THEN 'w/1' WHEN 4 THEN '/w/10' ELSE '/w/' || page_id % 3 || CASE WHEN page_id % 2 = 0 THEN '/' || page_id ELSE '' END END AS p FROM pages)")
+def project_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepool.sources.sessions import inside
+
+    i = F.col("page_id")
+    own = F.concat(F.lit("/w/"), i % 3, F.when(i % 2 == 0, F.concat(F.lit("/"), i)).otherwise(F.lit("")))
+    p = _t(spark, sf_dir, "pages").select("page_id", F.when(i % 5 == 3, F.lit("w/1")).when(i % 5 == 4, F.lit("/w/10")).otherwise(own).alias("p"))
+    return p.select("page_id", inside("p", "/w/1").alias("within"))
+
+
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
 def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))

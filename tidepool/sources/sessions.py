@@ -10,7 +10,7 @@ from datetime import datetime
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -199,16 +199,21 @@ class HeadSource(DataSource):
         return HeadReader({k.lower(): v for k, v in self.options.items()})
 
 
+def inside(recorded: str, project: str) -> Column:
+    """Whether a column of recorded paths lies in a project; each distinct path of a batch is looked at once."""
+
+    @F.pandas_udf("boolean")
+    def test(paths: pd.Series) -> pd.Series:
+        return paths.map({p: in_project(p, project) for p in paths.unique()})
+
+    return test(recorded)
+
+
 def discover(spark: SparkSession, home: str, project: str, clients: tuple[str, ...] = ("codex", "claude")) -> tuple[DataFrame, DataFrame]:
     """Sessions of a project, latest file first, and warnings (source_file, message); heads alone are read."""
     spark.dataSource.register(HeadSource)
     heads = spark.read.format("session_heads").option("path", home).option("clients", ",".join(clients)).load()
-
-    @F.pandas_udf("boolean")
-    def inside(recorded: pd.Series) -> pd.Series:
-        return recorded.map({p: in_project(p, project) for p in recorded.unique()})
-
-    sessions = heads.filter(F.col("error").isNull() & F.col("project").isNotNull()).filter(inside("project")).drop("error")
+    sessions = heads.filter(F.col("error").isNull() & F.col("project").isNotNull()).filter(inside("project", project)).drop("error")
     unknown = F.coalesce("error", F.when(F.col("project").isNull(), F.lit("its head names no project")))
     return sessions.orderBy(F.col("file_modified_at").desc(), F.col("source_file").desc()), heads.select("source_file", unknown.alias("message")).filter("message is not null")
 
