@@ -213,6 +213,10 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{names.get(source.lower(), source)}`").alias(name) for name, source in columns.items()])
 
 
+#: Hashes of a sieve's segment, which one task builds.
+SEGMENT_HASHES = 4 << 20
+
+
 class Sieve:
     """A Bloom filter of 64-bit hashes, for thinning before a shuffle: it lets every member through, and some others.
 
@@ -233,7 +237,7 @@ class Sieve:
     @classmethod
     def of(cls, hashes: DataFrame, column: str, most: int = 48 << 20) -> Sieve:
         n = hashes.count()
-        total = 1 if n < 100_000 else 64
+        total = 1 if n < 100_000 else min(1 << 16, max(64, -(-n // SEGMENT_HASHES)))
         size = max(64, min(-(-n * 12 // 8 // total), most // total))
         ddl = "segment int, bits binary"
 

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import GOLD, Sieve, buckets_for, chunks, maybe_among, mix, only, staged, text_array, text_bytes, words_of
+from tidepool.llm.common import GOLD, Sieve, buckets_for, chunks, maybe_among, mix, only, staged, text_array, text_bytes, unstage, words_of
 from tidepool.llm.substring_dedup import NO_ID, _rolled
 
 #: Words of a shingle and percent of similarity, unless a contract says otherwise.
@@ -373,6 +373,7 @@ def components(edges: DataFrame) -> DataFrame:
     """node, comp: the smallest node that each node of the edges (a, b) reaches, by large-star and small-star steps."""
     edges, last = staged(edges.select("a", "b").filter("a <> b").distinct()), None
     while True:
+        start = edges
         # large star: every node's larger neighbours move to its smallest neighbour
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -381,6 +382,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
         moved = edges.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*")
         edges = staged(moved.filter("a <> b").distinct())
+        unstage(start)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:
             break
