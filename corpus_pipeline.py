@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm import jaccard_join, lang_id, line_dedup, mixing, packing
-from tidepool.llm.common import staged
+from tidepool.llm.common import staged, unstage
 from tidepool.llm.queries import tokenizer
 
 #: A document of mostly other characters than letters stays if some language takes at least this share of its positions.
@@ -70,9 +70,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = staged(docs)
+            docs, before = staged(docs), written
+            written = docs
+            if before is not None:
+                unstage(before)
     return docs
