@@ -360,6 +360,21 @@ def test_chat(spark):
     assert chat_format.digest(chat_format.format_turns(d.limit(0), path), path).count() == 0
 
 
+def test_chat_tokenizer_is_the_tokenizer():
+    """Random texts of blanks, controls, contractions and special tokens: the same ids as the whole text's, and the text again."""
+    path, r = tokenizer("byte_bpe_50k.json"), np.random.default_rng(13)
+    t = chat_format.ChatTokenizer(path)
+    atoms = [*"abXY19é中🙂.,'-<|>", "'s", "'ll", "<|endoftext|>", "<|im_start|>", "\u0301", "\t", "\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u200b", "\x00", *" " * 14, "  ", "word", "the"]
+    texts = ["", " ", "a b", "a  b ", *("".join(atoms[k] for k in r.integers(0, len(atoms), r.integers(0, 16))) for _ in range(40_000))]
+    for s in range(0, len(texts), 1000):
+        part = texts[s : s + 1000]
+        ids, offsets = t.encode(part)
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [x.ids for x in t.base.encode_batch(part, add_special_tokens=False)]
+        assert [t.decode(ids[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == part
+    some = r.integers(0, t.start, 5000).tolist()
+    assert [t.decode(some[i : i + 5]) for i in range(0, 5000, 5)] == [t.base.decode(some[i : i + 5], skip_special_tokens=False) for i in range(0, 5000, 5)]
+
+
 def brute_lines(rows):
     seen, out = set(), {}
     key = lambda r: (r[0] is not None, r[0] or 0)

@@ -15,6 +15,7 @@ are turns of their own. Extra columns are not read; an empty table gives no rows
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import chunks, only
+from tidepool.llm.common import chunks, gathered, only
 
 START, END = "<|im_start|>", "<|im_end|>"
 _OPEN, _OPENED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -51,31 +52,47 @@ def unescape_role(role: str) -> str:
     return unescape(re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role, flags=re.S))
 
 
+@functools.lru_cache(maxsize=2)
+def byte_table(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all ids in a row, offsets) of a byte-level vocabulary, and of the two reserved ids after it.
+
+    Such a vocabulary writes a byte as the character of its number where that's printable, the others as U+0100 and on.
+    """
+    from tokenizers import Tokenizer
+
+    printable = [b for r in (range(33, 127), range(161, 173), range(174, 256)) for b in r]
+    other = [b for b in range(256) if b not in set(printable)]
+    of = {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(other)}
+    vocabulary = sorted(Tokenizer.from_file(path).get_vocab().items(), key=lambda x: x[1])
+    raw = [bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t, _ in vocabulary]
+    raw += [START.encode(), END.encode()]
+    return np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+
+
 class ChatTokenizer:
+    """A byte-level tokenizer; two ids beyond its vocabulary are reserved."""
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.base = Tokenizer.from_file(path)
+        self.base, self.path = Tokenizer.from_file(path), path
         self.base.encode_special_tokens = True
         self.start = self.base.get_vocab_size()
         self.end = self.start + 1
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.base.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the offsets of the texts."""
+        ids = [np.array(x.ids, dtype=np.int32) for x in self.base.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+
+    def bytes_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The UTF-8 bytes of ids, reserved ones included, in a row, and the ids' offsets in them."""
+        data, offsets = byte_table(self.path)
+        return gathered(data, offsets[ids], np.diff(offsets)[ids])
 
     def decode(self, ids: list[int]) -> str:
         """The formatted string of any ids, reserved ones included."""
-        out, plain = [], []
-        for i in [*ids, None]:
-            if i is None or i in (self.start, self.end):
-                if plain:
-                    out.append(self.base.decode(plain, skip_special_tokens=False))
-                    plain = []
-                if i is not None:
-                    out.append(START if i == self.start else END)
-            else:
-                plain.append(i)
-        return "".join(out)
+        return self.bytes_of(np.array(ids, dtype=np.int64))[0].tobytes().decode(errors="replace")
 
 
 def format_turns(conversations: DataFrame, tokenizer_path: str, learn_role: str = "assistant") -> DataFrame:
@@ -83,19 +100,17 @@ def format_turns(conversations: DataFrame, tokenizer_path: str, learn_role: str
 
     def formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = ChatTokenizer(tokenizer_path)
-        row = lambda ids: np.array(ids, dtype=np.int32)
-        begin, newline, end = row([t.start]), row(t.encode(["\n"])[0]), row([t.end])
-        cached: dict[str, np.ndarray] = {}
+        begin, newline, end = np.array([t.start], np.int32), t.encode(["\n"])[0], np.array([t.end], np.int32)
         for b in chunks(batches, limit=4 << 20):
             roles, texts = ([x or "" for x in b.column(i).cast(pa.string()).to_pylist()] for i in (2, 3))
-            if len(cached) > 10_000:
-                cached.clear()
-            fresh = [r for r in dict.fromkeys(roles) if r not in cached]
-            cached.update(zip(fresh, map(row, t.encode([escape_role(r) for r in fresh])), strict=True))
-            contents = [row(x) for x in t.encode([escape(x) for x in texts])]
-            ids = np.concatenate([x for role, content in zip(roles, contents, strict=True) for x in (begin, cached[role], newline, content, end, newline)])
-            before = np.array([1 + len(cached[r]) + len(newline) for r in roles], dtype=np.int64)
-            inside = np.array([len(x) for x in contents], dtype=np.int64)
+            kinds = {r: n for n, r in enumerate(dict.fromkeys(roles))}
+            flat, at = t.encode([escape_role(r) for r in kinds])
+            role = np.array([kinds[r] for r in roles], dtype=np.int64)
+            named, named_at = gathered(flat, at[role], np.diff(at)[role])
+            said, said_at = t.encode([escape(x) for x in texts])
+            before, inside = 1 + np.diff(named_at) + len(newline), np.diff(said_at)
+            cut = zip(named_at[:-1].tolist(), named_at[1:].tolist(), said_at[:-1].tolist(), said_at[1:].tolist(), strict=True)
+            ids = np.concatenate([x for i, j, k, m in cut for x in (begin, named[i:j], newline, said[k:m], end, newline)])
             offsets = np.zeros(len(roles) + 1, dtype=np.int32)
             np.cumsum(before + inside + 1 + len(newline), out=offsets[1:])
             # +1 where a learnt text begins, -1 where it ends (an empty one does both at one place), and a running sum
@@ -111,34 +126,23 @@ def format_turns(conversations: DataFrame, tokenizer_path: str, learn_role: str
 
 
 def read_turns(t: ChatTokenizer, ids: pa.ListArray, masks: pa.ListArray) -> Iterator[tuple[str, str, str, int]]:
-    """role, text, text under the loss mask, characters of each formatted turn; raises where one isn't well formed.
-
-    Ids are decoded in runs between reserved ids and changes of the mask, all runs of a batch together.
-    """
+    """role, text, text under the loss mask, characters of each formatted turn; raises where one isn't well formed."""
     flat, mask = (x.flatten().to_numpy(zero_copy_only=False) for x in (ids, masks))
     edges = ids.offsets.to_numpy() - ids.offsets[0].as_py()
-    if (masks.offsets.to_numpy() - masks.offsets[0].as_py() != edges).any():
-        raise ValueError("a turn's mask doesn't fit its ids")
-    reserved = flat >= t.start
-    cut = np.zeros(len(flat) + 1, dtype=bool)
-    cut[edges] = cut[:-1][reserved] = cut[1:][reserved] = True
-    cut[1:-1] |= mask[1:] != mask[:-1]
-    places = np.flatnonzero(cut)
-    runs = [flat[s:e].tolist() for s, e in zip(places[:-1], places[1:], strict=True)]
-    plain = [k for k, s in enumerate(places[:-1].tolist()) if not reserved[s]]
-    shown = {t.start: START, t.end: END}
-    said = [shown.get(r[0], "") for r in runs]
-    for k, text in zip(plain, t.base.decode_batch([runs[k] for k in plain], skip_special_tokens=False), strict=True):
-        said[k] = text
-    at = np.searchsorted(places, edges).tolist()
-    learnt = (mask[places[:-1]] > 0).tolist()
-    for s, e in zip(at[:-1], at[1:], strict=True):
-        marks = [r[0] for r, p in zip(runs[s:e], places[s:e].tolist(), strict=True) if reserved[p]]
-        if marks != [t.start, t.end] or runs[s][0] != t.start:
-            raise ValueError("not a formatted turn")
-        whole = "".join(said[s:e])
+    reserved = np.flatnonzero(flat >= t.start)
+    first, last = reserved[::2], reserved[1::2]
+    fine = len(first) == len(last) == len(ids) and (masks.offsets.to_numpy() - masks.offsets[0].as_py() == edges).all()
+    if not (fine and (first == edges[:-1]).all() and (last < edges[1:]).all() and (flat[first] == t.start).all() and (flat[last] == t.end).all()):
+        raise ValueError("not a formatted turn")
+    shown, places = t.bytes_of(flat)
+    under = np.repeat(mask > 0, np.diff(places))
+    learnt = shown[under].tobytes()
+    shown, ends = shown.tobytes(), places[edges].tolist()
+    counted = np.concatenate([[0], np.cumsum(under)])[places[edges]].tolist()
+    for s, e, i, j in zip(ends[:-1], ends[1:], counted[:-1], counted[1:], strict=True):
+        whole = shown[s:e].decode(errors="replace")
         role, _, rest = whole[len(START) :].partition("\n")
-        yield unescape_role(role), unescape(rest[: rest.rindex(END)]), unescape("".join(x for x, m in zip(said[s:e], learnt[s:e], strict=True) if m)), len(whole)
+        yield unescape_role(role), unescape(rest[: rest.rindex(END)]), unescape(learnt[i:j].decode(errors="replace")), len(whole)
 
 
 def digest(formatted: DataFrame, tokenizer_path: str) -> DataFrame:

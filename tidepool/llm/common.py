@@ -198,6 +198,15 @@ def owners(offsets: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
 
 
+def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges of ``values`` one after another, and their offsets."""
+    ends = np.zeros(len(lengths) + 1, dtype=np.int64)
+    np.cumsum(lengths, out=ends[1:])
+    index = np.repeat(starts - ends[:-1], lengths)
+    index += np.arange(ends[-1])
+    return values[index], ends
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most ``BATCH_BYTES`` between the JVM and Python, unless the session asks for less."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import chunks, only, staged, text_array, words_of
+from tidepool.llm.common import chunks, gathered, only, staged, text_array, words_of
 
 #: Distinct words whose ids a task remembers; it starts anew beyond that.
 REMEMBERED = 500_000
@@ -123,9 +123,9 @@ class ChunkTokenizer:
         starts = np.zeros(len(self.seen) + 1, dtype=np.int64)
         np.cumsum(self.lengths[: len(self.seen)], out=starts[1:])
         # the ids of the batch's distinct words, and with them those of all words
-        distinct, where = _gathered(self.ids, starts[of], self.lengths[of].astype(np.int64))
+        distinct, where = gathered(self.ids, starts[of], self.lengths[of].astype(np.int64))
         where = where[::2]
-        body, ends = _gathered(distinct, where[words.codes], np.diff(where)[words.codes])
+        body, ends = gathered(distinct, where[words.codes], np.diff(where)[words.codes])
         offsets = ends[words.offsets] + np.arange(len(texts) + 1)
         out = np.full(offsets[-1], end, dtype=np.uint32)
         inside = np.ones(len(out), dtype=bool)
@@ -134,15 +134,6 @@ class ChunkTokenizer:
         return out, offsets
 
 
-def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ranges of ``values`` one after another, and their offsets."""
-    ends = np.zeros(len(lengths) + 1, dtype=np.int64)
-    np.cumsum(lengths, out=ends[1:])
-    index = np.repeat(starts - ends[:-1], lengths)
-    index += np.arange(ends[-1])
-    return values[index], ends
-
-
 def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, and part and nth: the task and the running number within part and length."""
 
