@@ -15,7 +15,8 @@ the first n - ceil(t * n) + 1 of either in any order of all tokens, so the filte
 Small bitmaps, one bit a token, first leave out of each posting who has no possible partner in it. Copies share many
 postings, so a node's other filters are not sent to each: its home is the largest posting that it stays in. Nodes are
 compared within their homes first. Then each visits the larger homes whose residents it shares another posting with,
-once each. Large homes are in blocks: all blocks have one leader in the first round, and meet in pairs after it.
+once each. Large homes are in blocks: all blocks have one leader in the first round; after it, who is not of a
+home's largest component meets all others.
 
 Nulls: a null text, like one without words, has the empty set and is linked with nothing; a null doc_id counts as smaller
 than all others (a component that holds it has a null id). Repeated rows have the same set. Texts with fewer words
@@ -410,6 +411,20 @@ def _homes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return residents, staged(met.select("node", F.col("host").alias("home")).distinct())
 
 
+def _strays(residents: DataFrame) -> DataFrame:
+    """Homes that are not yet one component, dealt out for comparing: home, i, j, node, comp, visitor, failed.
+
+    Members of a home's largest component need no comparing with each other. The others, its strays, are cut in blocks, and
+    each block meets all members but the strays of blocks behind it, as visitors. A home with few strays so stays linear.
+    """
+    main = residents.groupBy("home", "comp").agg(F.count("*").alias("n")).groupBy("home").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    open_ = staged(main.filter(F.col("all") > F.col("most")).select("home", "main", F.ceil((F.col("all") - F.col("most")) / F.lit(BLOCK)).cast("int").alias("cuts")))
+    open_ = F.broadcast(open_) if open_.count() <= BROADCAST_HOMES else open_
+    own = F.when(F.col("comp") != F.col("main"), F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    met = residents.join(open_, "home").withColumn("own", own).withColumn("i", F.explode(F.sequence(F.coalesce("own", F.lit(0)), F.col("cuts") - 1)))
+    return met.withColumn("visitor", ~F.col("i").eqNullSafe(F.col("own"))).withColumn("j", F.col("i"))
+
+
 class Links:
     """The verified links so far, the components they make, and the pairs that failed."""
 
@@ -473,15 +488,8 @@ def join_components(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     every = F.when(F.col("node").eqNullSafe(F.col("leader")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     alone = residents.withColumn("i", F.explode(every)).withColumn("j", F.col("i")).withColumn("visitor", F.lit(False))
     missed = found.add(_candidates(found.labelled(alone), profiles, percent))
-    if missed or largest > 1:
-        # blocks in pairs, for homes that are not yet one component
-        met_ = residents.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        met_ = met_.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).withColumn("visitor", F.lit(False))
-        while True:
-            named = found.labelled(met_)
-            open_ = named.groupBy("home").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("home")
-            if not found.add(_candidates(named.join(open_, "home"), profiles, percent)):
-                break
+    while missed or largest > 1:
+        missed, largest = found.add(_candidates(_strays(found.labelled(residents)), profiles, percent)), 1
     # homes with their visitors; a home without any is settled
     own = residents.join(visits.select("home").distinct(), "home", "left_semi").select("home", "node", "block", F.lit(False).alias("visitor"))
     guests = visits.join(residents.select("home", "blocks").distinct(), "home").select("home", "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visitor"))
