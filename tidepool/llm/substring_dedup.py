@@ -35,7 +35,7 @@ from tidepool.llm.common import Sieve, buckets_for, chunks, mix, only, owners, s
 
 WINDOW, KMER = 13, 5
 #: Text bytes of a chunk, and of a hash range.
-CHUNK_TEXT, RANGE_TEXT = 3 << 20, 24 << 20
+CHUNK_TEXT, RANGE_TEXT = 3 << 20, 12 << 20
 #: Chunks whose edges meet in one group before all of a hash range do.
 GROUP_CHUNKS = 1024
 NO_ID = -(1 << 63)
