@@ -36,7 +36,7 @@ def bm25(pool: DataFrame, terms: list[str], tokens: str = "tokens") -> DataFrame
         return pool.select(*kept, F.lit(0.0).alias("score")).limit(0)
     slim = [*kept, "__tf", "__len"]
     rows = pool.withColumn("__tf", term_counts(tokens, terms)).withColumn("__len", F.size(tokens)).select(*slim)
-    rows = rows.repartition(int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.hint("rebalance")  # in partitions as large as adaptive execution wants them
     stats = rows.agg(
         counted_with(slim).alias("__n"),
         F.coalesce(F.nullif(F.avg("__len"), F.lit(0.0)), F.lit(1.0)).alias("__avg"),
