@@ -507,18 +507,13 @@ def relevant_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relevant.agg(F.count_distinct("key").alias("chunks")).crossJoin(lacking)  # one row each
 
 
-_FIRST = "left(string_split(text, chr(10))[1], 100)"
-
-
-@query(f"""WITH f AS (SELECT doc_id, {_FIRST} AS l FROM ({SQL_NOTES}))
-SELECT doc_id, 0 AS chunk_ord, 1 AS start_line, 3 AS end_line, '' AS heading, sha256('intro' || chr(10) || '```' || chr(10) || '# no heading' || chr(10)) AS digest FROM f WHERE FALSE
-UNION ALL SELECT doc_id, 0, 1, 4, '', sha256('intro' || chr(10) || '```' || chr(10) || '# no heading' || chr(10) || '```' || chr(10)) FROM f
-UNION ALL SELECT doc_id, 1, 5, CASE WHEN l = '' THEN 5 ELSE 6 END, 'Quoted ' || doc_id, sha256('> ## Quoted ' || doc_id || chr(10) || l) FROM f""")
+@query("""SELECT p_partkey, 0 AS chunk_ord, 1 AS start_line, 4 AS end_line, '' AS heading, sha256('intro' || chr(10) || '```' || chr(10) || '# no heading' || chr(10) || '```' || chr(10)) AS digest FROM part
+UNION ALL SELECT p_partkey, 1, 5, 6, 'Quoted ' || p_partkey, sha256('> ## Quoted ' || p_partkey || chr(10) || p_name) FROM part""")
 def quoted_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.substring(F.split("text", "\n", -1)[0], 1, 100)
-    body = F.concat(F.lit("intro\n```\n# no heading\n```\n> ## Quoted "), F.col("doc_id"), F.lit("\n"), first)
-    c = chunking.split_rows(_notes(spark, sf_dir).select("doc_id", body.alias("text")), "doc_id", "text")
-    return c.select("doc_id", "chunk_ord", "start_line", "end_line", "heading", F.sha2("text", 256).alias("digest"))
+    """A heading in a block quote, after one in a fence that is none, before each part's name."""
+    body = F.concat(F.lit("intro\n```\n# no heading\n```\n> ## Quoted "), F.col("p_partkey"), F.lit("\n"), F.col("p_name"))
+    c = chunking.split_rows(_t(spark, sf_dir, "part").select("p_partkey", body.alias("text")), "p_partkey", "text")
+    return c.select("p_partkey", "chunk_ord", "start_line", "end_line", "heading", F.sha2("text", 256).alias("digest"))
 
 
 _PLACES = [("pic/", "%20x.png"), ("file:///a/", "%20x.png"), ("C:/x/", ".png"), ("file://far/x/", ".png"), ("ftp://x/", ".png"), ("file://localhost/b/", ".png"), ("file:///D:/x/", ".png")]
