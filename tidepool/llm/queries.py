@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import chat_format, edit_fingerprint, jaccard_join, lang_id, line_dedup, lm_score, mixing, packing, substring_dedup, topk
+from tidepool.llm import chat_format, edit_fingerprint, jaccard_join, lang_id, line_dedup, lm_score, merkle, mixing, packing, simhash, substring_dedup, topk
 
 
 def tokenizer(name: str) -> str:
@@ -65,13 +65,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_manifest(_table(spark, sf_dir, "documents"))
+
+
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_source_mixing, op3_substring_dedup, op4_jaccard_join, op5_best_fit_packing, op6_chat_format, op7_line_dedup, op8_edit_fingerprint, op9_exact_topk, op10_language_id)}
+    return {f.__name__: f for f in (op1_lm_score, op2_source_mixing, op3_substring_dedup, op4_jaccard_join, op5_best_fit_packing, op6_chat_format, op7_line_dedup, op8_edit_fingerprint, op9_exact_topk, op10_language_id, op11_merkle_manifest, op12_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Queries whose every column SQL can express; the others are tested against brute force."""
-    return {"op3_substring_dedup": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op6_chat_format": OP6_SQL, "op9_exact_topk": OP9_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op6_chat_format": OP6_SQL, "op9_exact_topk": OP9_SQL, "op11_merkle_manifest": OP11_SQL}
 
 
 OP3_SQL = r"""
@@ -116,3 +124,29 @@ WITH v AS (
 ), r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+#: A leaf's digest is over its columns with their sizes; levels are reduced by a recursion over places in runs of eight, and each
+#: leaf is folded again by another one. DuckDB has no crc32, so it is worked out a bit at a time.
+OP11_SQL = """
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+  text, coalesce('=' || lang, '-') AS tree,
+  xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 3 = 0 AS changed FROM documents, crc),
+h AS (SELECT doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS h, sha256(head || coalesce(strlen(text) || ':' || CASE WHEN changed THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS claimed FROM d),
+leaf AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS pos FROM h),
+node AS (SELECT 0 AS level, tree, pos, h, count(*) OVER (PARTITION BY tree) AS n FROM leaf
+  UNION ALL SELECT level + 1, tree, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM node WHERE n > 1 GROUP BY level, tree, pos // 8),
+subroot AS (SELECT tree, h, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos FROM node WHERE n = 1),
+upper AS (SELECT 0 AS level, pos, h, count(*) OVER () AS n FROM subroot
+  UNION ALL SELECT level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM upper WHERE n > 1 GROUP BY level, pos // 8),
+run AS (SELECT level, tree, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM node WHERE n > 1 GROUP BY ALL),
+toprun AS (SELECT level, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM upper WHERE n > 1 GROUP BY ALL),
+low AS (SELECT doc_id, tree, pos AS id, 0 AS level, pos, claimed AS h, '' AS proof FROM leaf
+  UNION ALL SELECT doc_id, low.tree, id, low.level + 1, pos // 8, sha256(array_to_string(hs[:pos % 8], '') || h || array_to_string(hs[pos % 8 + 2:], '')), proof || array_to_string(hs[:pos % 8], '') || array_to_string(hs[pos % 8 + 2:], '') FROM low JOIN run ON run.level = low.level AND run.tree = low.tree AND run.run = pos // 8),
+mid AS (SELECT tree, id, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM low GROUP BY tree, id),
+high AS (SELECT mid.tree, id, 0 AS level, subroot.pos, mid.h, proof FROM mid JOIN subroot ON subroot.tree = mid.tree
+  UNION ALL SELECT high.tree, id, high.level + 1, pos // 8, sha256(array_to_string(hs[:pos % 8], '') || h || array_to_string(hs[pos % 8 + 2:], '')), proof || array_to_string(hs[:pos % 8], '') || array_to_string(hs[pos % 8 + 2:], '') FROM high JOIN toprun ON toprun.level = high.level AND toprun.run = pos // 8),
+top AS (SELECT tree, id, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM high GROUP BY tree, id)
+SELECT leaf.doc_id, leaf.h AS leaf, subroot.h AS subroot, root.h AS root, sha256(top.proof) AS proof_sha256, top.h AS folded_root, top.h = root.h AS verified
+FROM leaf JOIN top ON top.tree = leaf.tree AND top.id = leaf.pos JOIN subroot ON subroot.tree = leaf.tree, (SELECT h FROM upper WHERE n = 1) root
+"""
