@@ -10,6 +10,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def is_readable() -> Column:
+    return F.coalesce(F.col("role").isin("user", "assistant") & (F.col("text") != ""), F.lit(False))
+
+
+def numbered(turns: DataFrame, session: str = "conv_id", order: str = "turn", before: DataFrame | None = None, span: int = 4096) -> DataFrame:
+    """The readable rows with their number in the session; ``before`` (session, messages) tells how many there were earlier.
+
+    A session is cut into spans of ``span`` values of ``order``. Rows are numbered within their span and only the spans' counts
+    are summed up, so a session of any length is many small groups. Ties go by role and text.
+    """
+    rows = turns.filter(is_readable()).withColumn("__span", F.floor(F.col(order) / F.lit(span)))
+    counts = rows.groupBy(session, "__span").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(session).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    if before is not None:
+        counts = counts.join(before.select(session, "messages"), session, "left").withColumn("__before", F.col("__before") + F.coalesce("messages", F.lit(0)))
+    own = Window.partitionBy(session, "__span").orderBy(order, "role", "text")
+    nth = rows.withColumn("__nth", F.row_number().over(own))
+    placed = nth.join(counts.select(session, "__span", "__before"), [session, "__span"])
+    return placed.select(*turns.columns, (F.col("__before") + F.col("__nth")).cast("long").alias("number"))
+
+
 def readable(turns: DataFrame, session: str = "conv_id", order: str = "turn") -> DataFrame:
     """User and assistant rows with text, numbered from 1 within their session. Numbers are over readable rows only."""
     rows = turns.filter(F.col("role").isin("user", "assistant") & (F.coalesce("text", F.lit("")) != ""))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions import text as X
-from tidepool.operators import chunking, index, lineage, messages, ranking
+from tidepool.operators import chunking, index, lineage, messages, postings, ranking
 from tidepool.operators.filters import eligible
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,13 +58,16 @@ n AS (SELECT count(*) AS n, coalesce(nullif(avg(l), 0), 1) AS a, {df} FROM p),
 s AS (SELECT * FROM (SELECT p.*, {score} AS score FROM p, n) WHERE score > 0)"""
 
 
-def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def note_rows(d: DataFrame) -> DataFrame:
     """documents as notes: the source is the folder, the id the file's stem and title."""
-    d = _t(spark, sf_dir, "documents")
     stem = F.col("doc_id").cast("string")
     return d.select("doc_id", "lang", "source", F.concat(F.coalesce("source", F.lit("")), F.lit("/"), stem, F.lit(".md")).alias("path"), stem.alias("stem"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return note_rows(_t(spark, sf_dir, "documents"))
+
+
 SQL_NOTES = "SELECT doc_id, lang, source, coalesce(source, '') || '/' || doc_id || '.md' AS path, doc_id::VARCHAR AS stem, coalesce(text, '') AS text FROM documents"
 
 
@@ -112,7 +115,7 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
     return r.orderBy(F.col("score").desc(), "doc_id").limit(k)
 
 
-def _passages(notes: DataFrame) -> DataFrame:
+def passage_tokens(notes: DataFrame) -> DataFrame:
     """One passage per document, with its title and tags twice more, as search counts them."""
     extra = F.concat_ws(" ", "stem", "stem", "lang")
     whole = F.concat(X.passage(_header(notes), F.lit(""), F.col("text")), F.lit("\n"), extra, F.lit("\n"), extra)
@@ -126,7 +129,7 @@ _QT = X.query_terms(SEARCH)
 
 @query(f"WITH {sql_bm25(f'SELECT doc_id, {sql_tokens(SQL_PASSAGE)} AS tok FROM ({SQL_NOTES})', _QT)} SELECT doc_id, round(score, 6) AS score FROM s ORDER BY score DESC, doc_id LIMIT 20")
 def lexical_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _top(ranking.bm25(_passages(_notes(spark, sf_dir)), _QT), 20)
+    return _top(ranking.bm25(passage_tokens(_notes(spark, sf_dir)), _QT), 20)
 
 
 _FILTERED = sql_bm25(f"SELECT doc_id, {sql_tokens(SQL_PASSAGE)} AS tok FROM ({SQL_NOTES}) WHERE lang = 'en'", _QT)
@@ -134,7 +137,18 @@ _FILTERED = sql_bm25(f"SELECT doc_id, {sql_tokens(SQL_PASSAGE)} AS tok FROM ({SQ
 
 @query(f"WITH {_FILTERED} SELECT doc_id, round(score, 6) AS score FROM s ORDER BY score DESC, doc_id LIMIT 20")
 def lexical_bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _top(ranking.bm25(_passages(_notes(spark, sf_dir).filter("lang = 'en'")), _QT), 20)
+    return _top(ranking.bm25(passage_tokens(_notes(spark, sf_dir).filter("lang = 'en'")), _QT), 20)
+
+
+@query(f"WITH {sql_bm25(f'SELECT doc_id, {sql_tokens(SQL_PASSAGE)} AS tok FROM ({SQL_NOTES})', _QT)} SELECT doc_id, round(score, 6) AS score FROM s WHERE round(score, 6) > 0 ORDER BY round(score, 6) DESC, doc_id LIMIT 20")
+def indexed_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of lexical_bm25 in a written index of all documents: texts are cut once, as it is built."""
+    from tidepool.sources.files import scratch
+
+    at = scratch(spark)
+    pool = passage_tokens(_notes(spark, sf_dir))
+    postings.write(pool, at)
+    return postings.best_documents(spark, at, pool, _QT, 20)
 
 
 _ASKED = ["数据库锁 timeout", "缓存 and 重试", "plugin 插件 loop", "plain words only"]
@@ -209,7 +223,7 @@ def vector_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _branches(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    fts = ranking.bm25(_passages(_notes(spark, sf_dir)), _QT).select("doc_id", F.round("score", 6).alias("score"))
+    fts = ranking.bm25(passage_tokens(_notes(spark, sf_dir)), _QT).select("doc_id", F.round("score", 6).alias("score"))
     sem = ranking.cosine(_vectors(spark, sf_dir), ALPHA, -1.0).select(F.col("vec_id").alias("doc_id"), F.round("score", 6).alias("score")).filter("score >= 0.05")
     sem = sem.join(_notes(spark, sf_dir).select("doc_id"), "doc_id", "left_semi")
     return {k: ranking.ranked(b.withColumn("key", F.col("doc_id").cast("string")), "doc_id") for k, b in (("fts", fts), ("semantic", sem))}
