@@ -71,7 +71,7 @@ def test_index_and_status(spark, tmp_path, capsys):
         assert main([command[0], "--vault", str(vault), "--cache", str(cache), *command[1:]]) == 0
         out = json.loads(capsys.readouterr().out)
         assert (out["coverage"]["fresh_chunks"] if command == ["status"] else out["embedded_chunks"]) == want
-    assert len(list(cache.iterdir())) == 1 and len(list(next(cache.iterdir()).glob("profile=*/v-*"))) == 2
+    assert len(list(cache.iterdir())) == 1 and len(list(next(cache.iterdir()).glob("profile=*/runs/*"))) == 2
     assert S.cache_path(str(vault), str(cache)) != S.cache_path(str(vault), str(cache), True)
     assert main(["index", "--vault", str(vault), "--cache", str(vault / "x")]) == 1 and main(["index", "--vault", str(vault)]) == 1
 

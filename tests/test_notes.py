@@ -179,11 +179,12 @@ def test_index_is_incremental_and_all_or_nothing(spark, vault, tmp_path):
     b.write_text("sqlite now")
     out = find(spark, vault, "writers waiting", provider, index, mode="semantic")
     assert paths(out) == ["a.md"] and "partial_index" in codes(out) and out["coverage"]["changed_notes"] == 1
-    before = index.version("x") or sorted((tmp_path / "cache").rglob("CURRENT"))[0].read_bytes()
+    state = lambda: sorted((x.name, x.read_bytes()) for x in (tmp_path / "cache").rglob("*.json"))
+    before = state()
     provider.offline = True
     with pytest.raises(Exception, match="offline"):
         S.refresh_index(spark, str(vault), provider, index)
-    assert sorted((tmp_path / "cache").rglob("CURRENT"))[0].read_bytes() == before
+    assert state() == before
     out = find(spark, vault, "sqlite", provider, index, mode="hybrid")
     assert "semantic_unavailable" in codes(out) and paths(out)
     provider.offline = False
