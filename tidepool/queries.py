@@ -627,3 +627,55 @@ def image_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "conversations").filter("text is not null")
     written = F.concat("text", F.lit("\n![a](https://x.example/"), F.col("turn"), F.lit(".png) `![b](no.png)`\n```\n![c](no.png)\n```\n"))
     return references(c.select("conv_id", "turn", written.alias("text")), ["conv_id", "turn"], "text")
+
+
+@query("""WITH e AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn, role, text) AS line FROM conversations)
+SELECT row_number() OVER (ORDER BY line) AS number, line, role, 0 AS images, text FROM e WHERE role IN ('user', 'assistant') AND coalesce(text, '') <> ''""")
+def rotated_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as one log of many files, read back in byte ranges; numbers and lines go through the whole log."""
+    from tidepool.sources.files import scratch
+    from tidepool.sources.logs import log_messages
+
+    at, c = scratch(spark), _t(spark, sf_dir, "conversations")
+    order = ["conv_id", "turn", "role", "text"]
+    row = F.to_json(F.struct(F.col("role").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message")))
+    c.repartitionByRange(*order).sortWithinPartitions(*order).select(row.alias("value")).write.text(at)
+    return log_messages(spark, at, "claude", rotated=True).select("number", "line", "role", "images", "text")
+
+
+@query("""WITH c AS (SELECT *, coalesce(text, '') AS t FROM conversations WHERE role IN ('user', 'assistant'))
+SELECT 'codex' AS client, conv_id, turn, role, 1 AS images, t || chr(10) || t AS text FROM c
+UNION ALL SELECT 'claude', conv_id, turn, role, CASE WHEN turn % 2 = 0 THEN 0 ELSE 2 END, t FROM c""")
+def client_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as events of both clients: text in several parts, images among them, a plain string, a tool's result with JSON in a string."""
+    from tidepool.sources.logs import events, images_within
+
+    c = _t(spark, sf_dir, "conversations").filter("role in ('user', 'assistant')").withColumn("t", F.coalesce("text", F.lit("")))
+    part = lambda kind, **more: F.struct(F.lit(kind).alias("type"), *[x.alias(k) for k, x in {"text": F.lit(None).cast("string"), "content": F.lit(None).cast("string"), **more}.items()])
+    codex = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("message").alias("type"), "role", F.array(part("input_text", text=F.col("t")), part("input_image"), part("reasoning", text=F.col("t")), part("output_text", text=F.col("t"))).alias("content")).alias("payload")))
+    inside = F.lit('[{"type":"image"},{"type":"thinking","content":[{"type":"image"}]},"[{\\"type\\":\\"image_url\\"}]"]')
+    listed = F.struct(F.array(part("text", text=F.col("t")), part("tool_result", content=inside)).alias("content"), "role")
+    claude = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.col("t").alias("content")).alias("message")))).otherwise(F.to_json(F.struct(F.col("role").alias("type"), listed.alias("message"))))
+    out = []
+    for client, value in (("codex", codex), ("claude", claude)):
+        e = events(c.select("conv_id", "turn", value.alias("value")), client)
+        images = F.col("images") + F.when(F.col("inner").isNotNull(), images_within("inner")).otherwise(0)
+        out.append(e.select(F.lit(client).alias("client"), "conv_id", "turn", "role", images.alias("images"), "text"))
+    return out[0].unionByName(out[1])
+
+
+@query("""SELECT conv_id, turn, 0 AS nth, '{"source": "' || conv_id || '-' || turn || '", "type": "image"}' AS image FROM conversations
+UNION ALL SELECT conv_id, turn, 1, '{"image_url": "u' || turn || '", "type": "input_image"}' FROM conversations""")
+def result_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images in the results of tools as rows: at any depth, in strings of JSON, but not in reasoning."""
+    from tidepool.sources.logs import events, image_rows
+
+    source = F.concat_ws("-", "conv_id", "turn")
+    text = F.to_json(F.array(F.struct(F.lit("input_image").alias("type"), F.concat(F.lit("u"), F.col("turn")).alias("image_url"))))
+    shown = F.struct(F.lit("image").alias("type"), source.alias("source"), F.lit(None).cast("string").alias("content"))
+    closed = F.struct(F.lit("reasoning").alias("type"), F.lit(None).cast("string").alias("source"), F.lit('[{"type":"image"}]').alias("content"))
+    held = F.struct(F.lit("part").alias("type"), F.lit(None).cast("string").alias("source"), text.alias("content"))
+    result = F.to_json(F.struct(F.array(shown, closed, held).alias("result")))
+    row = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("function_call_output").alias("type"), result.alias("output")).alias("payload")))
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", row.alias("value"))
+    return image_rows(events(c, "codex"), "inner").select("conv_id", "turn", "nth", "image")
