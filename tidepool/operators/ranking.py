@@ -52,6 +52,35 @@ def bm25(pool: DataFrame, terms: list[str], tokens: str = "tokens") -> DataFrame
     return scored.filter("score > 0").select(*kept, "score")
 
 
+def bm25_many(rows: DataFrame, cases: dict[object, tuple[list[str], Column | None]], doc: str = "doc_id", tokens: str = "tokens", names: str = "string") -> DataFrame:
+    """case, ``doc``, score: many queries in one plan. A case has terms and a predicate that its pool is cut by (None: all rows).
+
+    The tokens are looked through once, for the terms of all cases; a row says which pools it is in. Every pool has its own N,
+    average length and document frequencies. What the cases ask for, a row for each case and term, is broadcast.
+    """
+    spark = rows.sparkSession
+    pools: dict[str, tuple[int, Column]] = {}
+    asked: list[tuple] = []
+    for case, (terms, part) in cases.items():
+        part = F.lit(True) if part is None else part
+        pool, _ = pools.setdefault(str(part), (len(pools), part))
+        asked += [(case, pool, t) for t in sorted(set(terms))]
+    wanted = sorted({t for _, _, t in asked})
+    at = [F.when(part, F.lit(i)) for i, part in pools.values()]
+    inside = F.filter(F.array(*at), lambda i: i.isNotNull()) if at else F.array().cast("array<int>")
+    held = rows.select(doc, inside.alias("pools"), F.greatest(F.size(tokens), F.lit(0)).alias("len"), F.filter(tokens, lambda t: t.isin(wanted)).alias("hits"))
+    tf = F.transform(F.array_distinct("hits"), lambda t: F.struct(t.alias("term"), F.size(F.filter("hits", lambda x: x == t)).alias("tf")))
+    found = held.select(doc, "pools", "len", F.explode(tf).alias("t")).select(doc, "pools", "len", "t.*")
+
+    sizes = held.select(F.explode("pools").alias("pool"), "len").groupBy("pool").agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("len"), F.lit(0.0)), F.lit(1.0)).alias("average"))
+    df = found.select(F.explode("pools").alias("pool"), "term").groupBy("pool", "term").agg(F.count("*").alias("df"))
+    weights = spark.createDataFrame(asked, f"case {names}, pool int, term string").join(df, ["pool", "term"]).join(sizes, "pool")
+    weights = weights.select("case", "pool", "term", "average", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    each = found.join(F.broadcast(weights), (found["term"] == weights["term"]) & F.array_contains("pools", F.col("pool")))  # a row for each case and term
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.col("average")))
+    return each.groupBy("case", doc).agg(F.sum(part).alias("score")).filter("score > 0")
+
+
 def document_frequency(pool: DataFrame, terms: list[str], tokens: str = "tokens") -> DataFrame:
     """term, df: in how many rows each term occurs."""
     hits = pool.select(F.explode(F.array_intersect(tokens, F.array(*map(F.lit, terms)))).alias("term"))
@@ -93,20 +122,29 @@ def best_chunk(scored: DataFrame, path: str = "path", order: str = "chunk_ord")
     return scored.groupBy(F.col(path).alias("__path")).agg(best.alias("b")).select("b.*")
 
 
-def ranked(best: DataFrame, path: str = "path", steps: int = 1024) -> DataFrame:
+#: Ranges that ranks are worked out in, and rows of the sample that their ends are taken from.
+RANGES, SAMPLED = 64, 2048
+
+
+def ranked(best: DataFrame, path: str = "path") -> DataFrame:
     """rank from 1 by score, then path.
 
-    Scores are cut into steps of 1 / ``steps``; each step is sorted by itself, and only the number of notes in each meets
-    in one task. Both read the same exchange.
+    A sample by hash, one row of at most SAMPLED places, cuts the order of (score, path) in ranges of like sizes; each is
+    sorted by itself, and only the ranges' counts meet in one task. Equal scores are cut by path, so no score is one task's.
     """
-    columns = best.columns
-    rows = best.withColumn("__step", F.floor(F.col("score") * steps)).repartition("__step")
-    above = Window.orderBy(F.col("__step").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("__step").agg(counted_with([*columns, "__step"]).alias("__n"))
-    before = counts.select("__step", F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__before"))  # a number per step
-    own = Window.partitionBy("__step").orderBy(F.col("score").desc(), F.col(path))
+    columns, place = best.columns, F.struct((-F.col("score")).alias("s"), F.col(path).alias("p"))
+    sample = best.select(place.alias("x"), F.xxhash64(path).alias("h")).orderBy("h", "x").limit(SAMPLED)
+    sorted_ = sample.agg(F.sort_array(F.collect_list("x")).alias("x"))
+    every = F.greatest(F.ceil(F.size("x") / F.lit(RANGES)), F.lit(1)).cast("int")
+    ends = sorted_.select(F.filter("x", lambda _, i: i % every == every - 1).alias("__ends"))
+    cut = best.crossJoin(F.broadcast(ends)).withColumn("__range", F.size(F.filter("__ends", lambda e: e < place))).drop("__ends")  # one row
+    rows = cut.repartition("__range")
+    above = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("__range").agg(counted_with([*columns, "__range"]).alias("__n"))
+    before = counts.select("__range", F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__before"))  # a number per range
+    own = Window.partitionBy("__range").orderBy(F.col("score").desc(), F.col(path))
     nth = rows.withColumn("__nth", F.row_number().over(own))
-    return nth.join(F.broadcast(before), "__step").select(*columns, (F.col("__before") + F.col("__nth")).cast("int").alias("rank"))
+    return nth.join(F.broadcast(before), "__range").select(*columns, (F.col("__before") + F.col("__nth")).cast("int").alias("rank"))
 
 
 def fuse(branches: dict[str, DataFrame], path: str = "path") -> DataFrame:

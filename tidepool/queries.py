@@ -115,11 +115,11 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
     return r.orderBy(F.col("score").desc(), "doc_id").limit(k)
 
 
-def passage_tokens(notes: DataFrame) -> DataFrame:
+def passage_tokens(notes: DataFrame, *more: str) -> DataFrame:
     """One passage per document, with its title and tags twice more, as search counts them."""
     extra = F.concat_ws(" ", "stem", "stem", "lang")
     whole = F.concat(X.passage(_header(notes), F.lit(""), F.col("text")), F.lit("\n"), extra, F.lit("\n"), extra)
-    return notes.select("doc_id", X.tokens(whole).alias("tokens"))
+    return notes.select("doc_id", *more, X.tokens(whole).alias("tokens"))
 
 
 _EXTRA = "concat_ws(' ', stem, stem, lang)"
@@ -151,6 +151,36 @@ def indexed_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.best_documents(spark, at, pool, _QT, 20)
 
 
+def _many_cases() -> dict[int, tuple[list[str], str]]:
+    """A hundred cases: pairs and triples of words, over all notes or those of a language."""
+    words = ["the", "and", "in", "was", "on", "les", "der", "token", "by", "password", "de", "la", "die", "und", "el"]
+    pools = ["", "en", "de", "fr", "es"]
+    return {i: (sorted({words[i % 15], words[i * 7 % 15], *(words[(i + 4) % 15 :][:1] if i % 3 else [])}), pools[i % 5]) for i in range(100)}
+
+
+_MANY = " UNION ALL ".join(f"SELECT {i} AS case_id, '{pool}' AS pool, unnest([{_quote(terms)}]) AS term" for i, (terms, pool) in _many_cases().items())
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, {sql_tokens(SQL_PASSAGE)} AS tok FROM ({SQL_NOTES})), q AS ({_MANY}),
+g AS (SELECT DISTINCT pool FROM q), z AS (SELECT pool, count(*) AS n, coalesce(nullif(avg(len(tok)), 0), 1) AS a FROM g JOIN d ON pool IN ('', lang) GROUP BY pool),
+h AS (SELECT doc_id, lang, len(tok) AS l, term, len(list_filter(tok, lambda t: t = term)) AS tf FROM d, (SELECT DISTINCT term FROM q) WHERE list_contains(tok, term)),
+f AS (SELECT pool, term, count(*) AS df FROM g JOIN h ON pool IN ('', lang) GROUP BY pool, term),
+s AS (SELECT case_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a))), 6) AS score
+  FROM q JOIN h ON h.term = q.term AND q.pool IN ('', h.lang) JOIN f ON f.pool = q.pool AND f.term = q.term JOIN z ON z.pool = q.pool GROUP BY case_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT case_id::INT AS case_id, doc_id, score, rank::INT AS rank FROM r WHERE rank <= 5""")
+def evaluation_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred queries over all notes in one plan: five results each."""
+    from pyspark.sql import Window
+
+    notes = _notes(spark, sf_dir)
+    rows = passage_tokens(notes, "lang")
+    cases = {i: (terms, F.coalesce("lang", F.lit("")) == pool if pool else None) for i, (terms, pool) in _many_cases().items()}
+    scored = ranking.bm25_many(rows, cases, names="int").select(F.col("case").alias("case_id"), "doc_id", F.round("score", 6).alias("score")).filter("score > 0")
+    w = Window.partitionBy("case_id").orderBy(F.col("score").desc(), "doc_id")
+    return scored.withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
+
+
 _ASKED = ["数据库锁 timeout", "缓存 and 重试", "plugin 插件 loop", "plain words only"]
 _CASES = " UNION ALL ".join(f"SELECT '{q}' AS query" for q in _ASKED)
 _SYN = " UNION ALL ".join(f"SELECT '{k}' AS word, '{v}' AS term" for k, vs in X.SYNONYMS.items() for v in vs)
