@@ -181,15 +181,19 @@ def evaluation_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
 
 
-_ASKED = ["数据库锁 timeout", "缓存 and 重试", "plugin 插件 loop", "plain words only"]
-_CASES = " UNION ALL ".join(f"SELECT '{q}' AS query" for q in _ASKED)
 _SYN = " UNION ALL ".join(f"SELECT '{k}' AS word, '{v}' AS term" for k, vs in X.SYNONYMS.items() for v in vs)
+_ASKED = ["数据库锁 timeout", "缓存 and 重试", "plugin 插件 loop", ""]
+_QUERY = "left(text, 60) || ' ' || CASE turn % 4 " + " ".join(f"WHEN {i} THEN '{q}'" for i, q in enumerate(_ASKED)) + " END"
 
 
-@query(f"WITH q AS ({_CASES}), y AS ({_SYN}), t AS (SELECT query, unnest({sql_tokens('query')}) AS term FROM q UNION SELECT q.query, y.term FROM q JOIN y ON contains(q.query, y.word)) SELECT DISTINCT query, term FROM t")
+@query(f"""WITH q AS (SELECT conv_id, turn, {_QUERY} AS query FROM conversations WHERE role = 'user' AND text <> ''), y AS ({_SYN}),
+t AS (SELECT conv_id, turn, unnest({sql_tokens('query')}) AS term FROM q UNION SELECT conv_id, turn, y.term FROM q JOIN y ON contains(q.query, y.word))
+SELECT DISTINCT conv_id, turn, term FROM t""")
 def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = spark.createDataFrame([(x,) for x in _ASKED], "query string")
-    return q.select("query", F.explode(X.tokens(F.col("query"), expand=True)).alias("term")).distinct()
+    """What users say, with words that have synonyms, as queries: the terms of each."""
+    asked = F.get(F.array(*map(F.lit, _ASKED)), (F.col("turn") % 4).cast("int"))
+    q = _t(spark, sf_dir, "conversations").filter("role = 'user' and text <> ''").select("conv_id", "turn", F.concat(F.substring("text", 1, 60), F.lit(" "), asked).alias("query"))
+    return q.select("conv_id", "turn", F.explode(X.tokens(F.col("query"), expand=True)).alias("term")).distinct()
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,6 +249,18 @@ def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.filter(F.col("score") >= 0.05).orderBy(F.col("score").desc(), "vec_id").limit(20)
 
 
+@query(f"""SELECT least, vec_id, round(score, 6) AS score FROM ({_COS}), (SELECT unnest([0.05, 0.3]::DOUBLE[]) AS least) WHERE score >= least""")
+def pruned_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors near a query in a table with angles to pivots, at two least scores."""
+    from tidepool.operators import pivots
+    from tidepool.sources.files import scratch
+
+    at = scratch(spark)
+    pivots.write(_vectors(spark, sf_dir), at)
+    found = [pivots.near(spark, at, ALPHA, least).select(F.lit(least).alias("least"), "vec_id", F.round("score", 6).alias("score")) for least in (0.05, 0.3)]
+    return found[0].unionByName(found[1])
+
+
 @query("SELECT vec_id, (len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) > 0) AS valid, len(embedding)::INT AS dimensions, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
 def vector_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("v")
@@ -371,7 +387,7 @@ def evaluation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from tidepool.plans.evaluate import metrics
 
-    fts = _branches(spark, sf_dir)["fts"].join(_notes(spark, sf_dir).select("doc_id", "lang"), "doc_id")
+    fts = ranking.bm25(passage_tokens(_notes(spark, sf_dir), "lang"), _QT).select("doc_id", "lang", F.round("score", 6).alias("score"))
     w = Window.partitionBy("lang").orderBy(F.col("score").desc(), "doc_id")
     results = fts.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select(F.col("lang").alias("case"), F.col("doc_id").alias("path"), "rank")
     expected = _t(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id").distinct().join(_notes(spark, sf_dir), "doc_id").select(F.col("lang").alias("case"), F.col("doc_id").alias("path"))
