@@ -40,5 +40,7 @@ def test_few_equal_and_no_vectors(spark, tmp_path):
 def test_bounds_are_pushed_to_the_scan(spark, tmp_path):
     rows, centres = clusters(60, 4, 0.1, 1)
     pivots.write(spark.createDataFrame(rows, "id long, vector array<double>"), str(tmp_path / "v"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
     plan = pivots.near(spark, str(tmp_path / "v"), centres[1], 0.9).select("id", F.round("score", 3))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "GreaterThanOrEqual(a0" in plan and "LessThanOrEqual(a3" in plan and "Python" not in plan
