@@ -12,7 +12,7 @@ from tidepool.operators.chunking import split_body
 from tidepool.operators.index import VectorIndex
 from tidepool.operators.provider import HashingProvider, LoopbackProvider
 from tidepool.plans import search as S
-from tidepool.sources.notes import listing, read_notes, scalar, strings
+from tidepool.sources.notes import listing, read_notes, scalar, stored_notes, strings
 
 
 class Controlled:
@@ -216,3 +216,33 @@ def test_vectors(spark):
 def test_remote_endpoints_are_refused(endpoint):
     with pytest.raises(ValueError, match="loopback"):
         LoopbackProvider(endpoint, "m")
+
+
+def test_stored_notes_are_those_of_the_source(spark, vault):
+    """Spark's reader of binary files finds what the source of notes finds, but for names with an underscore before them."""
+    for path in ("a.md", "Lessons/b.MD", "deep/er/c.md", ".hidden/d.md", "x.assets/e.md", "Attachments/f.md", "node_modules/g.md", "h.txt", "deep/.i.md"):
+        note(vault, path, f"text of {path}", title=f"T {path}", tags=["x", 3])
+    note(vault, "big.md", "x" * 5000)
+    (vault / "broken.md").write_text("---\ntitle: a\n")
+    (vault / "bytes.md").write_bytes(b"\xff\xfe")
+    for attachments in (False, True):
+        one, two = (f(spark, str(vault), max_bytes=4000, include_attachments=attachments) for f in (read_notes, stored_notes))
+        columns = [c for c in two[0].columns if c != "absolute"]
+        rows = lambda d, c: sorted(map(str, d.select(*c).collect()))
+        assert rows(one[0], columns) == rows(two[0], columns) and one[0].count() == 3 + attachments
+        assert sorted(r["path"] for r in one[1].collect()) == sorted(r["path"] for r in two[1].collect()) == ["big.md", "broken.md", "bytes.md"]
+    plan = stored_notes(spark, str(vault), max_bytes=4000)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,4000)" in plan
+
+
+def test_freshness_is_a_join_on_digests(spark, vault):
+    note(vault, "a.md", "one")
+    b, c = note(vault, "b.md", "two"), note(vault, "c.md", "three")
+    corpus = S.Corpus(spark, str(vault))
+    try:
+        corpus.notes.count()
+        b.write_text("else")
+        c.unlink()
+        assert corpus.unchanged(["a.md", "b.md", "c.md", "none.md"]) == {"a.md"}
+    finally:
+        corpus.release()

@@ -648,7 +648,8 @@ def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
 
 
-@query(f"""WITH RECURSIVE l AS (SELECT doc_id, generate_subscripts(ls, 1) AS n, unnest(ls) AS s, len(ls) AS m FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM ({SQL_NOTES}))),
+#: The passages of each note as DuckDB splits them: doc_id, c (which), start_line, end_line, text; blank ones are left out, but a note has one.
+_CHUNKS = """WITH RECURSIVE l AS (SELECT doc_id, generate_subscripts(ls, 1) AS n, unnest(ls) AS s, len(ls) AS m FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM (NOTES))),
 k AS (SELECT doc_id, n, CASE WHEN n < m THEN s || chr(10) ELSE s END AS s FROM l WHERE n < m OR s <> ''),
 q AS (SELECT doc_id, n, unnest(range(0, greatest((length(s) + 1599) // 1600, 1))) AS o, s FROM k),
 p AS (SELECT doc_id, n, substring(s, o * 1600 + 1, 1600) AS s, row_number() OVER (PARTITION BY doc_id ORDER BY n, o) AS i FROM q),
@@ -658,8 +659,12 @@ f AS (SELECT doc_id, i, length(s)::BIGINT AS size, 0::BIGINT AS c, FALSE AS carr
   FROM f JOIN p ON p.doc_id = f.doc_id AND p.i = f.i + 1 JOIN p b ON b.doc_id = f.doc_id AND b.i = f.i),
 a AS (SELECT doc_id, c, i FROM f UNION ALL SELECT doc_id, c, i - 1 FROM f WHERE carried),
 t AS (SELECT a.doc_id, a.c, min(p.n) AS start_line, max(p.n) AS end_line, string_agg(p.s, '' ORDER BY a.i) AS text FROM a JOIN p ON p.doc_id = a.doc_id AND p.i = a.i GROUP BY a.doc_id, a.c)
-SELECT doc_id, start_line::INT AS start_line, end_line::INT AS end_line, sha256(text) AS digest FROM t WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''
-UNION ALL SELECT doc_id, 1, 1, sha256('') FROM ({SQL_NOTES}) WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) = ''""")
+SELECT doc_id, c, start_line::INT AS start_line, end_line::INT AS end_line, text FROM t WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''
+UNION ALL SELECT doc_id, 0, 1, 1, '' FROM (NOTES) WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) = ''"""
+SQL_CHUNKS = _CHUNKS.replace("NOTES", SQL_NOTES)
+
+
+@query(f"SELECT doc_id, start_line, end_line, sha256(text) AS digest FROM ({SQL_CHUNKS})")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunking.split_rows(_notes(spark, sf_dir), "doc_id", "text")
     return c.select("doc_id", "start_line", "end_line", F.sha2("text", 256).alias("digest"))
@@ -725,3 +730,89 @@ def result_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("function_call_output").alias("type"), result.alias("output")).alias("payload")))
     c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", row.alias("value"))
     return image_rows(events(c, "codex"), "inner").select("conv_id", "turn", "nth", "image")
+
+
+_FILES = """SELECT doc_id, coalesce(source, 'none') AS source, coalesce(text, '') AS text, CASE doc_id % 8 WHEN 1 THEN '.hidden/' WHEN 2 THEN 'x.assets/' WHEN 7 THEN 'Attachments/' ELSE coalesce(source, 'none') || '/' END
+|| CASE WHEN doc_id % 8 = 4 THEN '.' ELSE '' END || doc_id || CASE doc_id % 8 WHEN 3 THEN '.MD' WHEN 5 THEN '.txt' ELSE '.md' END AS path,
+CASE doc_id % 8 WHEN 0 THEN '---' || chr(10) || 'title: Note ' || doc_id || chr(10) || 'tags: [a, 7]' || chr(10) || 'status: active' || chr(10) || '---' || chr(10) WHEN 6 THEN '---' || chr(10) || 'title: x' || chr(10) ELSE '' END || coalesce(text, '') AS content FROM documents"""
+
+
+@query(f"""WITH f AS (SELECT *, doc_id % 8 = 0 AS headed, doc_id % 8 IN (0, 3, 6) AS note FROM ({_FILES}))
+SELECT path, CASE WHEN headed THEN 'Note ' || doc_id ELSE coalesce(nullif(trim(regexp_extract(text, '(?m)^#\\s+(.+)$', 1)), ''), doc_id::VARCHAR) END AS title, CASE WHEN headed THEN 'active' ELSE '' END AS status,
+CASE WHEN headed THEN 'a,7' ELSE '' END AS tags, CASE WHEN headed THEN 6 ELSE 1 END AS first_line, sha256(content) AS fingerprint, NULL AS problem FROM f WHERE note AND strlen(content) <= 2000 AND doc_id % 8 <> 6
+UNION ALL SELECT path, NULL, NULL, NULL, NULL, NULL, CASE WHEN strlen(content) > 2000 THEN 'larger than 2000 bytes' ELSE 'the front matter has no end' END FROM f WHERE note AND (strlen(content) > 2000 OR doc_id % 8 = 6)""")
+def scanned_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a vault, some hidden, in folders left out, of other kinds, too large or broken: the notes, and what was put aside."""
+    from tidepool.sources.notes import parsed
+
+    d = _t(spark, sf_dir, "documents")
+    i, source = F.col("doc_id") % 8, F.coalesce("source", F.lit("none"))
+    folder = F.when(i == 1, F.lit(".hidden/")).when(i == 2, F.lit("x.assets/")).when(i == 7, F.lit("Attachments/")).otherwise(F.concat(source, F.lit("/")))
+    path = F.concat(folder, F.when(i == 4, F.lit(".")).otherwise(F.lit("")), "doc_id", F.when(i == 3, F.lit(".MD")).when(i == 5, F.lit(".txt")).otherwise(F.lit(".md")))
+    front = F.when(i == 0, F.concat(F.lit("---\ntitle: Note "), "doc_id", F.lit("\ntags: [a, 7]\nstatus: active\n---\n"))).when(i == 6, F.lit("---\ntitle: x\n")).otherwise(F.lit(""))
+    content = F.concat(front, F.coalesce("text", F.lit(""))).cast("binary")
+    files = d.select(path.alias("path"), F.concat(F.lit("/"), path).alias("absolute"), F.octet_length(content).cast("long").alias("length"), content.alias("content"))
+    notes, skipped = parsed(files, max_bytes=2000)
+    seen = notes.select("path", "title", "status", F.array_join("tags", ",").alias("tags"), "first_line", "fingerprint", F.lit(None).cast("string").alias("problem"))
+    return seen.unionByName(skipped.select("path", F.col("message").alias("problem")), allowMissingColumns=True)
+
+
+@query(f"SELECT path, sha256(text) AS fingerprint FROM ({SQL_NOTES}) WHERE doc_id % 3 <> 0 AND doc_id % 7 <> 0")
+def fresh_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All notes against what is there now: a third of them was changed, one in seven is gone."""
+    from tidepool.plans.search import fresh
+
+    n = _notes(spark, sf_dir)
+    now = n.filter("doc_id % 7 <> 0").select("path", X.fingerprint(F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))).alias("fingerprint"))
+    return fresh(n.select("path", X.fingerprint(F.col("text")).alias("fingerprint")), now)
+
+
+def vault_rows(documents: DataFrame) -> DataFrame:
+    """documents as the notes of a vault, with every property that a search looks at: each copy of a text is superseded by the next
+    one, two notes in three belong to every project, and the others to that of their source. A # is written ♯, as prose has no headings.
+    """
+    from pyspark.sql import Window
+
+    source = F.coalesce("source", F.lit("none"))
+    n = documents.select("doc_id", source.alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), F.translate(F.coalesce("text", F.lit("")), "#", "♯").alias("body"), F.col("doc_id").cast("string").alias("stem"), F.concat(source, F.lit("/"), "doc_id", F.lit(".md")).alias("path"))
+    n = n.withColumn("fingerprint", X.fingerprint(F.col("body")))
+    links = n.select("doc_id", F.lead("path").over(Window.partitionBy("fingerprint").orderBy("doc_id")).alias("next"))
+    n = n.join(links, "doc_id")
+    text, none = F.lit(""), F.array().cast("array<string>")
+    project = F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(F.lit("global"))
+    return n.select(
+        "path", F.concat(F.lit("/"), "path").alias("absolute"), "stem", F.col("stem").alias("title"), "fingerprint", F.lit("{}").alias("meta"), F.lit("lesson").alias("kind"),
+        F.when(F.col("next").isNotNull(), F.lit("superseded")).otherwise(F.lit("active")).alias("status"), project.alias("project"), text.alias("module"), text.alias("description"), none.alias("aliases"),
+        F.array("lang").alias("tags"), none.alias("sources"), none.alias("path_globs"), F.when(F.col("next").isNotNull(), F.array(F.concat(F.lit("[["), "next", F.lit("]]")))).otherwise(none).alias("superseded_by"),
+        X.header(title=F.col("stem"), filename=F.col("stem"), tags=F.col("lang"), project=project).alias("header"), "body", F.lit(1).alias("first_line"),
+    )
+
+
+_PROSE = "translate(coalesce(text, ''), '#', '♯')"
+_VAULT = f"""SELECT doc_id, coalesce(source, 'none') || '/' || doc_id || '.md' AS path, doc_id::VARCHAR AS stem, coalesce(lang, '') AS lang, {_PROSE} AS text,
+lead(doc_id) OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) AS nxt, CASE WHEN doc_id % 3 = 0 THEN coalesce(source, 'none') ELSE 'global' END AS project FROM documents"""
+_VAULT_PASSAGE = "concat_ws(chr(10), 'Title: ' || stem, 'Filename: ' || stem, CASE WHEN lang <> '' THEN 'Tags: ' || lang END, 'Project: ' || project) || chr(10) || 'Section: ' || chr(10) || CASE WHEN c.text <> '' THEN chr(10) || c.text ELSE '' END || chr(10) || stem || ' ' || stem || ' ' || lang || chr(10) || stem || ' ' || stem || ' ' || lang"
+
+
+@query(f"""WITH RECURSIVE v AS ({_VAULT}), scope AS (SELECT * FROM v WHERE project IN ('src0', 'global')), c AS (SELECT doc_id, c, start_line, text FROM ({_CHUNKS.replace("NOTES", "SELECT doc_id, text FROM v")})),
+hit AS (WITH {sql_bm25(f"SELECT scope.doc_id, c.c, {sql_tokens(_VAULT_PASSAGE)} AS tok FROM scope JOIN c ON c.doc_id = scope.doc_id", _QT)} SELECT doc_id, c, score FROM s),
+b AS (SELECT doc_id, c, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, c) AS k FROM hit) WHERE k = 1),
+w AS (SELECT doc_id AS node, doc_id AS pos, [v.path]::VARCHAR[] AS seen FROM v UNION ALL SELECT w.node, x.nxt, list_append(seen, y.path) FROM w JOIN v x ON x.doc_id = w.pos JOIN v y ON y.doc_id = x.nxt),
+z AS (SELECT node, arg_max(pos, len(seen)) AS target, arg_max(seen, len(seen)) AS seen FROM w GROUP BY node),
+r AS (SELECT z.target, b.doc_id AS source, v.path AS source_path, b.c, b.score, CASE WHEN z.target <> b.doc_id THEN array_to_string(seen[:len(seen) - 1], '>') END AS chain FROM b JOIN z ON z.node = b.doc_id JOIN v ON v.doc_id = b.doc_id WHERE z.target IN (SELECT doc_id FROM scope)),
+g AS (SELECT target, arg_min(source, (-score, source_path)) AS source, arg_min(c, (-score, source_path)) AS c, max(score) AS score, coalesce(string_agg(chain, '|' ORDER BY score DESC, source_path), '') AS chains FROM r GROUP BY target),
+o AS (SELECT c.*, row_number() OVER (PARTITION BY doc_id ORDER BY c) AS k FROM c),
+n AS (SELECT g.target, string_agg(o.start_line::VARCHAR, ',' ORDER BY o.c) AS lines FROM g JOIN o ON o.doc_id = g.target AND (CASE WHEN g.source = g.target THEN o.c = g.c ELSE o.k <= 2 END) GROUP BY g.target)
+SELECT v.path, round(g.score, 6) AS score, g.chains, n.lines FROM g JOIN v ON v.doc_id = g.target JOIN n ON n.target = g.target ORDER BY g.score DESC, v.path LIMIT 20""")
+def recall_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole search: a recall in a project over all notes, where superseded wordings lead to their replacements in scope, with snippets of these."""
+    from tidepool.plans.search import Corpus, Request, found
+
+    notes = vault_rows(_t(spark, sf_dir, "documents"))
+    corpus = Corpus.of(notes, notes.select(F.lit("").alias("code"), F.lit("").alias("message"), "path").limit(0), lambda asked: notes.join(asked.select("path"), "path", "left_semi").select("path", "fingerprint"))
+    try:
+        out = found(corpus, Request(SEARCH, "fts", 20, recall=True, project="src0"))
+    finally:
+        corpus.release()
+    rows = [(r["path"], r["score"], "|".join(">".join(c) for c in r["replacement_chains"]), ",".join(str(s["start_line"]) for s in r["snippets"])) for r in out["results"]]
+    return spark.createDataFrame(rows, "path string, score double, chains string, lines string")
