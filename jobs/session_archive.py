@@ -79,8 +79,8 @@ def archive(rows: DataFrame, batch: int, target: str, client: str, shelves: int,
     return report
 
 
-def run(spark: SparkSession, source: str, target: str, checkpoint: str, client: str, shelves: int, span: int, collapse_context: bool) -> dict:
-    """Archive the files of ``source`` that are new to ``checkpoint``; the counts of this run's batches, summed up."""
+def run(spark: SparkSession, source: str, target: str, checkpoint: str, client: str, shelves: int, span: int, collapse_context: bool, files_per_batch: int) -> dict:
+    """Archive the files of ``source`` that are new to ``checkpoint``, the oldest first; the counts of this run's batches, summed up."""
     done: list[dict] = []
 
     def batch(rows: DataFrame, number: int) -> None:
@@ -89,7 +89,7 @@ def run(spark: SparkSession, source: str, target: str, checkpoint: str, client:
     # a pattern of one name stands for a folder as for a single file, which a stream doesn't take by its plain path;
     # files stay valid whatever their age, as a copy may keep an old time of change
     folder, _, name = source.rstrip("/").rpartition("/")
-    turns = spark.readStream.schema(TURNS).option("maxFileAge", "36500d").parquet(f"{folder}/{{{name}}}")
+    turns = spark.readStream.schema(TURNS).option("maxFileAge", "36500d").option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/{{{name}}}")
     stream = turns.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     stream.awaitTermination()
     report = {"batches": len(done)} | {k: sum(d[k] for d in done) for k in ("turns_read", "messages", "sessions", "aside")}

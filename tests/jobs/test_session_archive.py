@@ -8,7 +8,7 @@ import pytest
 from jobs import common, session_archive
 from tidepool.operators import messages
 
-OPTIONS = {"client": "claude", "shelves": 3, "span": 4, "collapse_context": True}
+OPTIONS = {"client": "claude", "shelves": 3, "span": 4, "collapse_context": True, "files_per_batch": 100}
 
 
 def put(spark, folder, rows):
@@ -75,7 +75,8 @@ def test_one_run_or_many_give_the_same(spark, places, tmp_path):
     once = {k: f"{v}-once" for k, v in places.items()}
     shutil.copytree(places["source"], once["source"])
     session_archive.run(spark, **once, **OPTIONS)
-    assert numbers(spark, places["target"]) == numbers(spark, once["target"]) and len(numbers(spark, once["target"])) == 96
+    assert session_archive.run(spark, once["source"], f"{once['target']}-each", f"{once['checkpoint']}-each", **OPTIONS | {"files_per_batch": 1})["batches"] == 3
+    assert numbers(spark, places["target"]) == numbers(spark, once["target"]) == numbers(spark, f"{once['target']}-each") and len(numbers(spark, once["target"])) == 96
 
 
 def test_no_files_and_empty_files(spark, places):

@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,6 +131,32 @@ def any_glob(patterns: pd.Series, path: pd.Series) -> pd.Series:
     return pd.Series([hit(g if g is not None else [], p) for g, p in zip(patterns, path, strict=True)])
 
 
+@F.pandas_udf(T.StringType())
+def glob_regexes(x: pd.Series) -> pd.Series:
+    """glob_regex() of a column, anchored for rlike."""
+    return x.map(lambda g: None if g is None else f"(?d)^(?:{glob_regex(g)})$(?!\n)")
+
+
+def glob_pairs(paths: DataFrame, globs: DataFrame) -> DataFrame:
+    """path, glob of every match between two tables of distinct values.
+
+    A glob meets those paths only that begin with the folders before its first wildcard and, where it ends so, have its
+    extension: an equi-join on both, for which a path stands once for each folder above it. Then the glob's expression decides.
+    """
+    clean = F.regexp_replace(F.replace(F.col("path"), F.lit("\\"), F.lit("/")), r"^\./", "")
+    given = F.replace(F.col("glob"), F.lit("\\"), F.lit("/"))
+    plain = ~given.rlike("[*?]")
+    head = F.when(plain, given).otherwise(F.regexp_replace(F.regexp_extract(given, r"^[^*?]*", 0), "/?[^/]*$", ""))
+    ending = F.when(plain, F.lit("")).otherwise(F.regexp_extract(given, r"(\.[^./*?]+)$", 1))
+    asked = globs.select("glob", head.alias("head"), ending.alias("ending"), glob_regexes("glob").alias("regex"))
+    parts = F.split("clean", "/")
+    heads = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    own = F.regexp_extract("clean", r"(\.[^./]+)$", 1)
+    rows = paths.select("path", clean.alias("clean")).select("path", "clean", F.explode(F.array_distinct(heads)).alias("head"), own.alias("own"))
+    rows = rows.select("path", "clean", "head", F.explode(F.array_distinct(F.array(F.lit(""), "own"))).alias("ending"))
+    return rows.join(asked, ["head", "ending"]).filter(F.rlike("clean", F.col("regex"))).select("path", "glob").distinct()
+
+
 _HEAD = r"\s*# AGENTS\.md instructions(?: for [^\n]+)?[ \t\r\x0B\f]*(?:\n|\z)"
 #: Alternatives spelt out, one per tag, so that the same expression works without back-references.
 CONTEXT = "(?:" + "|".join([_HEAD, *(rf"\s*<{t}(?:\s+[^<>]*)?>(?s:.*?)</{t}>\s*" for t in CONTEXT_TAGS)]) + ")+"

@@ -224,6 +224,22 @@ def glob_applicability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", "path", *[X.glob_matches(g, F.col("path")).alias(f"g{i}") for i, g in enumerate(_GLOBS)])
 
 
+_FOLDER, _NAME = "regexp_extract(p, '^(.*/)?[^/]*$', 1)", "regexp_extract(p, '[^/]*$', 0)"
+_ESCAPED = lambda x: f"regexp_replace({x}, '([^A-Za-z0-9_/])', '\\\\\\1', 'g')"
+
+
+@query(f"""WITH u AS (SELECT DISTINCT translate(regexp_replace(url, '^[a-z]+://[^/]*/?', ''), '?*', '__') AS p FROM pages WHERE url IS NOT NULL),
+g AS (SELECT DISTINCT {_FOLDER} || '**' AS pattern, {_ESCAPED(_FOLDER)} || '.*' AS re FROM u UNION SELECT p, {_ESCAPED("p")} FROM u
+  UNION SELECT '**/' || left({_NAME}, 2) || '*', '(?:.*/)?' || {_ESCAPED(f"left({_NAME}, 2)")} || '[^/]*' FROM u UNION SELECT '**/*' || right({_NAME}, 5), '(?:.*/)?[^/]*' || {_ESCAPED(f"right({_NAME}, 5)")} FROM u)
+SELECT p AS path, pattern FROM u, g WHERE regexp_full_match(p, re) GROUP BY ALL""")
+def glob_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of globs against all paths of pages: folders with anything below, whole paths, beginnings and ends of names."""
+    u = _t(spark, sf_dir, "pages").filter("url is not null").select(F.translate(F.regexp_replace("url", "^[a-z]+://[^/]*/?", ""), "?*", "__").alias("path")).distinct()
+    folder, name = F.regexp_extract("path", "^(.*/)?[^/]*$", 1), F.regexp_extract("path", "[^/]*$", 0)
+    forms = [F.concat(folder, F.lit("**")), F.col("path"), F.concat(F.lit("**/"), F.substring(name, 1, 2), F.lit("*")), F.concat(F.lit("**/*"), F.right(name, F.lit(5)))]
+    return X.glob_pairs(u, u.select(F.explode(F.array(*forms)).alias("glob")).distinct()).withColumnRenamed("glob", "pattern")
+
+
 _LINES = sql_bm25(f"SELECT doc_id, ord, {sql_tokens('line')} AS tok FROM (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS ord, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM ({SQL_NOTES})))", _QT)
 
 
