@@ -45,9 +45,11 @@ def blocks(rows: DataFrame, doc: str = "doc_id", tokens: str = "tokens", span: i
     """term, block, n, total (of lengths), bests, entries (doc, tf, len) of documents: a number that is one row's own, and tokens."""
     terms = F.explode(F.concat(F.array(F.lit(EVERY)), F.coalesce(tokens, F.array().cast("array<string>"))))
     named = rows.select(F.col(doc).cast("long").alias("doc"), F.greatest(F.size(tokens), F.lit(0)).alias("len"), terms.alias("term"))
-    counted = named.groupBy("term", "doc", "len").agg(F.count("*").cast("int").alias("tf"))
+    # dealt out once, by what both aggregations have in common
+    dealt = named.withColumn("block", F.floor(F.col("doc") / F.lit(span))).repartition("term", "block")
+    counted = dealt.groupBy("term", "block", "doc", "len").agg(F.count("*").cast("int").alias("tf"))
     tf, length = F.col("tf"), F.col("len")
-    return counted.groupBy("term", F.floor(F.col("doc") / F.lit(span)).alias("block")).agg(
+    return counted.groupBy("term", "block").agg(
         F.count("*").alias("n"),
         F.sum("len").alias("total"),
         F.array(*[F.max(share(tf, length, a)) for a in AVERAGES]).alias("bests"),
