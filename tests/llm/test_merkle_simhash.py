@@ -152,13 +152,14 @@ def family_prints(n, seed):
     return out
 
 
-@pytest.mark.parametrize("bucket,tree,shard,most", [(256, 1 << 14, 1 << 16, 48 << 20), (1, 3, 40, 3000), (256, 2, 7, 100)])
-def test_links(spark, monkeypatch, bucket, tree, shard, most):
-    """Trees cut in parts, many shards, several broadcasts and smaller buckets give the links of all pairs."""
+@pytest.mark.parametrize("bucket,tree,shard,most,passes", [(256, 1 << 14, 1 << 16, 48 << 20, 16), (256, 1 << 14, 1 << 16, 48 << 20, 0), (1, 3, 40, 3000, 1000), (1, 3, 40, 3000, 2), (256, 2, 7, 100, 1000)])
+def test_links(spark, monkeypatch, bucket, tree, shard, most, passes):
+    """Trees cut in parts, many shards, several broadcasts, more trees than are broadcast and smaller buckets give the links of all pairs."""
     monkeypatch.setattr(simhash, "BUCKET", bucket)
     monkeypatch.setattr(simhash, "TREE", tree)
     monkeypatch.setattr(simhash, "SHARD", shard)
     monkeypatch.setattr(simhash, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(simhash, "PASSES", passes)
     n = 60 if most == 100 else 400
     prints = family_prints(n, tree)
     signed = np.array(prints, dtype=np.uint64).view(np.int64).tolist()

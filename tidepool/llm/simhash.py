@@ -5,7 +5,9 @@ differing bit spoils one run), so each is a member of one bucket per choice of r
 every bucket the distinct fingerprints grow a BK-tree: a child hangs below its parent at the key of their Hamming
 distance, and a search at distance d from a node follows the edges from d - RADIUS to d + RADIUS only. Shards of trees are
 built by tasks and broadcast, at most ``BROADCAST_BYTES`` at a time; all fingerprints look for their buckets' trees in a
-broadcast shard where they lie, without a shuffle.
+broadcast shard where they lie, without a shuffle. Each broadcast reads all fingerprints, so there are ``PASSES`` at most:
+with more trees than that, those that are all of their bucket aren't broadcast, since all who would search one are its nodes,
+and the task that built it has searched it for each of them. Only trees that share a bucket with others are then.
 
 Equal fingerprints are one node. A tree's own links are known as it is built: its nodes carry the component that they form
 in it, and a search reports each of those that it meets once, so a group of G near copies makes some G links, not G * G.
@@ -36,6 +38,8 @@ TEXT_BYTES, SHINGLES = 4 << 20, 1 << 16
 BUCKET, TREE, SHARD = 256, 1 << 14, 1 << 16
 #: Bytes of trees that are broadcast at a time.
 BROADCAST_BYTES = 48 << 20
+#: Broadcasts of that size that all trees may take.
+PASSES = 16
 #: Pairs of a fingerprint and a node that a search holds at a time.
 FRONTIER = 1 << 21
 #: Rows of large buckets that are broadcast at most, some 40 bytes each; beyond that they are joined.
@@ -174,18 +178,21 @@ def bucket_keys(fp: np.ndarray, which: np.ndarray | int, mask: np.ndarray | int)
 
 
 def _shards(nodes: DataFrame, chosen: list[int]) -> DataFrame:
-    """Packed trees, a row a shard: names and roots of the trees, and of all nodes value, parent, edge and label."""
+    """Packed trees, a row a shard: names and roots of the trees, and of all nodes value, parent, edge and label.
+
+    Trees that are all of their bucket and those that are a part of it lie in shards of their own, ``whole`` or not.
+    """
     keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in chosen])).alias("which", "bits"))
     large = staged(keyed.groupBy("which", "bits").count().filter(F.col("count") > TREE))
     several = large.count()
-    part = F.lit(0)
+    part, whole = F.lit(0), F.lit(True)
     if several:
         large = large.select("which", "bits", F.ceil(F.col("count") / F.lit(TREE)).alias("parts"))
         keyed = keyed.join(F.broadcast(large) if several <= BROADCAST_LARGE else large, ["which", "bits"], "left")
-        part = F.coalesce(F.pmod(F.xxhash64("fp"), F.col("parts")), F.lit(0))
+        part, whole = F.coalesce(F.pmod(F.xxhash64("fp"), F.col("parts")), F.lit(0)), F.col("parts").isNull()
     total = max(1, -(-nodes.count() * len(chosen) // SHARD))
-    ddl = "shard long, names binary, roots binary, fps binary, parent binary, edge binary, label binary"
-    schema = pa.schema([("shard", pa.int64()), *[(c, pa.binary()) for c in ("names", "roots", "fps", "parent", "edge", "label")]])
+    ddl = "shard long, whole boolean, names binary, roots binary, fps binary, parent binary, edge binary, label binary"
+    schema = pa.schema([("shard", pa.int64()), ("whole", pa.bool_()), *[(c, pa.binary()) for c in ("names", "roots", "fps", "parent", "edge", "label")]])
 
     def grown(key: tuple, rows: pa.Table) -> pa.Table:
         which, part = (rows.column(c).to_numpy() for c in ("which", "part"))
@@ -202,10 +209,10 @@ def _shards(nodes: DataFrame, chosen: list[int]) -> DataFrame:
         label = forest.labels(roots, tree, sizes, RADIUS)
         packed = [name[roots].tobytes(), roots.astype(np.int32).tobytes(), fp.tobytes(), forest.parent.tobytes(), forest.edge.tobytes(), label.astype(np.int32).tobytes()]
         give_back()
-        return pa.table([pa.array([key[0].as_py()], pa.int64()), *[pa.array([x], pa.binary()) for x in packed]], schema=schema)
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([key[1].as_py()]), *[pa.array([x], pa.binary()) for x in packed]], schema=schema)
 
-    dealt = keyed.select("fp", "which", F.pmod(F.xxhash64("which", "bits", part), F.lit(total)).alias("shard"), part.cast("long").alias("part"))
-    out = staged(dealt.groupBy("shard").applyInArrow(grown, ddl))
+    dealt = keyed.select("fp", "which", F.pmod(F.xxhash64("which", "bits", part), F.lit(total)).alias("shard"), whole.alias("whole"), part.cast("long").alias("part"))
+    out = staged(dealt.groupBy("shard", "whole").applyInArrow(grown, ddl))
     unstage(large)
     return out
 
@@ -238,22 +245,37 @@ class Trees:
         return np.unique(np.concatenate(out), axis=0)
 
 
+def _own_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b: each node of a tree and the first of its component in that tree, of shards' fps and labels."""
+    for b in batches:
+        for fps, label in zip(b.column(0), b.column(1), strict=True):
+            values, first = np.frombuffer(fps.as_py(), dtype=np.int64), np.frombuffer(label.as_py(), dtype=np.int32)
+            linked = np.flatnonzero(first != np.arange(len(first)))
+            yield pa.RecordBatch.from_arrays([pa.array(values[linked]), pa.array(values[first[linked]])], names=["a", "b"])
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """a, b: links enough that components over them are those over all pairs of the column fp within the radius."""
     chosen = masks(nodes.count())
     shards = _shards(nodes, chosen)
-    sizes = shards.select("shard", F.expr("length(names) + length(roots) + length(fps) + length(parent) + length(edge) + length(label)").alias("bytes"))
-    passes: list[list[int]] = []
+    sizes = shards.select("shard", "whole", F.expr("length(names) + length(roots) + length(fps) + length(parent) + length(edge) + length(label)").alias("bytes"))
+    spark, parts = nodes.sparkSession, []
+    if (sizes.agg(F.sum("bytes")).first()[0] or 0) > PASSES * BROADCAST_BYTES:
+        parts.append(staged(shards.filter("whole").select("fps", "label").mapInArrow(_own_links, "a long, b long")))
+        sizes = sizes.filter(~F.col("whole"))
+    passes: list[list[tuple[int, bool]]] = []
     room = 0
-    for r in sizes.orderBy("shard").toLocalIterator():  # two numbers a shard
+    for r in sizes.orderBy("shard", "whole").toLocalIterator():  # two numbers a shard
         if r["bytes"] > room or not passes:
             passes.append([])
             room = BROADCAST_BYTES
-        passes[-1].append(r["shard"])
+        passes[-1].append((r["shard"], r["whole"]))
         room -= r["bytes"]
-    spark, parts = nodes.sparkSession, []
     for those in passes:
-        held = spark.sparkContext.broadcast(shards.filter(F.col("shard").isin(those)).collect())
+        wanted = F.lit(False)
+        for kind in (True, False):
+            wanted |= (F.col("whole") == kind) & F.col("shard").isin([s for s, w in those if w == kind])
+        held = spark.sparkContext.broadcast(shards.filter(wanted).collect())
 
         def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             trees = None
