@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.functions.batches import bounded
+
 # The most characters of a passage, and the least length of a piece that isn't carried over.
 PASSAGE, CARRIED = 1600, 200
 _QUOTE, _FENCE, _HEADING = re.compile(r"^(?:> ?)+"), re.compile(r"`{3,}|~{3,}"), re.compile(r"#{1,6}\s+(.+)")
@@ -76,7 +78,7 @@ def split_rows(rows: DataFrame, key: str, text: str) -> DataFrame:
     kind = dict(rows.dtypes)[key]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in bounded(batches, 1):
             out: list[tuple] = []
             for k, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 out += [(k, i, p.start, p.end, p.heading, p.text) for i, p in enumerate(split_body(body or ""))]

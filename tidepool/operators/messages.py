@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepool.functions.batches import bounded
+
 
 def is_readable() -> Column:
     return F.coalesce(F.col("role").isin("user", "assistant") & (F.col("text") != ""), F.lit(False))
@@ -94,7 +96,7 @@ def version(rows: DataFrame, session: str, order: str, text: str) -> DataFrame:
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, digest = None, None
-        for b in batches:
+        for b in bounded(batches, 1):
             ids, digests = [], []
             for row, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if digest is None or row != at:
