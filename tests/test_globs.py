@@ -26,3 +26,27 @@ def test_ten_thousand_globs(spark):
     pairs = X.glob_pairs(paths, globs)
     assert pairs.count() == 1500
     assert "Cartesian" not in pairs._jdf.queryExecution().executedPlan().toString() and "NestedLoop" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_globs_of_names_meet_their_paths_only(spark):
+    """Starts and ends of names below any folder: what is looked at grows with the matches, not with paths times globs."""
+    paths = spark.range(2_000).selectExpr("concat('en/', lpad(id, 5, '0'), '/n', lpad(id * 7, 6, '0')) AS path")
+    globs = spark.range(2_000).selectExpr("explode(array(concat('**/*', lpad(id * 7, 5, '0')), concat('**/n', lpad(id * 7, 6, '0'), '*'))) AS glob")
+    pairs, looked_at = X.glob_pairs(paths, globs).count(), X.glob_candidates(paths, globs).count()
+    assert pairs == 4_000 and looked_at == pairs
+
+
+def test_literals_hold_in_every_match():
+    """Odd globs: whatever a glob matches has its folders, the start of its name and its end."""
+    r = random.Random(3)
+    paths = ["".join(r.choice(["a", "b", "ab", "/", "//", ".py", "é", "a.md", "\n"]) for _ in range(r.randint(0, 6))) for _ in range(400)] + ["a" * 40 + "/" + "b" * 40]
+    hits = 0
+    for _ in range(1_500):
+        g = "".join(r.choice(["/", "**/", "**", "*", "?", "a", "b", "ab", ".py", "a/", "é", "\\", "a.md"]) for _ in range(r.randint(0, 5)))
+        _, depth, head, start, end = X.glob_literals(g)
+        for p in filter(re.compile(X.glob_regex(g)).fullmatch, paths):
+            parts, hits = p.split("/"), hits + 1
+            assert p == head if depth < 0 else depth < len(parts) and "/".join(parts[:depth]) == head, (g, p)
+            assert parts[-1].startswith(start) and p.endswith(end), (g, p)
+    assert hits > 1_000
+    assert X.glob_literals("a**/b*")[3] == "" and X.glob_literals("a/**/b*.py")[1:] == (1, "a", "b", ".py")

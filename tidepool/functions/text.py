@@ -131,30 +131,69 @@ def any_glob(patterns: pd.Series, path: pd.Series) -> pd.Series:
     return pd.Series([hit(g if g is not None else [], p) for g, p in zip(patterns, path, strict=True)])
 
 
-@F.pandas_udf(T.StringType())
-def glob_regexes(x: pd.Series) -> pd.Series:
-    """glob_regex() of a column, anchored for rlike."""
-    return x.map(lambda g: None if g is None else f"(?d)^(?:{glob_regex(g)})$(?!\n)")
+#: Lengths that the start of a glob's name and its end are compared by: the largest that the glob has; few, so that its shapes are few.
+CUTS = [*range(13), 16, 24, 32]
 
 
-def glob_pairs(paths: DataFrame, globs: DataFrame) -> DataFrame:
-    """path, glob of every match between two tables of distinct values.
+def glob_literals(pattern: str) -> tuple[str, int, str, str, str]:
+    """regex, depth, head, start, end: what a glob's matches have without fail.
 
-    A glob meets those paths only that begin with the folders before its first wildcard and, where it ends so, have its
-    extension: an equi-join on both, for which a path stands once for each folder above it. Then the glob's expression decides.
+    ``head`` are their first ``depth`` folders, ``start`` begins their name and ``end`` ends them, each cut to one of CUTS. A glob
+    without wildcards is its own head, at depth -1.
+    """
+    given = pattern.replace("\\", "/")
+    regex = f"(?d)^(?:{glob_regex(given)})$(?!\n)"
+    pieces = re.findall(r"\*\*/|\*\*|\*|\?|[^*?]+", given)
+    literal = [p[0] not in "*?" for p in pieces]
+    if all(literal):
+        return regex, -1, given, "", ""
+    folders, slash, _ = pieces[0].rpartition("/") if literal[0] else ("", "", "")
+    # the name is what follows the last slash; a ``**/`` may match nothing, so it begins a name only where what stands before it ends a folder
+    at = max((i for i, p in enumerate(pieces) if p == "**/" or literal[i] and "/" in p), default=-1)
+    name, bounded = pieces[at + 1 :], True
+    if at >= 0 and literal[at]:
+        name = [pieces[at].rpartition("/")[2], *name]
+    elif at >= 0:
+        before = next((i for i in range(at, -1, -1) if pieces[i] != "**/"), -1)
+        bounded = before < 0 or literal[before] and pieces[before].endswith("/")
+    whole = bounded and "**" not in name
+    start = name[0] if whole and name and name[0][:1] not in ("", "*", "?") else ""
+    end = pieces[-1] if literal[-1] else ""
+    cut = lambda x: max(n for n in CUTS if n <= len(x))
+    return regex, folders.count("/") + 1 if slash else 0, folders, start[: cut(start)], end[len(end) - cut(end) :]
+
+
+@F.pandas_udf(T.StructType([T.StructField(k, T.IntegerType() if k == "depth" else T.StringType()) for k in ("regex", "depth", "head", "start", "ending")]))
+def glob_asks(x: pd.Series) -> pd.DataFrame:
+    """glob_literals() of a column, the regex anchored for rlike."""
+    return pd.DataFrame([(None,) * 5 if g is None else glob_literals(g) for g in x], columns=["regex", "depth", "head", "start", "ending"])
+
+
+def glob_candidates(paths: DataFrame, globs: DataFrame) -> DataFrame:
+    """path, clean, glob, regex of the pairs that glob_pairs() looks at.
+
+    A glob meets those paths only that have all of its literals: its first folders, the start of its name, its end. The shapes
+    of globs (how many folders, how long a start and an end) are few; a path has a row for each shape that it's long enough
+    for, and an equi-join finds the globs of that shape with the same literals. So rows grow with the paths and the matches,
+    but for globs whose only literals are in their midst (``**/*x*``).
     """
     clean = F.regexp_replace(F.replace(F.col("path"), F.lit("\\"), F.lit("/")), r"^\./", "")
-    given = F.replace(F.col("glob"), F.lit("\\"), F.lit("/"))
-    plain = ~given.rlike("[*?]")
-    head = F.when(plain, given).otherwise(F.regexp_replace(F.regexp_extract(given, r"^[^*?]*", 0), "/?[^/]*$", ""))
-    ending = F.when(plain, F.lit("")).otherwise(F.regexp_extract(given, r"(\.[^./*?]+)$", 1))
-    asked = globs.select("glob", head.alias("head"), ending.alias("ending"), glob_regexes("glob").alias("regex"))
+    asked = globs.filter("glob is not null").select("glob", glob_asks("glob").alias("ask")).select("glob", "ask.*")
+    sizes = [F.length("start").alias("starts"), F.length("ending").alias("ends")]
+    shapes = asked.select("depth", *sizes).distinct()
     parts = F.split("clean", "/")
-    heads = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    own = F.regexp_extract("clean", r"(\.[^./]+)$", 1)
-    rows = paths.select("path", clean.alias("clean")).select("path", "clean", F.explode(F.array_distinct(heads)).alias("head"), own.alias("own"))
-    rows = rows.select("path", "clean", "head", F.explode(F.array_distinct(F.array(F.lit(""), "own"))).alias("ending"))
-    return rows.join(asked, ["head", "ending"]).filter(F.rlike("clean", F.col("regex"))).select("path", "glob").distinct()
+    rows = paths.select("path", clean.alias("clean")).select("path", "clean", F.explode(F.sequence(F.lit(-1), F.size(parts) - 1)).alias("depth"))
+    rows = rows.join(F.broadcast(shapes), "depth")
+    name = F.element_at(parts, -1)
+    rows = rows.filter((F.length(name) >= F.col("starts")) & (F.length("clean") >= F.col("ends")))
+    head = F.when(F.col("depth") < 0, F.col("clean")).otherwise(F.array_join(F.slice(parts, F.lit(1), F.greatest("depth", F.lit(0))), "/"))
+    rows = rows.select("path", "clean", "depth", head.alias("head"), F.left(name, F.col("starts")).alias("start"), F.right("clean", F.col("ends")).alias("ending"))
+    return rows.join(asked, ["depth", "head", "start", "ending"]).select("path", "clean", "glob", "regex")
+
+
+def glob_pairs(paths: DataFrame, globs: DataFrame) -> DataFrame:
+    """path, glob of every match between two tables of distinct values: of the candidates, those that the glob's expression finds."""
+    return glob_candidates(paths, globs).filter(F.rlike("clean", F.col("regex"))).select("path", "glob").distinct()
 
 
 _HEAD = r"\s*# AGENTS\.md instructions(?: for [^\n]+)?[ \t\r\x0B\f]*(?:\n|\z)"
