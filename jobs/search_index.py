@@ -46,7 +46,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         run(spark, f"{sf_dir}/documents.parquet", target, **settings(NAME))
     rows = postings.expanded(postings.read(spark, f"{target}/postings"))
     listed = spark.read.schema("doc_id long, path string, fingerprint string, lang string").parquet(f"{target}/documents")
-    return rows.join(listed, rows["doc"] == listed["doc_id"]).select("term", "doc_id", F.col("tf").cast("long").alias("tf"), F.col("len").cast("long").alias("n_tokens"), "path")
+    # by hash: the postings, of which there are far more, needn't be sorted
+    return rows.join(listed.hint("shuffle_hash"), rows["doc"] == listed["doc_id"]).select("term", "doc_id", F.col("tf").cast("long").alias("tf"), F.col("len").cast("long").alias("n_tokens"), "path")
 
 
 SQL = f"""
