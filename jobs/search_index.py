@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from jobs.common import command, settings
 from tidepool.functions import text as X
 from tidepool.operators import postings
-from tidepool.queries import SQL_NOTES, SQL_PASSAGE, note_rows, passage_tokens, sql_tokens
+from tidepool.queries import SQL_NOTES, SQL_PASSAGE, note_rows, passages, sql_tokens
 from tidepool.sources.files import scratch
 
 NAME = "search_index"
@@ -28,7 +28,7 @@ def run(spark: SparkSession, documents: str, target: str, span: int) -> dict:
     """Build the index of the table at ``documents`` into the folder ``target``; what was read and written, as counts."""
     notes = note_rows(spark.read.parquet(documents))
     found = notes.filter("doc_id is not null")
-    postings.write(passage_tokens(found), f"{target}/postings", span=span)
+    postings.write(passages(found), f"{target}/postings", span=span, text="passage")
     listed = found.select("doc_id", "path", F.coalesce("lang", F.lit("")).alias("lang"), X.fingerprint(F.col("text")).alias("fingerprint"))
     listed.write.mode("overwrite").partitionBy("lang").parquet(f"{target}/documents")
     table = postings.read(spark, f"{target}/postings")

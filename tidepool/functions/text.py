@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +33,13 @@ FIELD_LIMIT, CHUNK_FORMAT = 1600, 1
 
 WORD = r"[a-z0-9_]+(?:[.$/-][a-z0-9_]+)*"
 CJK = r"[\x{3400}-\x{9fff}\x{20000}-\x{2fa1f}]+"
+CJK_RUN = re.compile(r"[\u3400-\u9fff\U00020000-\U0002fa1f]+")
+#: What a byte of UTF-8 is to a token: in a word, between two parts of one, or the first of a character that may be CJK.
+_IN_WORD, _JOINT, _IN_RUN = 1, 2, 3
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[list(b"abcdefghijklmnopqrstuvwxyz0123456789_")] = _IN_WORD
+_KINDS[list(b".$/-")] = _JOINT
+_KINDS[[*range(0xE3, 0xEA), 0xF0]] = _IN_RUN
 
 
 @F.pandas_udf(T.StringType())
@@ -58,12 +68,46 @@ def tokens(text: Column, expand: bool = False) -> Column:
     return out
 
 
+def token_rows(text: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """An Arrow kernel that finds what ``tokens`` finds in some texts: each token and the place of its text, without their order in it.
+
+    Only two letters beyond ASCII have lower ones that are in tokens.
+    """
+    low = pc.ascii_lower(pc.replace_substring(pc.replace_substring(pc.fill_null(text, ""), "\u0130", "i\u0307"), "\u212a", "k"))
+    low = pc.binary_join_element_wise(low, pa.scalar("", low.type), pa.scalar("\n", low.type))  # no word runs on into the next text
+    ends = np.frombuffer(low.buffers()[1], np.int32)[low.offset : low.offset + len(low) + 1]
+    data = np.frombuffer(low.buffers()[2] or b"", np.uint8)[: ends[-1]]
+    kinds = _KINDS.take(data)
+    inside = kinds == _IN_WORD
+    joints = np.flatnonzero(kinds == _JOINT)
+    joints = joints[(joints > 0) & inside[joints - 1]]
+    joints = joints[inside[joints + 1]]  # the last byte is a line's end
+    inside[joints] = True
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # every word ends before its text does
+    edges = np.append(0, edges) if len(edges) % 2 else edges
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    words = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.py_buffer(np.compress(inside, data)))
+    row = np.repeat(np.arange(len(low)), np.diff(np.searchsorted(starts, ends)))
+    compound = np.unique(np.searchsorted(starts, joints, side="right") - 1)
+    parts = pc.split_pattern_regex(words.take(pa.array(compound)), "[.$/-]")
+    pairs, at = [], []
+    for i in np.unique(np.searchsorted(ends, np.flatnonzero(kinds == _IN_RUN), side="right") - 1).tolist():  # texts that may have such runs
+        for run in CJK_RUN.findall(low[i].as_py()):
+            cut = [run[j : j + 2] for j in range(max(1, len(run) - 1))]
+            pairs += cut
+            at += [i] * len(cut)
+    row = np.concatenate([row, np.repeat(row[compound], pc.list_value_length(parts).to_numpy()), np.array(at, np.int64)])
+    found = pa.concat_arrays([words, parts.flatten(), pa.array(pairs, pa.string())]).dictionary_encode()
+    useful = pc.invert(pc.is_in(found.dictionary, pa.array(STOP_WORDS))).to_numpy(zero_copy_only=False)[found.indices.to_numpy()]
+    return pa.DictionaryArray.from_arrays(found.indices.to_numpy()[useful], found.dictionary), row[useful]
+
+
 def query_terms(query: str) -> list[str]:
     """The distinct terms of one query, in order of code points; a query is one short string on the driver."""
     low = unicodedata.normalize("NFKC", query).lower()
     words = [w for w in re.findall(WORD, low) if w not in STOP_WORDS]
     found = set(words) | {p for w in words for p in re.split("[.$/-]", w) if p and p not in STOP_WORDS}
-    for run in re.findall(r"[\u3400-\u9fff\U00020000-\U0002fa1f]+", low):
+    for run in CJK_RUN.findall(low):
         found |= {run} if len(run) == 1 else {a + b for a, b in zip(run, run[1:], strict=False)}
     for word, others in SYNONYMS.items():
         if word in low:

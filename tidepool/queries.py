@@ -115,11 +115,16 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
     return r.orderBy(F.col("score").desc(), "doc_id").limit(k)
 
 
-def passage_tokens(notes: DataFrame, *more: str) -> DataFrame:
+def passages(notes: DataFrame, *more: str) -> DataFrame:
     """One passage per document, with its title and tags twice more, as search counts them."""
     extra = F.concat_ws(" ", "stem", "stem", "lang")
     whole = F.concat(X.passage(_header(notes), F.lit(""), F.col("text")), F.lit("\n"), extra, F.lit("\n"), extra)
-    return notes.select("doc_id", *more, X.tokens(whole).alias("tokens"))
+    return notes.select("doc_id", *more, whole.alias("passage"))
+
+
+def passage_tokens(notes: DataFrame, *more: str) -> DataFrame:
+    """The passages' tokens."""
+    return passages(notes, *more).select("doc_id", *more, X.tokens(F.col("passage")).alias("tokens"))
 
 
 _EXTRA = "concat_ws(' ', stem, stem, lang)"
@@ -146,9 +151,9 @@ def indexed_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepool.sources.files import scratch
 
     at = scratch(spark)
-    pool = passage_tokens(_notes(spark, sf_dir))
-    postings.write(pool, at)
-    return postings.best_documents(spark, at, pool, _QT, 20)
+    notes = _notes(spark, sf_dir)
+    postings.write(passages(notes), at, text="passage")
+    return postings.best_documents(spark, at, passage_tokens(notes), _QT, 20)
 
 
 def _many_cases() -> dict[int, tuple[list[str], str]]:
