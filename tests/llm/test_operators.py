@@ -717,3 +717,31 @@ def test_language_id(spark, data, documents, nothing):
 @pytest.mark.parametrize("make", [lm_score.score, mixing.mix_sources, substring_dedup.dedup_substrings, jaccard_join.join_components, lambda d: packing.pack(d, tokenizer("word_bpe_49k.json")), line_dedup.dedup_lines, edit_fingerprint.compare_with_edited, jaccard_join.keep_one])
 def test_empty_tables(nothing, make):
     assert make(nothing).count() == 0
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    kept = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = kept(), spark.conf.get(name)
+    summed = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).agg(F.sum("id").alias("s"))
+    out = common.staged(summed.join(summed.withColumnRenamed("s", "t"), "k"))
+    assert kept() <= before and spark.conf.get(name) == was
+    assert out.count() == 10
+
+
+def test_postings_grow_no_faster_than_passages(spark):
+    # a passage in many texts stands out from chance, though it is rarer than a counter's mean
+    h = np.arange(1, 50, dtype=np.uint64)
+    counters = np.random.default_rng(3).poisson(1000, jaccard_join.COUNTERS)
+    at = jaccard_join.Orders.counter(h)
+    counters[at] += 400
+    orders = jaccard_join.Orders(counters)
+    assert (orders.level[at] > 0).all() and (orders.level > 0).mean() < 0.01
+    # texts of too different sizes share no posting, those of like sizes do
+    text = lambda n, k: " ".join([f"longsharedpassage{i}" for i in range(9)] + [f"w{k}x{i}" for i in range(n)])
+    d = spark.createDataFrame([(i, text(n, i)) for i, n in enumerate([20, 21, 200, 2000, 2010])], "doc_id long, text string")
+    postings = jaccard_join._groups(d, np.zeros(jaccard_join.COUNTERS, dtype=np.int64), 4, 3, 90).collect()
+    sizes = {}
+    for r in postings:
+        sizes.setdefault(r["sig"], []).append(r["size"])
+    assert sizes and all(x == [2, 2] for x in sizes.values())

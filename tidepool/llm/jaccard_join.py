@@ -4,7 +4,9 @@ Texts become sets of word shingles. Equal sets are one node. Sets with Jaccard s
 the first n - ceil(t * n) + 1 of either in any order of all tokens, so the filters of several orders may be intersected:
 
 * Order 1 puts frequent tokens last (by a sketch of fixed size, counted over all documents), longer ones first, then a
-  hash. Its prefixes are the postings; a frequent passage so doesn't make postings of everything that holds it.
+  hash. Its prefixes are the postings; a frequent passage so doesn't make postings of everything that holds it. A token is
+  frequent if its counter stands out from the others' spread, which grows as the root of the input, as passages don't.
+* A posting is cut where the set sizes in it leave a gap that no linked pair can span.
 * Nodes that share a posting are compared by length, by the symmetric difference of parity bitmaps (never more than the
   true one), by shared prefix tokens under orders 2 and 3, two hashes of their own, and by 32-bit tokens (which never
   share less than the sets do).
@@ -12,7 +14,7 @@ the first n - ceil(t * n) + 1 of either in any order of all tokens, so the filte
   about one verification a member, not one for each pair. Pairs that fail are left out and others tried, in rounds, until
   none is left. So no link that joins components is lost.
 
-Small bitmaps, one bit a token, first leave out of each posting who has no possible partner in it. Copies share many
+Small bitmaps, at most one bit a token (two at rounding up), first leave out of each posting who has no possible partner in it. Copies share many
 postings, so a node's other filters are not sent to each: its home is the largest posting that it stays in. Nodes are
 compared within their homes first. Then each visits the larger homes whose residents it shares another posting with,
 once each. Large homes are in blocks: all blocks have one leader in the first round; after it, who is not of a
@@ -25,6 +27,7 @@ than a shingle are one shingle. Extra columns are not read; an empty table gives
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -81,8 +84,10 @@ class Orders:
     """Three global orders of tokens."""
 
     def __init__(self, counters: np.ndarray):
-        usual = 2 * float(counters.mean()) + 8
-        self.level = np.where(counters <= usual, 0, np.minimum(1 + np.log2(np.maximum(counters / usual, 1)), 15)).astype(np.uint64)
+        middle, high = np.quantile(counters, [0.5, 0.84])
+        usual = 4 * max(float(high - middle), 1) + 4
+        over = counters - float(middle)
+        self.level = np.where(over <= usual, 0, np.minimum(1 + np.log2(np.maximum(over / usual, 1)), 15)).astype(np.uint64)
 
     @staticmethod
     def counter(u: np.ndarray) -> np.ndarray:
@@ -99,23 +104,30 @@ class Orders:
         return np.sort((key[np.argpartition(key, p - 1)[:p]] >> np.uint64(24)).astype(np.uint32))
 
 
-def parity_bits(u: np.ndarray, each: int = 4) -> bytes:
+def sketch_bits(percent: int) -> float:
+    """Bits a token, 1 at most, of the small bitmaps: twice what linked sets may differ in, and some for chance."""
+    return min(1.0, 9 * (100 - percent) / (100 + percent))
+
+
+def parity_bits(u: np.ndarray, each: float = 4) -> bytes:
     """A bitmap of a power of two of bits, at least ``each`` a token, in which each token flips one."""
-    bits = 1 << max(6, (each * len(u) - 1).bit_length())
+    bits = 1 << max(6, (math.ceil(each * len(u)) - 1).bit_length())
     at = (mix(u + np.uint64(77)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
-def _scanned(rows: DataFrame, shingle: int) -> DataFrame:
+def _scanned(rows: DataFrame, shingle: int, percent: int = PERCENT) -> DataFrame:
     """Rows of two kinds: each document's set (segment -1), and each task's counters by segment (doc_id: the task's number)."""
 
+    each = sketch_bits(percent)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(COUNTERS, dtype=np.int64)
         for b in chunks(batches, limit=CHUNK_TEXT):
             sets = [u for u, _ in shingle_sets(text_array(b), shingle)]
             counters += np.bincount(Orders.counter(np.concatenate(sets)), minlength=COUNTERS)
             n = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int32()), b.column(0), pa.array([node_of(u) if len(u) else None for u in sets], pa.int64()), pa.array([len(u) for u in sets], pa.int64()), pa.array([parity_bits(u, 1) if len(u) else None for u in sets], pa.binary()), pa.nulls(n, pa.binary())], schema=_SCAN)
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int32()), b.column(0), pa.array([node_of(u) if len(u) else None for u in sets], pa.int64()), pa.array([len(u) for u in sets], pa.int64()), pa.array([parity_bits(u, each) if len(u) else None for u in sets], pa.binary()), pa.nulls(n, pa.binary())], schema=_SCAN)
         parts, task = counters.astype(np.uint32).reshape(SEGMENTS, -1), pa.array([TaskContext.get().partitionId()] * SEGMENTS, pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), task, *(pa.nulls(SEGMENTS, pa.int64()) for _ in range(2)), pa.nulls(SEGMENTS, pa.binary()), pa.array([x.tobytes() for x in parts], pa.binary())], schema=_SCAN)
 
@@ -148,12 +160,15 @@ def _counters(scanned: DataFrame, tasks: int) -> np.ndarray:
 
 
 def _groups(rows: DataFrame, counters: np.ndarray, buckets: int, shingle: int, percent: int) -> DataFrame:
-    """sig, node: the nodes of each distinct posting of at least two nodes under order 1."""
+    """sig, size, node: each distinct posting of at least two nodes under order 1, cut where set sizes are too far apart.
+
+    A token is 32 bits beside its bucket; postings that so fall together only have more nodes.
+    """
     orders = rows.sparkSession.sparkContext.broadcast(Orders(counters))
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, limit=CHUNK_TEXT):
-            tokens, nodes = [], []
+            tokens, nodes, lengths = [], [], []
             seen: set[int] = set()
             for u, sizes in shingle_sets(text_array(b), shingle):
                 if not len(u) or (node := node_of(u)) in seen:
@@ -162,31 +177,32 @@ def _groups(rows: DataFrame, counters: np.ndarray, buckets: int, shingle: int, p
                 t = orders.value.first(u, sizes, prefix_length(len(u), percent))
                 tokens.append(t)
                 nodes.append(np.full(len(t), node, dtype=np.int64))
+                lengths.append(np.full(len(t), len(u), dtype=np.uint32))
             if not tokens:
                 continue
-            token, node = np.concatenate(tokens), np.concatenate(nodes)
+            token, node, n = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(lengths)
             where = (((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(where, kind="stable")
             edges = np.searchsorted(where[order], np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(edges)).tolist()
-            cut = [pa.array([x[order][edges[i] : edges[i + 1]].tobytes() for i in full], pa.binary()) for x in (token, node)]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *cut], names=["bucket", "token", "node"])
+            cut = [pa.array([x[order][edges[i] : edges[i + 1]].tobytes() for i in full], pa.binary()) for x in (token.astype(np.uint32), node, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *cut], names=["bucket", "token", "node", "n"])
 
     def grouped(rows: pa.Table) -> pa.Table:
-        token, node = (np.frombuffer(b"".join(rows.column(c).to_pylist()), dtype=t) for c, t in (("token", np.uint64), ("node", np.int64)))
-        order = np.lexsort((node, token))
-        token, node = token[order], node[order]
+        token, node, n = (np.frombuffer(b"".join(rows.column(c).to_pylist()), dtype=t) for c, t in (("token", np.uint32), ("node", np.int64), ("n", np.uint32)))
+        order = np.lexsort((node, n, token))
+        token, node, n = token[order], node[order], n[order].astype(np.int64)
         once = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])] if len(token) else np.zeros(0, bool)
-        token, node = token[once], node[once]
-        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+        token, node, n = token[once], node[once], n[once]
+        first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (percent * n[1:] > 100 * n[:-1])]) if len(token) else np.zeros(0, np.int64)
         size = np.diff(np.r_[first, len(token)])
         sig = mix(np.add.reduceat(mix(node.view(np.uint64)), first) + size.astype(np.uint64)) if len(first) else np.zeros(0, np.uint64)
         _, kept = np.unique(sig, return_index=True)
         kept = kept[size[kept] > 1]
         index = np.concatenate([np.arange(first[k], first[k] + size[k]) for k in kept.tolist()]) if len(kept) else np.zeros(0, np.int64)
-        return pa.table({"sig": pa.array(np.repeat(sig[kept], size[kept]).view(np.int64)), "node": pa.array(node[index])})
+        return pa.table({"sig": pa.array(np.repeat(sig[kept], size[kept]).view(np.int64)), "size": pa.array(np.repeat(size[kept], size[kept])), "node": pa.array(node[index])})
 
-    return rows.mapInArrow(posted, "bucket int, token binary, node binary").groupBy("bucket").applyInArrow(grouped, _MEMBER_DDL).distinct()
+    return rows.mapInArrow(posted, "bucket int, token binary, node binary, n binary").groupBy("bucket").applyInArrow(grouped, "sig long, size long, node long").distinct()
 
 
 def _reread(rows: DataFrame, wanted: DataFrame, shingle: int, made: Callable[[np.ndarray], tuple], ddl: str, schema: pa.Schema) -> DataFrame:
@@ -291,13 +307,11 @@ def _common(a: bytes, b: bytes) -> int:
 
 
 def _worth_comparing(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The members (sig, node) of postings that bitmaps of one bit a token leave some partner in the posting.
+    """The members (sig, node) of postings (sig, size, node) that small bitmaps leave some partner in the posting.
 
     These bitmaps are a fiftieth of what the full comparison needs, and rule out nodes that share a token by chance or
     in a common passage. Of postings larger than a block, all members stay.
     """
-    sizes = members.groupBy("sig").agg(F.count("*").alias("size"))
-    sized = members.join(sizes, "sig")
 
     def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
@@ -320,9 +334,9 @@ def _worth_comparing(members: DataFrame, nodes: DataFrame, percent: int) -> Data
         if out := done():
             yield batch(out)
 
-    small = sized.filter(F.col("size") <= BLOCK).join(nodes.select("node", "n", "sketch"), "node").select("sig", "node", "n", "sketch")
+    small = members.filter(F.col("size") <= BLOCK).join(nodes.select("node", "n", "sketch"), "node").select("sig", "node", "n", "sketch")
     near = small.repartition("sig").sortWithinPartitions("sig").mapInArrow(thinned, _MEMBER_DDL)
-    return near.unionByName(sized.filter(F.col("size") > BLOCK).select("sig", "node"))
+    return near.unionByName(members.filter(F.col("size") > BLOCK).select("sig", "node"))
 
 
 def _candidates(keyed: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
@@ -465,13 +479,15 @@ def join_components(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach from each document."""
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))
     rows = only(documents, doc_id="doc_id", text="text").select(doc_id.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    scanned = staged(_scanned(rows, shingle))
+    scanned = staged(_scanned(rows, shingle, percent))
     sets = scanned.filter("segment = -1").select("doc_id", "node", "n")
     tasks = 1 + (scanned.filter("segment = 0").agg(F.max("doc_id")).first()[0] or 0)
     nodes = staged(scanned.filter("segment = -1 and n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("sketch").alias("sketch")))
-    members = staged(_groups(rows, _counters(scanned, tasks), buckets_for(text_bytes(rows), RANGE_TEXT, 4), shingle, percent))
-    members = staged(_worth_comparing(members, nodes, percent))
+    postings = staged(_groups(rows, _counters(scanned, tasks), buckets_for(text_bytes(rows), RANGE_TEXT, 4), shingle, percent))
+    members = staged(_worth_comparing(postings, nodes, percent))
+    unstage(postings)
     residents, visits = _homes(members)
+    unstage(members)
 
     profile_schema = pa.schema([("node", pa.int64()), ("p2", pa.binary()), ("p3", pa.binary()), ("bits", pa.binary()), ("tokens", pa.binary())])
     met = staged(residents.select("node").join(nodes.select("node", "rep", "n"), "node"))
@@ -493,7 +509,8 @@ def join_components(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     # homes with their visitors; a home without any is settled
     own = residents.join(visits.select("home").distinct(), "home", "left_semi").select("home", "node", "block", F.lit(False).alias("visitor"))
     guests = visits.join(residents.select("home", "blocks").distinct(), "home").select("home", "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visitor"))
-    both = staged(own.unionByName(guests)).withColumn("i", F.col("block")).withColumn("j", F.col("block"))
+    met_there = staged(own.unionByName(guests))
+    both = met_there.withColumn("i", F.col("block")).withColumn("j", F.col("block"))
     while found.add(_candidates(found.labelled(both), profiles, percent)):
         pass
     labels = found.labels if found.labels is not None else nodes.select("node", F.col("node").alias("comp"))
@@ -501,6 +518,7 @@ def join_components(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     named = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     ids = named.groupBy("comp").agg(F.min("rep").alias("id"))
     named = staged(named.join(ids, "comp").select("node", "id"))
+    unstage(nodes, residents, visits, met, profiles, met_there)
     out = sets.join(named, "node", "left")
     own = F.when(F.col("n") > 0, F.col("id")).otherwise(F.col("doc_id"))
     real = lambda c: F.when(c != NO_ID, c)
