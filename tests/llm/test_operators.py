@@ -745,3 +745,19 @@ def test_postings_grow_no_faster_than_passages(spark):
     for r in postings:
         sizes.setdefault(r["sig"], []).append(r["size"])
     assert sizes and all(x == [2, 2] for x in sizes.values())
+
+
+def test_levels_are_looked_up_in_bounded_slices():
+    import tracemalloc
+
+    h = np.unique(np.random.default_rng(5).integers(0, 1 << 63, 1 << 21, dtype=np.uint64))
+    levels = 1 + (h % np.uint64(3)).astype(np.int64)
+    bits = np.frombuffer(lm_score.Filter.build([(h, levels)]), dtype=np.uint8)
+    f = lm_score.Filter({0: (bits, np.zeros(0, np.uint64), np.zeros(0, np.int64))}, 1)
+    tracemalloc.start()
+    got = f.levels(h)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got >= levels).all() and (got == levels).mean() > 0.9
+    assert peak < 2 * h.nbytes  # temporaries beside the result don't grow with what is asked
+    assert len(f.levels(h[:0])) == 0
