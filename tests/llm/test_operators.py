@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -761,3 +762,13 @@ def test_levels_are_looked_up_in_bounded_slices():
     assert (got >= levels).all() and (got == levels).mean() > 0.9
     assert peak < 2 * h.nbytes  # temporaries beside the result don't grow with what is asked
     assert len(f.levels(h[:0])) == 0
+
+
+def test_keep_one_leaves_no_sets_on_disk(spark):
+    folders = lambda: set(Path(common._session_dir(spark).removeprefix("file:")).glob("*"))
+    before = folders()
+    text = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    d = spark.createDataFrame([(1, text(1, 90)), (2, text(1, 92)), (3, text(2, 60)), (4, text(2, 60)), (5, "one")], "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in jaccard_join.keep_one(d).collect()) == [1, 3, 5]
+    left = [set(spark.read.parquet(str(p)).columns) for p in folders() - before]
+    assert left and not any(c & {"sketch", "tokens", "component_id", "n_shingles"} for c in left)

@@ -535,7 +535,9 @@ def keep_one(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
     own = doc_id.cast("long")
     # the row is carried as one struct, so that no name of its columns clashes
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("whole"), own.alias("own"), F.xxhash64(text, own).alias("key"), text.cast("string").alias("text"))
-    found = staged(join_components(rows.select(F.col("key").alias("doc_id"), "text"), shingle, percent))
+    joined = join_components(rows.select(F.col("key").alias("doc_id"), "text"), shingle, percent)
+    found = staged(joined)
+    unstage(joined)
     linked = found.filter("doc_id <> component_id").select("doc_id", "component_id")
     members = staged(linked.unionByName(linked.select(F.col("component_id").alias("doc_id"), "component_id")).distinct())
     named = rows.filter(maybe_among(members, "doc_id")(F.col("key"))).select("key", "own").distinct()
@@ -547,4 +549,5 @@ def keep_one(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
     out = rows.filter(~hit).unionByName(held)
     if found.groupBy("doc_id").count().filter("count > 1").take(1):
         out = out.dropDuplicates(["own", "text"])
+    unstage(found, members, named)
     return out.select(*[F.col("whole").getField(c).alias(c) for c in documents.columns])
