@@ -105,7 +105,7 @@ class Orders:
 
 
 def sketch_bits(percent: int) -> float:
-    """Bits a token, 1 at most, of the small bitmaps: twice what linked sets may differ in, and some for chance."""
+    """Bits a token, 1 at most, of the small bitmaps: 4.5 times what linked sets of a size may differ in."""
     return min(1.0, 9 * (100 - percent) / (100 + percent))
 
 
